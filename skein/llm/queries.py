@@ -9,7 +9,7 @@ from skein.llm import bpe, decontaminate, kneser_ney, pseudonyms, repeats, rules
 from skein.sources.scratch import table
 
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
-SHARD_BYTES = 16 << 20
+SHARD_BYTES = 1 << 20
 HOST_RATE = 0.5
 #: A run's own secret in production; fixed here, so that results can be compared.
 PII_KEY = b"registered query"

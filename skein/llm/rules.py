@@ -80,8 +80,8 @@ def judge(docs: DataFrame, max_rate: float = 0.5) -> DataFrame:
 def oracle(max_rate: float) -> str:
     return rf"""
 WITH d AS (SELECT row_number() OVER () AS rid, doc_id, source, coalesce(text, '') AS text FROM documents),
-w AS (SELECT *, list_filter(regexp_split_to_array(text, '[\x20\x09-\x0D]+'), x -> x <> '') AS ws,
-  list_filter(string_split(text, chr(10)), x -> regexp_matches(x, '[^\x20\x09-\x0D]')) AS ls FROM d),
+w AS (SELECT *, list_filter(regexp_split_to_array(text, '[\x20\x09-\x0D]+'), lambda x: x <> '') AS ws,
+  list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS ls FROM d),
 win AS (SELECT rid, i, ws[i] || ' ' || ws[i + 1] || ' ' || ws[i + 2] AS t FROM (SELECT rid, ws, unnest(range(1, len(ws) - 1)) AS i FROM w)),
 rep AS (SELECT rid, i FROM win WHERE (rid, t) IN (SELECT (rid, t) FROM win GROUP BY rid, t HAVING count(*) > 1)),
 pos AS (SELECT rid, count(DISTINCT i + k.range) AS n FROM rep CROSS JOIN range(0, 3) k GROUP BY rid),
