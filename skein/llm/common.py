@@ -6,6 +6,7 @@ from functools import cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -40,7 +41,7 @@ def buffers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 
 def chunks(batch: pa.RecordBatch, limit: int):
     """Slices of ``batch`` of about ``limit`` bytes of text; a longer document stands alone."""
-    lengths = np.asarray(pa.compute.binary_length(batch["text"]).cast(pa.int64()))
+    lengths = np.asarray(pc.binary_length(batch["text"]).cast(pa.int64()))
     total, first = 0, 0
     for i, n in enumerate(lengths):
         if total and total + n > limit:
@@ -109,10 +110,10 @@ def classes() -> np.ndarray:
 def code_points(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """``(code point, first byte)`` of each character of valid UTF-8."""
     at = np.flatnonzero((data & 0xC0) != 0x80)
-    lead = data[at].astype(np.int64)
+    lead = data[at].astype(np.int32)
     if not len(at) or lead.max() < 0x80:
         return lead, at
-    padded = np.append(data, np.zeros(3, np.uint8)).astype(np.int64)
+    padded = np.append(data, np.zeros(3, np.uint8)).astype(np.int32)
     two, three, four = lead >= 0xC0, lead >= 0xE0, lead >= 0xF0
     cp = lead.copy()
     cp[two] = ((lead[two] & 0x1F) << 6) | (padded[at[two] + 1] & 0x3F)
