@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from skein.llm import dictionary
-from skein.llm.common import real_id
+from skein.llm.common import buffers, real_id
 
 
 @cache
@@ -68,18 +68,16 @@ def encode(docs: DataFrame, path: str, block_bytes: int = dictionary.BLOCK_BYTES
     gives an empty result.
     """
 
+    kind = np.dtype("<u2" if max(ranks(path).values(), default=0) < 1 << 16 else "<u4")  # of a stored id
+
     def answer(found: list[bytes]) -> pa.Array:
         table, single = ranks(path), encoding(path)._encode_single_piece
         ids = [[t] if (t := table.get(w)) is not None else single(w) for w in found]
-        offsets = np.cumsum([0, *map(len, ids)])
-        flat = np.fromiter((i for x in ids for i in x), np.uint32, offsets[-1])
-        return pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(flat))
+        return pa.array([np.array(x, kind).tobytes() for x in ids], pa.binary())
 
     def finish(doc_id: np.ndarray, n: np.ndarray, seq: np.ndarray, ids: pa.Array) -> pd.DataFrame:
-        if len(ids):
-            flat, starts = np.asarray(ids.flatten()), np.asarray(ids.offsets) - ids.offsets[0].as_py()
-        else:
-            flat, starts = np.zeros(0, np.uint32), np.zeros(1, np.int64)
+        flat, starts = buffers(ids)
+        flat, starts = flat.view(kind), starts // kind.itemsize
         rows, first = [], 0
         for d, k in zip(doc_id, n, strict=True):
             own = seq[first : first + k].astype(np.int64)

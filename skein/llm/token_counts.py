@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 
 from skein.llm import dictionary
 from skein.llm.bpe import ranks
-from skein.llm.common import real_id
+from skein.llm.common import buffers, real_id
 
 
 @cache
@@ -70,10 +70,10 @@ def count_tokens(docs: DataFrame, path: str, block_bytes: int = dictionary.BLOCK
     """
 
     def answer(found: list[bytes]) -> pa.Array:
-        return pa.array(trie_counts(found, path), pa.int64())
+        return pa.array([n.to_bytes(4, "little") for n in trie_counts(found, path)], pa.binary())
 
     def finish(doc_id: np.ndarray, n: np.ndarray, seq: np.ndarray, counts: pa.Array) -> pd.DataFrame:
-        each = np.asarray(counts, dtype=np.int64)[seq] if len(seq) else np.zeros(0, np.int64)
+        each = buffers(counts)[0].view("<u4").astype(np.int64)[seq]
         ends = np.cumsum(n)
         total = np.append(0, np.cumsum(each))
         most = np.zeros(len(n), np.int64)
