@@ -53,9 +53,8 @@ def pending_batches(df: DataFrame, order: list[str], pending: Column, size: int,
     part = [group] if group else []
     w = Window.partitionBy(*part).orderBy(*order)
     rows = df.select(*part, (F.row_number().over(w) - 1).alias("row"), pending.cast("int").alias("p"), F.sum(pending.cast("long")).over(w).alias("cum"))
-    rows = rows.withColumn("batch", F.when(F.col("cum") == 0, 0).otherwise(F.floor((F.col("cum") - F.col("p") * 1) / size)).cast("long"))
-    out = rows.groupBy(*part, "batch").agg(F.min("row").alias("start"), (F.max("row") + 1).alias("end"), F.sum("p").alias("n_pending"))
-    return out
+    rows = rows.withColumn("batch", F.greatest(F.lit(0), F.floor((F.col("cum") - 1) / size)).cast("long"))
+    return rows.groupBy(*part, "batch").agg(F.min("row").alias("start"), (F.max("row") + 1).alias("end"), F.sum("p").alias("n_pending"))
 
 
 def minibatches(df: DataFrame, key: str, seed: object, epoch: int, size: int) -> DataFrame:
