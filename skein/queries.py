@@ -267,6 +267,8 @@ def pocket_chains(spark, d):
     return A.keep_pocket_chains(atoms, atoms.where("atom = 'O'")).select("file", "ord", "atom", "chain")
 
 
+#: Of the samples and splits, for which the clusters must be small.
+TIGHT = 0.4
 JACCARD = f"""WITH s AS (SELECT * FROM {{bits}}), p AS (SELECT a.compound AS a, b.compound AS b, len(list_intersect(a.bits, b.bits)) AS i, len(a.bits) + len(b.bits) AS t FROM s a JOIN s b ON a.compound < b.compound),
 e AS (SELECT a, b, CASE WHEN t = 0 THEN 0.0 ELSE 1 - i / (t - i) END AS dist FROM p WHERE (t - 2 * i) <= {LIMIT} * (t - i) + 1e-12)"""
 
@@ -507,9 +509,9 @@ COMPOUNDS = JACCARD.replace("WITH", "WITH RECURSIVE", 1) + ", vs AS (SELECT comp
 GENES = f"WITH RECURSIVE e AS (SELECT a, b FROM {{fx_gene_dist}} WHERE dist <= {GENE_LIMIT}), vs AS (SELECT CAST(s_suppkey AS STRING) AS v FROM supplier), " + REACH
 
 
-def _compound_clusters(spark, d):
+def _compound_clusters(spark, d, limit=LIMIT):
     prints = fingerprints(spark, d)
-    return V.clusters(prints, S.jaccard_pairs(prints, LIMIT), LIMIT, "compound")
+    return V.clusters(prints, S.jaccard_pairs(prints, limit), limit, "compound")
 
 
 def _gene_clusters(spark, d):
@@ -574,7 +576,7 @@ def cluster_record(spark, d):
 ORDER = "CASE subset WHEN 'xtal' THEN 0 WHEN 'nonbind' THEN 1 WHEN 'high' THEN 2 ELSE 3 END"
 
 
-@query(f"""{COMPOUNDS}, pool AS (SELECT * FROM ({CLASSED}) WHERE subset IS NOT NULL), deg AS (SELECT compound, count(*) AS num FROM pool GROUP BY 1),
+@query(f"""{COMPOUNDS.replace(f'<= {LIMIT} *', f'<= {TIGHT} *')}, pool AS (SELECT * FROM ({CLASSED}) WHERE subset IS NOT NULL), deg AS (SELECT compound, count(*) AS num FROM pool GROUP BY 1),
 sz AS (SELECT component AS cluster, coalesce(sum(num), 0) AS n_pairs FROM comp LEFT JOIN deg ON deg.compound = comp.id GROUP BY 1),
 one AS (SELECT * FROM (SELECT pool.*, component AS cluster, n_pairs, row_number() OVER (PARTITION BY component ORDER BY {ORDER}, md5(concat_ws('|', '5', gene, pool.compound)), gene, pool.compound) AS nth
   FROM pool JOIN comp ON comp.id = pool.compound JOIN sz ON sz.cluster = comp.component WHERE CAST(gene AS INT) % 4 = 1) WHERE nth = 1),
@@ -584,14 +586,14 @@ def sample_compounds(spark, d):
     pool = _classed(spark, d).where("subset IS NOT NULL")
     degrees = pool.groupBy("compound").agg(F.count("*").alias("num"))
     genes = pool.where(F.col("gene").cast("int") % 4 == 1)
-    got, _ = V.sample_compounds(pool, genes, _compound_clusters(spark, d), degrees, V.Quotas(dict.fromkeys(V.SUBSETS, 1)), 100_000, 5)
+    got, _ = V.sample_compounds(pool, genes, _compound_clusters(spark, d, TIGHT), degrees, V.Quotas(dict.fromkeys(V.SUBSETS, 1)), 100_000, 5)
     return got.select("gene", "compound", "subset", "cluster")
 
 
 def _split(spark, d):
     pool = _classed(spark, d).where("subset IS NOT NULL")
-    edges = S.jaccard_pairs(fingerprints(spark, d).join(pool.select("compound").distinct(), "compound", "left_semi"), LIMIT)
-    return pool, edges, V.cv_split(pool, view(spark, d, "fx_gene_dist"), edges, _docked(spark, d), [GENE_LIMIT], [0.4], dict.fromkeys(V.SUBSETS, 1), 100_000)
+    edges = S.jaccard_pairs(fingerprints(spark, d).join(pool.select("compound").distinct(), "compound", "left_semi"), TIGHT)
+    return pool, edges, V.cv_split(pool, view(spark, d, "fx_gene_dist"), edges, _docked(spark, d), [GENE_LIMIT], [TIGHT], dict.fromkeys(V.SUBSETS, 1), 100_000)
 
 
 @query()
