@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -43,42 +43,39 @@ class Quotas:
 
     want: dict[str, int]
     slack: int = 3
-    carried: dict[str, int] = field(default_factory=dict)
-
-    def settle(self, supply: dict[str, int]) -> tuple[dict[str, int], str | None]:
-        """How many to take of each subset, or the subset that fails."""
-        take, carry = {}, 0
-        for s in SUBSETS:
-            want = self.want.get(s, 0) + (carry if s == "low" else 0)
-            have = supply.get(s, 0)
-            short = max(0, want - have)
-            if short and (s == "low" or (short > self.slack and have > 0)):
-                return {}, s
-            carry += short
-            take[s] = want - short
-        self.carried = {"low": carry}
-        return take, None
+    carry: int = 0
+
+    def take(self, subset: str, have: int) -> int | None:
+        """How many to take of a subset, in the order of SUBSETS; None if the attempt fails there."""
+        want = self.want.get(subset, 0) + (self.carry if subset == "low" else 0)
+        short = max(0, want - have)
+        if short and (subset == "low" or (short > self.slack and have > 0)):
+            return None
+        self.carry += short
+        return want - short
 
 
 def sample_compounds(pool: DataFrame, genes: DataFrame, of: DataFrame, degrees: DataFrame, quotas: Quotas, size_limit: int, seed: object) -> tuple[DataFrame, str | None]:
-    """One pair a compound cluster, by subset, from compounds that meet the sampled genes.
+    """One pair a compound cluster, subset by subset, from compounds that meet the sampled genes.
 
-    ``of(compound, cluster)``; a cluster counts for the first subset in which it occurs, is
-    used once, and must have at most the soft cut-off of its subset's sizes. Only the four
-    supplies reach the driver.
+    ``of(compound, cluster)``. A cluster must have at most the soft cut-off of its subset's
+    sizes and is used for one subset only. One count a subset reaches the driver.
     """
-    rank = F.create_map(*[x for i, s in enumerate(SUBSETS) for x in (F.lit(s), F.lit(i))])
     near = pool.join(genes.select("gene").distinct(), "gene", "left_semi").join(of, "compound").join(cluster_sizes(of, degrees, "compound").select("cluster", "n_pairs"), "cluster")
-    one = near.withColumn("nth", F.row_number().over(Window.partitionBy("cluster").orderBy(rank[F.col("subset")], sample_key(seed, "gene", "compound"), "gene", "compound"))).where("nth = 1").drop("nth")
-    cut = soft_cutoff(one, "subset", "n_pairs", 1, size_limit)
-    one = materialize(one.join(cut, "subset").where("n_pairs <= cutoff").drop("cutoff", "n_pairs"))
-    supply = {r["subset"]: r["n"] for r in one.groupBy("subset").agg(F.count("*").alias("n")).collect()}
-    take, failed = quotas.settle(supply)
-    if failed:
-        return one.limit(0), failed
-    limit = F.create_map(*[x for s, n in take.items() for x in (F.lit(s), F.lit(n))])
-    nth = F.row_number().over(Window.partitionBy("subset").orderBy(sample_key(seed, "cluster"), "cluster"))
-    return one.withColumn("nth", nth).where(F.col("nth") <= limit[F.col("subset")]).drop("nth"), None
+    near, got = materialize(near), None
+    for subset in SUBSETS:
+        own = near.where(F.col("subset") == subset)
+        if got is not None:
+            own = own.join(got.select("cluster"), "cluster", "left_anti")
+        nth = F.row_number().over(Window.partitionBy("cluster").orderBy(sample_key(seed, "gene", "compound"), "gene", "compound"))
+        one = own.withColumn("nth", nth).where("nth = 1").drop("nth")
+        one = materialize(one.join(soft_cutoff(one, "subset", "n_pairs", 1, size_limit), "subset").where("n_pairs <= cutoff").select("gene", "compound", "subset", "cluster"))
+        take = quotas.take(subset, one.count())
+        if take is None:
+            return one.limit(0), subset
+        one = one.orderBy(sample_key(seed, "cluster"), "cluster").limit(take)
+        got = materialize(one if got is None else got.union(one))
+    return got, None
 
 
 def cv_split(

@@ -573,20 +573,25 @@ def cluster_record(spark, d):
     return of.where(~sampled).join(of.where(sampled).select("cluster").distinct(), "cluster", "left_semi").select("gene", "cluster")
 
 
-ORDER = "CASE subset WHEN 'xtal' THEN 0 WHEN 'nonbind' THEN 1 WHEN 'high' THEN 2 ELSE 3 END"
+def _sample_sql() -> str:
+    """One step of the sampling as a chain of CTEs, one a subset."""
+    out = COMPOUNDS.replace(f"<= {LIMIT} *", f"<= {TIGHT} *") + f""", pool AS (SELECT * FROM ({CLASSED}) WHERE subset IS NOT NULL), deg AS (SELECT compound, count(*) AS num FROM pool GROUP BY 1),
+sz AS (SELECT component AS cluster, coalesce(sum(num), 0) AS n_pairs FROM comp LEFT JOIN deg ON deg.compound = comp.id GROUP BY 1),
+near AS (SELECT pool.*, component AS cluster, n_pairs FROM pool JOIN comp ON comp.id = pool.compound JOIN sz ON sz.cluster = comp.component WHERE CAST(gene AS INT) % 4 = 1)"""
+    for i, s in enumerate(V.SUBSETS):
+        used = " UNION ALL ".join(f"SELECT cluster FROM got{j}" for j in range(i)) or "SELECT NULL WHERE false"
+        out += f""", one{i} AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY cluster ORDER BY md5(concat_ws('|', '5', gene, compound)), gene, compound) AS nth FROM near WHERE subset = '{s}' AND cluster NOT IN ({used})) WHERE nth = 1),
+cut{i} AS (SELECT least(n_pairs, 100000) AS cutoff FROM (SELECT n_pairs, row_number() OVER (ORDER BY n_pairs) - 1 AS i, least(greatest(0, CAST(round_even(count(*) OVER () / 2, 0) AS INT)), count(*) OVER () - 1) AS pos FROM one{i}) WHERE i = pos),
+got{i} AS (SELECT gene, compound, subset, cluster FROM one{i} WHERE n_pairs <= (SELECT cutoff FROM cut{i}) ORDER BY md5(concat_ws('|', '5', cluster)), cluster LIMIT 3)"""
+    return out + " " + " UNION ALL ".join(f"SELECT * FROM got{i}" for i in range(len(V.SUBSETS)))
 
 
-@query(f"""{COMPOUNDS.replace(f'<= {LIMIT} *', f'<= {TIGHT} *')}, pool AS (SELECT * FROM ({CLASSED}) WHERE subset IS NOT NULL), deg AS (SELECT compound, count(*) AS num FROM pool GROUP BY 1),
-sz AS (SELECT component AS cluster, coalesce(sum(num), 0) AS n_pairs FROM comp LEFT JOIN deg ON deg.compound = comp.id GROUP BY 1),
-one AS (SELECT * FROM (SELECT pool.*, component AS cluster, n_pairs, row_number() OVER (PARTITION BY component ORDER BY {ORDER}, md5(concat_ws('|', '5', gene, pool.compound)), gene, pool.compound) AS nth
-  FROM pool JOIN comp ON comp.id = pool.compound JOIN sz ON sz.cluster = comp.component WHERE CAST(gene AS INT) % 4 = 1) WHERE nth = 1),
-cut AS (SELECT subset, least(n_pairs, 100000) AS cutoff FROM (SELECT subset, n_pairs, row_number() OVER (PARTITION BY subset ORDER BY n_pairs) - 1 AS i, least(greatest(0, CAST(round_even(count(*) OVER (PARTITION BY subset) / 2, 0) AS INT)), count(*) OVER (PARTITION BY subset) - 1) AS pos FROM one) WHERE i = pos)
-SELECT gene, compound, subset, cluster FROM (SELECT one.*, row_number() OVER (PARTITION BY subset ORDER BY md5(concat_ws('|', '5', cluster)), cluster) AS k FROM one JOIN cut USING (subset) WHERE n_pairs <= cutoff) WHERE k <= 1""")
+@query(_sample_sql())
 def sample_compounds(spark, d):
     pool = _classed(spark, d).where("subset IS NOT NULL")
     degrees = pool.groupBy("compound").agg(F.count("*").alias("num"))
     genes = pool.where(F.col("gene").cast("int") % 4 == 1)
-    got, _ = V.sample_compounds(pool, genes, _compound_clusters(spark, d, TIGHT), degrees, V.Quotas(dict.fromkeys(V.SUBSETS, 1)), 100_000, 5)
+    got, _ = V.sample_compounds(pool, genes, _compound_clusters(spark, d, TIGHT), degrees, V.Quotas(dict.fromkeys(V.SUBSETS, 3)), 100_000, 5)
     return got.select("gene", "compound", "subset", "cluster")
 
 
