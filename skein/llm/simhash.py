@@ -80,7 +80,7 @@ def simhash(data: np.ndarray, offsets: np.ndarray, shingle: int) -> np.ndarray:
     return out
 
 
-def fingerprints(docs: DataFrame, shingle: int = 3, chunk_bytes: int = 4 << 20) -> DataFrame:
+def fingerprints(docs: DataFrame, shingle: int = 3, chunk_bytes: int = 2 << 20) -> DataFrame:
     """``doc_id`` (null: NO_ID) ``, fp long`` of each row."""
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
