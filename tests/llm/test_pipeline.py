@@ -12,7 +12,7 @@ import regex
 import corpus_pipeline
 from skein.llm import bpe, decontaminate, kneser_ney, pseudonyms
 from skein.llm.queries import PII_KEY
-from tests.llm.test_text_operators import VOCABULARY, brute_classes, brute_model
+from tests.llm.test_text_operators import VOCABULARY, brute_model, brute_near
 
 DATA = "/root/testdata/sf0.001"
 
@@ -103,7 +103,7 @@ def brute_leaks(docs, items, window=8, least=5):
 
 def brute_run(docs, labels, items):
     left = brute_quality(docs, labels)
-    ids = {d for d, _, c in brute_classes(left) if d == c}
+    ids = {d for d, c in brute_near(left) if d == c}
     counts = [len(docs), len(left), len(ids)]
     left = [(d, t) for d, t in left if d in ids]
     bad = brute_leaks(left, items)
