@@ -309,6 +309,41 @@ def test_near_copies_in_one_large_group(spark):
     assert sum(found[i] == want[i] for i in range(400)) >= 396
 
 
+def block_edited(seed=23):
+    """Texts with a cut tail, an added passage or a replaced block, at similarities of 0.8 to 0.85."""
+    rng, rows = random.Random(seed), []
+    for k in range(120):
+        base = [f"b{k}x{rng.randrange(9000)}" for _ in range(rng.randrange(120, 500))]
+        n = len(base) - 4
+        goal = rng.uniform(0.8, 0.85)
+        if k % 3 < 2:
+            other = base[: 4 + int(goal * n) + 1]
+        else:
+            gone = int(n * (1 - goal) / (1 + goal)) - 5
+            at = rng.randrange(5, len(base) - gone - 5)
+            other = base[:at] + [f"c{rng.randrange(9000)}" for _ in range(gone)] + base[at + gone :]
+        rows += [(2 * k + (k % 2), " ".join(base)), (2 * k + 1 - (k % 2), " ".join(other))]
+    return rows
+
+
+def test_near_copies_of_block_edits(spark):
+    rows = block_edited()
+    want = brute_near(rows)
+    assert sum(d != c for d, c in want) >= 110
+    assert rows_of(near_copies.classes(spark.createDataFrame(rows, "doc_id long, text string"))) == want
+
+
+def test_near_copies_around_the_limit_in_a_large_group(spark, monkeypatch):
+    """All rows as brute force has them where most pairs of a group are just above or below 0.8, over several blocks."""
+    monkeypatch.setattr(near_copies, "BLOCK_SETS", 64, raising=False)
+    rng = random.Random(9)
+    base = [f"w{rng.randrange(4000)}" for _ in range(150)]
+    rows = [(i, " ".join(f"n{rng.randrange(4000)}" if rng.randrange(38) == 0 else w for w in base)) for i in range(400)]
+    want = brute_near(rows)
+    assert len({c for _, c in want}) > 20
+    assert rows_of(near_copies.classes(spark.createDataFrame(rows, "doc_id long, text string"))) == want
+
+
 def test_keep_one_keeps_columns_and_one_row_a_class(spark, odd):
     kept = near_copies.keep_one(odd)
     assert kept.columns == odd.columns
