@@ -24,6 +24,12 @@ def texts(docs: DataFrame, *more: str) -> DataFrame:
     return docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"), *extra)
 
 
+def row_key(*more):
+    """128 bits of a row's doc_id, ``more`` and text, never null: tells apart rows that share an id or have none."""
+    own = F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).cast("string")
+    return F.unhex(F.md5(F.concat_ws("\0", own, *more, F.coalesce("text", F.lit("")))))
+
+
 def real_id(name: str = "doc_id"):
     return F.when(F.col(name) != NO_ID, F.col(name)).alias(name)
 

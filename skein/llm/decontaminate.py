@@ -19,7 +19,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from skein.llm.common import buffers, chunks, pieces, real_id, texts, words
+from skein.llm.common import buffers, chunks, pieces, real_id, row_key, texts, words
 from skein.sources.scratch import fresh, materialize
 
 #: Fixed lists of the canonicalisation.
@@ -125,13 +125,16 @@ def _cut(id_name: str, sizes: list[int], least: int, short: bool, share=None, ch
                 t = _windows(c, piece.num_rows, sizes, least, short, known, wanted)
                 if t is not None and t.num_rows:
                     t = t.set_column(0, "id", piece[id_name].take(t["row"].combine_chunks()))
-                    yield from t.cast(pa.schema([("id", pa.int64()), ("at", pa.int32()), ("n", pa.int32()), ("hash", pa.int64()), ("slots", pa.list_(pa.int64()))])).to_batches()
+                    yield from t.cast(pa.schema([("id", piece[id_name].type), ("at", pa.int32()), ("n", pa.int32()), ("hash", pa.int64()), ("slots", pa.list_(pa.int64()))])).to_batches()
 
     return cut
 
 
-def meetings(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, least: int = 5, broadcast: int = BROADCAST) -> DataFrame:
-    """``doc_id, item_id, n_windows, n_item_windows, coverage`` of each document and item that share a consistent window."""
+def meetings(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, least: int = 5, broadcast: int = BROADCAST, by_row: bool = False) -> DataFrame:
+    """``doc_id, item_id, n_windows, n_item_windows, coverage`` of each document and item that share a consistent window.
+
+    ``by_row``: ``row_key`` takes the place of ``doc_id``, so that rows of one id, or of none, stay apart.
+    """
     items = benchmark.select(F.col("item_id").cast("long").alias("doc_id"), "text")
     sizes = list(range(1, window + 1))
     bench = materialize(texts(items).mapInArrow(_cut("doc_id", sizes, 0, True), SCHEMA))
@@ -142,7 +145,9 @@ def meetings(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, least:
         wanted = bench.select("hash").distinct().toPandas()["hash"].to_numpy()
         share = bench.sparkSession.sparkContext.broadcast((np.sort(hashes.view(np.uint64)), np.sort(wanted.view(np.uint64))))
     used = sorted(r[0] for r in bench.select("n").distinct().collect())
-    met = texts(docs).mapInArrow(_cut("doc_id", used, least, False, share), SCHEMA) if used else bench.limit(0)
+    schema = SCHEMA.replace("id long", "id binary") if by_row else SCHEMA
+    rows = texts(docs).select(row_key().alias("id"), "text") if by_row else texts(docs).withColumnRenamed("doc_id", "id")
+    met = rows.mapInArrow(_cut("id", used, least, False, share), schema) if used else bench.limit(0)
     b = bench.select("hash", F.col("id").alias("item_id"), F.col("at").alias("item_at"), F.col("slots").alias("said"))
     # Windows at one distance between item and document are one meeting: their slots must agree as a whole.
     distinct = lambda c: F.size(F.array_distinct(F.flatten(F.collect_list(c))))
@@ -151,8 +156,9 @@ def meetings(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, least:
     hit = met.agg((pairs == distinct("slots")).alias("one"), (pairs == distinct("said")).alias("other"), F.collect_set("item_at").alias("places"))
     hit = hit.where("one AND other").select("id", "item_id", F.explode("places").alias("item_at"))
     count = bench.groupBy(F.col("id").alias("item_id")).agg(F.count("*").alias("n_item_windows"))
-    out = hit.groupBy(F.col("id").alias("doc_id"), "item_id").agg(F.countDistinct("item_at").alias("n_windows")).join(count, "item_id")
-    return out.select(real_id(), "item_id", "n_windows", "n_item_windows", F.round(F.col("n_windows") / F.col("n_item_windows"), 6).alias("coverage"))
+    out = hit.groupBy("id", "item_id").agg(F.countDistinct("item_at").alias("n_windows")).join(count, "item_id")
+    own = F.col("id").alias("row_key") if by_row else real_id("id").alias("doc_id")
+    return out.select(own, "item_id", "n_windows", "n_item_windows", F.round(F.col("n_windows") / F.col("n_item_windows"), 6).alias("coverage"))
 
 
 def _hashes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -174,5 +180,6 @@ def leaks(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, coverage:
 
 def clean(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, coverage: float = 0.0) -> DataFrame:
     """The rows of ``docs``, all columns, that hold no benchmark passage."""
-    bad = leaks(docs, benchmark, window, coverage).select(F.col("doc_id").alias(key := fresh(docs, "leaked_id"))).distinct()
-    return docs.join(bad, F.col("doc_id").eqNullSafe(F.col(key)), "left_anti")
+    met = meetings(docs, benchmark, window, by_row=True).where(F.col("coverage") > coverage)
+    bad = met.select(F.col("row_key").alias(key := fresh(docs, "leaked_key"))).distinct()
+    return docs.withColumn(key, row_key()).join(bad, key, "left_anti").select(*docs.columns)

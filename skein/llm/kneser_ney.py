@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from skein.llm.common import buffers, chunks, real_id, texts
+from skein.llm.common import buffers, chunks, real_id, row_key, texts
 from skein.sources.scratch import fresh, materialize
 
 #: Ids of trusted documents that may be broadcast; more are joined by a shuffle.
@@ -119,8 +119,8 @@ def log_table(model: dict) -> np.ndarray:
     return np.log(np.maximum(three, np.float32(1e-12), out=three), out=three)
 
 
-def scores(docs: DataFrame, model: dict, chunk_bytes: int = 1 << 20) -> DataFrame:
-    """``doc_id, lang, n_bytes, nll`` (negative log likelihood, nats) of each row."""
+def scores(docs: DataFrame, model: dict, chunk_bytes: int = 1 << 20, by_row: bool = False) -> DataFrame:
+    """``doc_id, lang, n_bytes, nll`` (negative log likelihood, nats) of each row; with ``by_row`` its ``row_key`` too."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -130,9 +130,11 @@ def scores(docs: DataFrame, model: dict, chunk_bytes: int = 1 << 20) -> DataFram
                 data, offsets = buffers(piece["text"])
                 total = np.append(0.0, np.cumsum(table[grams(data, offsets)], dtype=np.float64))
                 pa.default_memory_pool().release_unused()
-                yield pa.record_batch({"doc_id": piece["doc_id"], "lang": piece["lang"], "n_bytes": pa.array(np.diff(offsets)), "nll": pa.array(total[offsets[:-1]] - total[offsets[1:]])})
+                yield pa.record_batch({"doc_id": piece["doc_id"], "lang": piece["lang"], "n_bytes": pa.array(np.diff(offsets)), "nll": pa.array(total[offsets[:-1]] - total[offsets[1:]]), **{c: piece[c] for c in more}})
 
-    return texts(docs, "lang").mapInArrow(score, "doc_id long, lang string, n_bytes long, nll double")
+    rows, more = texts(docs, "lang"), ["row_key"] if by_row else []
+    rows = rows.withColumn("row_key", row_key(F.expr(LANG))) if by_row else rows
+    return rows.mapInArrow(score, "doc_id long, lang string, n_bytes long, nll double" + ", row_key binary" * by_row)
 
 
 def trusted_ids(labels: DataFrame) -> DataFrame:
@@ -141,20 +143,21 @@ def trusted_ids(labels: DataFrame) -> DataFrame:
     return said.agg(F.min("quality").alias("q"), F.max("toxic").alias("t")).where("q = 1 AND coalesce(t, 0) = 0").select("doc_id")
 
 
-def judge(docs: DataFrame, labels: DataFrame, quantile: float = 0.995, slack: float = 1.05) -> DataFrame:
+def judge(docs: DataFrame, labels: DataFrame, quantile: float = 0.995, slack: float = 1.05, by_row: bool = False) -> DataFrame:
     """``doc_id, lang, n_bytes, perplexity, threshold, kept`` of each row of ``docs``.
 
     Perplexity is by byte, with PRIOR_BYTES more at the mean of the language. A language's
     threshold is ``slack`` times the ``quantile`` of its trusted documents; languages without
     any take that of all trusted documents, and without trusted documents all are kept. Null
     language is a language of its own; null text is empty and has the mean; a null id comes
-    back null; repeated rows are judged each; an empty table gives an empty result.
+    back null; repeated rows are judged each; an empty table gives an empty result. ``by_row``:
+    each row's ``row_key`` (id, language and text) is a column more.
     """
     ids = materialize(trusted_ids(labels))
     small = ids.count() <= BROADCAST_IDS
     trusted = texts(docs).join(F.broadcast(ids) if small else ids, "doc_id", "left_semi")
     model = train(trusted)
-    each = materialize(scores(docs, model).withColumn("lang", F.expr(LANG)))
+    each = materialize(scores(docs, model, by_row=by_row).withColumn("lang", F.expr(LANG)))
     good = each.join(F.broadcast(ids) if small else ids, "doc_id", "left_semi")
     by = good.groupBy("lang").agg(F.sum("nll").alias("nll"), F.sum("n_bytes").alias("bytes"))
     every = by.agg(F.sum("nll"), F.sum("bytes")).first()
@@ -175,11 +178,14 @@ def judge(docs: DataFrame, labels: DataFrame, quantile: float = 0.995, slack: fl
     perplexity, threshold = F.round(F.exp(rate), 6), F.round(slack * F.exp("cut"), 6)
     # A few languages hold all rows: their limits are broadcast, unless a table names very many.
     limits = materialize(limits)
-    out = each.join(F.broadcast(limits) if limits.count() <= LANGUAGES else limits, "lang").select("doc_id", "lang", "n_bytes", perplexity.alias("perplexity"), threshold.alias("threshold"))
-    return out.select(real_id(), "lang", "n_bytes", "perplexity", "threshold", F.coalesce(F.col("perplexity") <= F.col("threshold"), F.lit(True)).alias("kept"))
+    more = ["row_key"] if by_row else []
+    out = each.join(F.broadcast(limits) if limits.count() <= LANGUAGES else limits, "lang").select("doc_id", "lang", "n_bytes", perplexity.alias("perplexity"), threshold.alias("threshold"), *more)
+    return out.select(real_id(), "lang", "n_bytes", "perplexity", "threshold", F.coalesce(F.col("perplexity") <= F.col("threshold"), F.lit(True)).alias("kept"), *more)
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, quantile: float = 0.995, slack: float = 1.05) -> DataFrame:
-    """The rows of ``docs``, all columns, that ``judge`` keeps; of rows with one doc_id all go if one is rejected."""
-    bad = judge(docs, labels, quantile, slack).where("NOT kept").select(F.col("doc_id").alias(key := fresh(docs, "rejected_id"))).distinct()
-    return docs.join(bad, F.col("doc_id").eqNullSafe(F.col(key)), "left_anti")
+    """The rows of ``docs``, all columns, that ``judge`` keeps, each by its own text."""
+    judged = judge(docs, labels, quantile, slack, by_row=True)
+    bad = judged.where("NOT kept").select(F.col("row_key").alias(key := fresh(docs, "rejected_key"))).distinct()
+    lang = F.expr(LANG) if "lang" in {c.lower() for c in docs.columns} else F.lit("und")
+    return docs.withColumn(key, row_key(lang)).join(bad, key, "left_anti").select(*docs.columns)

@@ -351,6 +351,25 @@ def test_keep_one_keeps_columns_and_one_row_a_class(spark, odd):
     assert sorted(ids, key=repr) == sorted({d for d, c in brute_near([(r[0], r[1]) for r in awkward()]) if d == c}, key=repr)
 
 
+def test_stages_tell_rows_apart_by_text(spark):
+    """Rows without an id, or of one id, are kept or dropped each by its own text."""
+    rng = random.Random(31)
+    fresh = lambda n=60: " ".join(f"u{rng.randrange(10**6)}" for _ in range(n))
+    own, shared, copied, junk = [fresh() for _ in range(5)], fresh(), fresh(), [chr(0x4E00 + i) * 40 for i in range(3)]
+    rows = [(None, own[0]), (None, own[1]), (None, own[0]), (None, copied + " tail"), (5, own[2]), (5, shared), (1, shared), (2, copied), (3, own[3]), (3, own[4])]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    kept = sorted((r.text for r in near_copies.keep_one(docs).collect()))
+    assert kept == sorted([*own, shared, copied])
+    leaking = [(None, own[0]), (None, own[1]), (4, own[2]), (4, own[3])]
+    bench = spark.createDataFrame([(1, own[0]), (2, own[2])], "item_id long, text string")
+    assert {r.text for r in decontaminate.clean(spark.createDataFrame(leaking, "doc_id long, text string"), bench).collect()} == {own[1], own[3]}
+    plain = [(i, fresh(), "en") for i in range(300)]
+    docs = spark.createDataFrame([*plain, (None, own[0], "en"), (None, junk[0], "en"), (7000, own[1], "en"), (7000, junk[1], "en")], "doc_id long, text string, lang string")
+    labels = spark.createDataFrame([(i, 1, 0) for i in range(300)], "doc_id long, quality int, toxic int")
+    kept = {r.text for r in kneser_ney.keep_good(docs, labels).collect()}
+    assert {own[0], own[1]} <= kept and not kept & set(junk)
+
+
 # --- operator 4
 
 
