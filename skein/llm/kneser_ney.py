@@ -1,10 +1,15 @@
 """Operator 2: quality by the perplexity of an interpolated modified Kneser-Ney model.
 
-The model counts n-grams of bytes in trusted text (labelled good and not toxic, all of it).
-Bytes keep the model's tables bounded by construction: with order three 256^3 entries, whatever
-the corpus. Counts are summed map-side, then sharded by context and joined with the counts
-of their contexts and of the lower order. Each document gets its perplexity; a language's
-threshold is a quantile of its trusted documents.
+The units are bytes, in n-grams of five. Trusted text (labelled good and not toxic, all of it)
+is counted; counts are sharded by context and joined with the sums of their contexts and with
+the order below. Every document is in one of two folds, by its id, and is scored by the model
+of the other fold's trusted text, so that none is scored by a model that has seen it: the fold
+is one more bit in front of an n-gram, and one set of tables holds both models.
+
+Documents meet the model by joins, too. A block of some MB of text sends its distinct n-grams
+to shards; the shards' distinct n-grams are joined with the tables of all orders, backing off
+where one has none; the answers go back to the block, whose text gives each document's
+perplexity. A language's threshold is a quantile of its trusted documents.
 """
 
 from __future__ import annotations
@@ -12,13 +17,17 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from skein.llm.common import buffers, chunks, real_id, row_key, texts
 from skein.sources.scratch import fresh, materialize
 
+#: Bytes of an n-gram; with the fold, at most seven fit a long.
+ORDER = 5
 #: Ids of trusted documents that may be broadcast; more are joined by a shuffle.
 BROADCAST_IDS = 2_000_000
 #: Languages whose few numbers may be broadcast.
@@ -27,114 +36,220 @@ LANGUAGES = 10_000
 PRIOR_BYTES = 64.0
 #: Steps of log-perplexity in which quantiles are taken.
 STEP = 0.001
+#: Text of a block, and positions that are looked at together.
+BLOCK_BYTES, WINDOW = 16 << 20, 1 << 20
+#: Discounts of a corpus too small to have n-grams of all counts up to four.
+SMALL_CORPUS = (0.5, 0.75, 0.9)
 LANG = "coalesce(lang, 'und')"
+BLOCK_SCHEMA = pa.schema([("route", pa.int64()), ("block", pa.int64()), ("payload", pa.binary()), ("docs", pa.binary())])
 
 
-def grams(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
-    """For each byte its trigram, as a number; two zero bytes stand before a document."""
-    n = len(data)
-    lengths = np.diff(offsets)
-    at = np.arange(n) + 2 * (np.repeat(np.arange(len(lengths)), lengths) + 1)
-    padded = np.zeros(n + 2 * len(lengths), np.int32)
-    padded[at] = data
-    return padded[at - 2] << 16 | padded[at - 1] << 8 | padded[at]
+def grams(data: np.ndarray, offsets: np.ndarray, fold: np.ndarray, order: int = ORDER) -> Iterator[tuple[int, np.ndarray]]:
+    """``(first byte, n-grams)`` of windows of the text: for each byte the n-gram that ends there; zero bytes stand before a document."""
+    for first in range(0, len(data), WINDOW):
+        at = np.arange(first, min(first + WINDOW, len(data)))
+        document = np.searchsorted(offsets, at, side="right") - 1
+        out, start = fold[document], offsets[document]
+        for back in range(order - 1, -1, -1):
+            out = out << 8 | np.where(at - back >= start, data[np.maximum(at - back, 0)], 0)
+        yield first, out
 
 
-def _sum(keys: list[np.ndarray], values: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+def _merged(keys: list[np.ndarray], values: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     g, of = np.unique(np.concatenate(keys), return_inverse=True)
     return g, np.bincount(of, np.concatenate(values), minlength=len(g)).astype(np.int64)
 
 
-def counts(trusted: DataFrame, chunk_bytes: int = 1 << 20) -> DataFrame:
-    """``g, n``: the trigrams of ``trusted(doc_id, text)``."""
+def with_fold(docs: DataFrame) -> DataFrame:
+    return docs.withColumn("fold", F.pmod(F.xxhash64("doc_id"), F.lit(2)))
+
+
+def counts(trusted: DataFrame, order: int = ORDER, chunk_bytes: int = 4 << 20) -> DataFrame:
+    """``g, n``: the n-grams of ``trusted(doc_id, text, fold)``, each under the other fold."""
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
         for batch in batches:
             for piece in chunks(batch, chunk_bytes):
-                g, n = np.unique(grams(*buffers(piece["text"])), return_counts=True)
-                held[0].append(g.astype(np.int64))
-                held[1].append(n)
+                for _, found in grams(*buffers(piece["text"]), 1 - np.asarray(piece["fold"]), order):
+                    g, n = np.unique(found, return_counts=True)
+                    held[0].append(g)
+                    held[1].append(n)
                 if len(held[0]) > 16:
-                    held = tuple([x] for x in _sum(*held))
-        g, n = _sum(*held)
-        yield pa.record_batch({"g": pa.array(g), "n": pa.array(n)})
+                    held = tuple([x] for x in _merged(*held))
+        g, n = _merged(*held)
+        for i in range(0, len(g), 1 << 16):
+            yield pa.record_batch({"g": pa.array(g[i : i + (1 << 16)]), "n": pa.array(n[i : i + (1 << 16)])})
 
-    return trusted.mapInArrow(cut, "g long, n long").groupBy("g").agg(F.sum("n").alias("n"))
+    return trusted.select("text", "fold").mapInArrow(cut, "g long, n long").groupBy("g").agg(F.sum("n").alias("n"))
 
 
-def discounts(table: DataFrame) -> tuple[float, float, float]:
-    """Modified Kneser-Ney discounts for counts of one, two, and three or more."""
+def discounts(table: DataFrame, above: tuple[float, float, float]) -> tuple[float, float, float]:
+    """Modified Kneser-Ney discounts for counts of one, two, and three or more; those of the order ``above`` where a count of counts is missing or the estimate is none."""
     n1, n2, n3, n4 = table.agg(*[F.count_if(F.col("n") == k) for k in (1, 2, 3, 4)]).first()
     if not (n1 and n2 and n3 and n4):
-        return 0.5, 0.75, 0.9
+        return above
     y = n1 / (n1 + 2 * n2)
-    return tuple(min(max(d, 0.01), k - 0.01) for k, d in ((1, 1 - 2 * y * n2 / n1), (2, 2 - 3 * y * n3 / n2), (3, 3 - 4 * y * n4 / n3)))
-
-
-def _order(table: DataFrame, context: Column, below: DataFrame | None, lower: Column | None, uniform: float) -> tuple[DataFrame, DataFrame]:
-    """``(g, p)`` and ``(context, weight)`` of one order, from its counts and the order below."""
-    d1, d2, d3 = discounts(table)
-    own = table.withColumn("context", context)
-    sums = own.groupBy("context").agg(F.sum("n").alias("total"), *[F.count_if(test).alias(f"k{i}") for i, test in ((1, F.col("n") == 1), (2, F.col("n") == 2), (3, F.col("n") > 2))])
-    weights = sums.select("context", "total", ((d1 * F.col("k1") + d2 * F.col("k2") + d3 * F.col("k3")) / F.col("total")).alias("weight"))
-    joined = own.join(weights, "context")
-    if below is None:
-        joined = joined.withColumn("q", F.lit(uniform))
-    else:
-        joined = joined.withColumn("lower", lower).join(below.select(F.col("g").alias("lower"), F.col("p").alias("q")), "lower")
-    cut = F.when(F.col("n") == 1, d1).when(F.col("n") == 2, d2).otherwise(d3)
-    return joined.select("g", ((F.col("n") - cut) / F.col("total") + F.col("weight") * F.col("q")).alias("p")), weights.select("context", "weight")
-
-
-def train(trusted: DataFrame) -> dict[str, np.ndarray]:
-    """The model's tables, at most 256 + 256^2 + 256^3 probabilities and 1 + 256 + 256^2 back-off weights."""
-    three = materialize(counts(trusted))
-    two = materialize(three.groupBy(F.col("g").bitwiseAND(0xFFFF).alias("g")).agg(F.count("*").alias("n")))
-    one = two.groupBy(F.col("g").bitwiseAND(0xFF).alias("g")).agg(F.count("*").alias("n"))
-    p1, w1 = _order(one, F.shiftright("g", 8), None, None, 1 / 256)
-    p1 = materialize(p1)
-    p2, w2 = _order(two, F.shiftright("g", 8), p1, F.col("g").bitwiseAND(0xFF), 0)
-    p2 = materialize(p2)
-    p3, w3 = _order(three, F.shiftright("g", 8), p2, F.col("g").bitwiseAND(0xFFFF), 0)
-    out = {}
-    for name, frame, (k, v) in (("p1", p1, "gp"), ("p2", p2, "gp"), ("p3", p3, "gp"), ("w1", w1, ("context", "weight")), ("w2", w2, ("context", "weight")), ("w3", w3, ("context", "weight"))):
-        table = frame.select(F.col(k).cast("int"), F.col(v).cast("float")).toArrow()
-        out[name] = np.asarray(table[0]), np.asarray(table[1])
-    return out
-
-
-def log_table(model: dict) -> np.ndarray:
-    """Natural log of p(third byte | first two), for all 2^24 trigrams."""
-    one = np.full(256, (model["w1"][1][0] if len(model["w1"][1]) else 1.0) / 256)
-    one[model["p1"][0]] = model["p1"][1]
-    weight = np.ones(256)
-    weight[model["w2"][0]] = model["w2"][1]
-    two = weight[:, None] * one[None, :]
-    two.ravel()[model["p2"][0]] = model["p2"][1]
-    weight = np.ones(1 << 16, np.float32)
-    weight[model["w3"][0]] = model["w3"][1]
-    three = (weight.reshape(256, 256, 1) * two.astype(np.float32)[None, :, :]).ravel()
-    three[model["p3"][0]] = model["p3"][1]
-    return np.log(np.maximum(three, np.float32(1e-12), out=three), out=three)
-
-
-def scores(docs: DataFrame, model: dict, chunk_bytes: int = 1 << 20, by_row: bool = False) -> DataFrame:
-    """``doc_id, lang, n_bytes, nll`` (negative log likelihood, nats) of each row; with ``by_row`` its ``row_key`` too."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)
-
-    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = log_table(shared.value)
-        for batch in batches:
-            for piece in chunks(batch, chunk_bytes):
-                data, offsets = buffers(piece["text"])
-                total = np.append(0.0, np.cumsum(table[grams(data, offsets)], dtype=np.float64))
-                pa.default_memory_pool().release_unused()
-                yield pa.record_batch({"doc_id": piece["doc_id"], "lang": piece["lang"], "n_bytes": pa.array(np.diff(offsets)), "nll": pa.array(total[offsets[:-1]] - total[offsets[1:]]), **{c: piece[c] for c in more}})
+    found = 1 - 2 * y * n2 / n1, 2 - 3 * y * n3 / n2, 3 - 4 * y * n4 / n3
+    return found if all(0 < d < k for k, d in enumerate(found, 1)) else above
+
+
+def suffix(g: Column, k: int) -> Column:
+    """The last ``k`` bytes of an n-gram of ``k + 1``, with its fold."""
+    return F.shiftleft(F.shiftright(g, 8 * (k + 1)), 8 * k).bitwiseOR(g.bitwiseAND(F.lit((1 << 8 * k) - 1)))
+
+
+def _bounded(table: DataFrame, k: int) -> DataFrame:
+    """Tables of one or two bytes have at most 2 * 65,536 rows and may be broadcast."""
+    return F.broadcast(table) if k <= 2 else table
+
+
+def train(trusted: DataFrame, order: int = ORDER) -> dict[int, tuple[DataFrame, DataFrame]]:
+    """For each order the probabilities ``(g, p)`` of its n-grams and the weights ``(context, weight)`` that their contexts leave to the order below."""
+    table = {order: materialize(counts(trusted, order))}
+    for k in range(order - 1, 0, -1):
+        table[k] = materialize(table[k + 1].groupBy(suffix(F.col("g"), k).alias("g")).agg(F.count("*").alias("n")))
+    cut = {order + 1: SMALL_CORPUS}
+    for k in range(order, 0, -1):
+        cut[k] = discounts(table[k], cut[k + 1])
+    model: dict[int, tuple[DataFrame, DataFrame]] = {}
+    for k in range(1, order + 1):
+        d = F.when(F.col("n") == 1, cut[k][0]).when(F.col("n") == 2, cut[k][1]).otherwise(cut[k][2])
+        own = table[k].withColumn("context", F.shiftright("g", 8))
+        sums = materialize(own.groupBy("context").agg(F.sum("n").alias("total"), (F.sum(d) / F.sum("n")).alias("weight")))
+        joined = own.join(_bounded(sums, k - 1), "context")
+        if k == 1:
+            joined = joined.withColumn("q", F.lit(1 / 256))
+        else:
+            joined = joined.withColumn("lower", suffix(F.col("g"), k - 1)).join(_bounded(model[k - 1][0].toDF("lower", "q"), k - 1), "lower")
+        p = (F.col("n") - d) / F.col("total") + F.col("weight") * F.col("q")
+        model[k] = materialize(joined.select("g", p.alias("p"))), sums.select("context", "weight")
+    return model
+
+
+def resolve(asked: DataFrame, model: dict[int, tuple[DataFrame, DataFrame]]) -> DataFrame:
+    """``g, logp`` of the distinct n-grams ``asked(g)``: one join with each table; an n-gram without a probability takes its context's weight times that of its suffix."""
+    order = max(model)
+    out, key = asked.select("g"), {order: F.col("g")}
+    for k in range(order - 1, 0, -1):
+        key[k] = suffix(key[k + 1], k)
+    p: Column = F.lit(1 / 256)
+    for k in range(1, order + 1):
+        probability, weight = model[k]
+        out = out.withColumns({"key": key[k], "context": F.shiftright(key[k], 8)})
+        out = out.join(_bounded(weight.toDF("context", f"w{k}"), k - 1), "context", "left").join(_bounded(probability.toDF("key", f"p{k}"), k), "key", "left")
+        p = F.coalesce(F.col(f"p{k}"), F.coalesce(F.col(f"w{k}"), F.lit(1.0)) * p)
+    return out.select("g", F.log(p).cast("float").alias("logp"))
+
+
+def _packed(g: np.ndarray) -> bytes:
+    """Ascending numbers: the byte planes of their differences, compressed."""
+    planes = np.ascontiguousarray(np.diff(g, prepend=0).view(np.uint8).reshape(-1, 8).T)
+    return len(g).to_bytes(4, "little") + pa.compress(planes.tobytes(), "zstd", asbytes=True)
+
+
+def _unpacked(payload: bytes) -> np.ndarray:
+    n = int.from_bytes(payload[:4], "little")
+    planes = np.frombuffer(pa.decompress(payload[4:], 8 * n, "zstd", asbytes=True), np.uint8).reshape(8, n)
+    return np.cumsum(np.ascontiguousarray(planes.T).view(np.int64).reshape(-1))
+
+
+def _blocks(rows: DataFrame, shards: int, order: int, block_bytes: int) -> DataFrame:
+    """``(route, block, payload, docs)``: a block's text (route: the block) and its distinct n-grams of each shard (route: -1 - shard)."""
 
-    rows, more = texts(docs, "lang"), ["row_key"] if by_row else []
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part, made, held, size = TaskContext.get().partitionId(), 0, [], 0
+
+        def flush() -> Iterator[pa.RecordBatch]:
+            nonlocal made
+            piece = pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+            data, offsets = buffers(piece["text"])
+            found = [np.zeros(0, np.int64)]
+            for _, g in grams(data, offsets, np.asarray(piece["fold"]), order):
+                found.append(np.unique(g))
+                if len(found) > 16:
+                    found = [np.unique(np.concatenate(found))]
+            g = np.unique(np.concatenate(found))
+            block = part << 32 | made
+            made += 1
+            head = piece.drop_columns(["text"]).append_column("n_bytes", pa.array(np.diff(offsets)))
+            sink = pa.BufferOutputStream()
+            with pa.ipc.new_stream(sink, head.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
+                out.write_batch(head)
+            text = len(data).to_bytes(8, "little") + pa.Codec("zstd", compression_level=3).compress(data.tobytes(), asbytes=True)
+            out = [(block, block, text, sink.getvalue().to_pybytes())]
+            place = g % shards
+            by = np.argsort(place, kind="stable")
+            used, start = np.unique(place[by], return_index=True)
+            out += [(-1 - int(s), block, _packed(g[of]), None) for s, of in zip(used, np.split(by, start[1:]), strict=False)]
+            for k in range(0, len(out), 64):
+                yield pa.RecordBatch.from_pylist([dict(zip(BLOCK_SCHEMA.names, r, strict=True)) for r in out[k : k + 64]], schema=BLOCK_SCHEMA)
+
+        for batch in batches:
+            for piece in chunks(batch, 1 << 20):
+                n = int(buffers(piece["text"])[1][-1])
+                if held and size + n > block_bytes:
+                    yield from flush()
+                    held, size = [], 0
+                held.append(piece)
+                size += n
+        if held:
+            yield from flush()
+
+    return rows.mapInArrow(cut, "route long, block long, payload binary, docs binary")
+
+
+def scores(docs: DataFrame, model: dict[int, tuple[DataFrame, DataFrame]], by_row: bool = False, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """``doc_id, lang, n_bytes, nll`` (negative log likelihood, nats) of each row by its fold's model; with ``by_row`` its ``row_key`` too."""
+    order, more = max(model), ["row_key"] if by_row else []
+    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    shards = 2 * parts + 1
+    rows = with_fold(texts(docs, "lang"))
     rows = rows.withColumn("row_key", row_key(F.expr(LANG))) if by_row else rows
-    return rows.mapInArrow(score, "doc_id long, lang string, n_bytes long, nll double" + ", row_key binary" * by_row)
+    # One shuffle, which Spark reuses, feeds the three consumers; each passes over what the others take.
+    dealt = _blocks(rows, shards, order, block_bytes).repartition(parts, "route")
+
+    def distinct(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        if key[0] >= 0:
+            return pd.DataFrame({"g": []})
+        return pd.DataFrame({"g": np.unique(np.concatenate([_unpacked(x) for x in pdf["payload"]]))})
+
+    def answer(key: tuple, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        if key[0] >= 0:
+            return pd.DataFrame({"block": [], "payload": []})
+        known = right.sort_values("g")
+        g, logp = known["g"].to_numpy(), known["logp"].to_numpy()
+        found = [logp[np.searchsorted(g, _unpacked(x))].tobytes() for x in left["payload"]]
+        return pd.DataFrame({"block": left["block"], "payload": [len(x).to_bytes(4, "little") + x + f for x, f in zip(left["payload"], found, strict=True)]})
+
+    def finish(key: tuple, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        if key[0] < 0:
+            return pd.DataFrame({c: pd.Series([], dtype=object) for c in ("doc_id", "lang", "n_bytes", "nll", *more)})
+        with pa.ipc.open_stream(left["docs"][0]) as stream:
+            head = stream.read_next_batch()
+        text = left["payload"][0]
+        data = np.frombuffer(pa.decompress(text[8:], int.from_bytes(text[:8], "little"), "zstd"), np.uint8)
+        cut = [4 + int.from_bytes(x[:4], "little") for x in right["payload"]]
+        g = np.concatenate([np.zeros(0, np.int64), *(_unpacked(x[4:k]) for x, k in zip(right["payload"], cut, strict=True))])
+        logp = np.concatenate([np.zeros(0, np.float32), *(np.frombuffer(x, np.float32, offset=k) for x, k in zip(right["payload"], cut, strict=True))])
+        by = np.argsort(g)
+        g, logp = g[by], logp[by]
+        n = np.asarray(head["n_bytes"])
+        offsets, nll = np.append(0, np.cumsum(n)), np.zeros(len(n))
+        for first, own in grams(data, offsets, np.asarray(head["fold"]), order):
+            by = np.argsort(own)
+            each = np.empty(len(own))
+            each[by] = logp[np.searchsorted(g, own[by])]
+            total = np.append(0.0, np.cumsum(each))
+            ends = np.clip(offsets - first, 0, len(own))
+            nll -= total[ends[1:]] - total[ends[:-1]]
+        return pd.DataFrame({"doc_id": np.asarray(head["doc_id"]), "lang": head["lang"].to_pylist(), "n_bytes": n, "nll": nll, **{c: head[c].to_pylist() for c in more}})
+
+    known = resolve(dealt.groupBy("route").applyInPandas(distinct, "g long"), model)
+    known = known.withColumn("route", -1 - F.pmod("g", F.lit(shards)))
+    answers = dealt.groupBy("route").cogroup(known.groupBy("route")).applyInPandas(answer, "block long, payload binary")
+    schema = "doc_id long, lang string, n_bytes long, nll double" + ", row_key binary" * by_row
+    return dealt.groupBy("route").cogroup(answers.groupBy("block")).applyInPandas(finish, schema)
 
 
 def trusted_ids(labels: DataFrame) -> DataFrame:
@@ -147,17 +262,19 @@ def judge(docs: DataFrame, labels: DataFrame, quantile: float = 0.995, slack: fl
     """``doc_id, lang, n_bytes, perplexity, threshold, kept`` of each row of ``docs``.
 
     Perplexity is by byte, with PRIOR_BYTES more at the mean of the language. A language's
-    threshold is ``slack`` times the ``quantile`` of its trusted documents; languages without
-    any take that of all trusted documents, and without trusted documents all are kept. Null
-    language is a language of its own; null text is empty and has the mean; a null id comes
-    back null; repeated rows are judged each; an empty table gives an empty result. ``by_row``:
-    each row's ``row_key`` (id, language and text) is a column more.
+    threshold is ``slack`` times the ``quantile`` of its trusted documents, each scored by the
+    model that has not seen it; languages without any take that of all trusted documents, and
+    without trusted documents all are kept. Null language is a language of its own; null text
+    is empty and has the mean; a text of any length is scored whole, in windows; a null id
+    comes back null and is in one fold; repeated rows are judged each; other columns are not
+    used; an empty table gives an empty result. ``by_row``: each row's ``row_key`` (id, language
+    and text) is a column more.
     """
     ids = materialize(trusted_ids(labels))
     small = ids.count() <= BROADCAST_IDS
-    trusted = texts(docs).join(F.broadcast(ids) if small else ids, "doc_id", "left_semi")
+    trusted = with_fold(texts(docs)).join(F.broadcast(ids) if small else ids, "doc_id", "left_semi")
     model = train(trusted)
-    each = materialize(scores(docs, model, by_row=by_row).withColumn("lang", F.expr(LANG)))
+    each = materialize(scores(docs, model, by_row).withColumn("lang", F.expr(LANG)))
     good = each.join(F.broadcast(ids) if small else ids, "doc_id", "left_semi")
     by = good.groupBy("lang").agg(F.sum("nll").alias("nll"), F.sum("n_bytes").alias("bytes"))
     every = by.agg(F.sum("nll"), F.sum("bytes")).first()
@@ -184,7 +301,12 @@ def judge(docs: DataFrame, labels: DataFrame, quantile: float = 0.995, slack: fl
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, quantile: float = 0.995, slack: float = 1.05) -> DataFrame:
-    """The rows of ``docs``, all columns, that ``judge`` keeps, each by its own text."""
+    """The rows of ``docs``, all columns, that ``judge`` keeps, each by its own id, language and text.
+
+    Rows without an id, or of one id, do not decide for each other; repeated rows stay or go
+    together; null and empty texts, long ones and empty tables are as in ``judge``; a column
+    of any name may be there.
+    """
     judged = judge(docs, labels, quantile, slack, by_row=True)
     bad = judged.where("NOT kept").select(F.col("row_key").alias(key := fresh(docs, "rejected_key"))).distinct()
     lang = F.expr(LANG) if "lang" in {c.lower() for c in docs.columns} else F.lit("und")

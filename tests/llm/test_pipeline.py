@@ -3,7 +3,7 @@
 import hashlib
 import math
 import re
-from collections import Counter, defaultdict
+from collections import defaultdict
 
 import numpy as np
 import pytest
@@ -12,28 +12,19 @@ import regex
 import corpus_pipeline
 from skein.llm import bpe, decontaminate, kneser_ney, pseudonyms
 from skein.llm.queries import PII_KEY
-from tests.llm.test_text_operators import VOCABULARY, brute_model, brute_near
+from tests.llm.test_text_operators import VOCABULARY, brute_models, brute_near, brute_nll
 
 DATA = "/root/testdata/sf0.001"
 
 
-def brute_quality(docs, labels, quantile=0.995, slack=1.05):
-    """The ids and texts that stay; docs are (doc_id, text, lang)."""
+def brute_quality(docs, labels, fold, quantile=0.995, slack=1.05):
+    """The ids and texts that stay; docs are (doc_id, text, lang), fold has each id's."""
     said = defaultdict(list)
     for doc_id, quality, toxic in labels:
         said[doc_id].append((quality, toxic or 0))
     trusted = {i for i, x in said.items() if all(q == 1 and t == 0 for q, t in x)}
-    p, memo = brute_model([t or "" for i, t, _ in docs if i in trusted]), {}
-
-    def nll(text):
-        b, total = b"\0\0" + text.encode(), 0.0
-        for g, n in Counter(b[i - 2 : i + 1] for i in range(2, len(b))).items():
-            if g not in memo:
-                memo[g] = -math.log(p(g))
-            total += n * memo[g]
-        return total
-
-    scored = [(i, lang or "und", len((t or "").encode()), nll(t or "")) for i, t, lang in docs]
+    models, memo = brute_models([(fold[i], t or "") for i, t, _ in docs if i in trusted]), [{}, {}]
+    scored = [(i, lang or "und", len((t or "").encode()), brute_nll(t or "", models[fold[i]], memo[fold[i]])) for i, t, lang in docs]
     sums = defaultdict(lambda: [0.0, 0])
     for i, lang, n, x in scored:
         if i in trusted:
@@ -101,8 +92,8 @@ def brute_leaks(docs, items, window=8, least=5):
     return bad
 
 
-def brute_run(docs, labels, items):
-    left = brute_quality(docs, labels)
+def brute_run(docs, labels, items, fold):
+    left = brute_quality(docs, labels, fold)
     ids = {d for d, c in brute_near(left) if d == c}
     counts = [len(docs), len(left), len(ids)]
     left = [(d, t) for d, t in left if d in ids]
@@ -124,7 +115,7 @@ def tables(spark):
 def test_run_is_the_chain_of_plain_loops(spark, tables):
     docs, labels, bench = tables
     rows = [tuple(r) for r in docs.select("doc_id", "text", "lang").collect()]
-    want, counts = brute_run(rows, [tuple(r) for r in labels.select("doc_id", "quality", "toxic").collect()], [tuple(r) for r in bench.select("item_id", "text").collect()])
+    want, counts = brute_run(rows, [tuple(r) for r in labels.select("doc_id", "quality", "toxic").collect()], [tuple(r) for r in bench.select("item_id", "text").collect()], {r.doc_id: r.fold for r in kneser_ney.with_fold(docs).collect()})
     assert sorted(tuple(r) for r in bpe.digests(corpus_pipeline.run(spark, DATA)).collect()) == want
     assert all(a > b for a, b in zip(counts, counts[1:])), counts  # each of the filtering stages has something to do
 
