@@ -92,19 +92,17 @@ def segments(data: np.ndarray, offsets: np.ndarray, length: int) -> dict[str, np
     return {"document": document, "start": at - offsets[document], "length": n, "offset": anchor[at] - at, "anchor": h32[anchor[at]].view(np.int64), "content": content.view(np.int64)}
 
 
-def _text_tags(column: pa.Array) -> np.ndarray:
-    """15 bits of each text's hash: tells rows that repeat a doc_id with another text apart."""
-    import xxhash
+PLACES = "kind byte, anchor long, content long, doc_id long, tag long, start long, length int, offset short"
 
-    return np.fromiter((xxhash.xxh3_64_intdigest(x) & 0x7FFF for x in column.cast(pa.large_binary()).to_pylist()), np.int64, len(column))
 
-
-PLACES = "kind byte, anchor long, content long, doc_id long, tag short, start long, length int, offset short"
+def tagged(docs: DataFrame) -> DataFrame:
+    """``texts`` with ``tag``, 64 bits of the text: with the id it tells rows apart that share an id or have none."""
+    return texts(docs).withColumn("tag", F.xxhash64("text"))
 
 
 def places(docs: DataFrame, length: int, chunk_bytes: int = 1 << 20) -> DataFrame:
     """Segments (kind 0), one of each content in a chunk; and what a chunk shows to be repeated (kind 1)."""
-    types = pa.schema([("kind", pa.int8()), ("anchor", pa.int64()), ("content", pa.int64()), ("doc_id", pa.int64()), ("tag", pa.int16()), ("start", pa.int64()), ("length", pa.int32()), ("offset", pa.int16())])
+    types = pa.schema([("kind", pa.int8()), ("anchor", pa.int64()), ("content", pa.int64()), ("doc_id", pa.int64()), ("tag", pa.int64()), ("start", pa.int64()), ("length", pa.int32()), ("offset", pa.int16())])
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -112,7 +110,7 @@ def places(docs: DataFrame, length: int, chunk_bytes: int = 1 << 20) -> DataFram
                 with np.errstate(over="ignore"):
                     data, offsets = buffers(piece["text"])
                     s = segments(data, offsets, length)
-                    ids, tags = np.asarray(piece["doc_id"]), _text_tags(piece["text"])
+                    ids, tags = np.asarray(piece["doc_id"]), np.asarray(piece["tag"])
                     doc_id, tag = ids[s["document"]], tags[s["document"]]
                     order = np.lexsort((s["start"], tag, doc_id, s["content"], s["anchor"]))
                     same = np.append(False, (s["anchor"][order][1:] == s["anchor"][order][:-1]) & (s["content"][order][1:] == s["content"][order][:-1]))
@@ -124,17 +122,17 @@ def places(docs: DataFrame, length: int, chunk_bytes: int = 1 << 20) -> DataFram
                     sent = np.zeros(len(order), bool)
                     sent[order[~same]] = True
                     at = np.flatnonzero(sent)
-                    yield pa.RecordBatch.from_arrays([pa.array(np.zeros(len(at), np.int8)), *(pa.array(x[at]) for x in (s["anchor"], s["content"], doc_id)), pa.array(tag[at].astype(np.int16)), pa.array(s["start"][at]), pa.array(s["length"][at].astype(np.int32)), pa.array(s["offset"][at].astype(np.int16))], schema=types)
+                    yield pa.RecordBatch.from_arrays([pa.array(np.zeros(len(at), np.int8)), *(pa.array(x[at]) for x in (s["anchor"], s["content"], doc_id)), pa.array(tag[at]), pa.array(s["start"][at]), pa.array(s["length"][at].astype(np.int32)), pa.array(s["offset"][at].astype(np.int16))], schema=types)
                     # Neighbouring repeats of a document are one interval.
                     at = np.flatnonzero(gone)
                     if len(at):
                         first = np.append(True, (np.diff(at) > 1) | (s["document"][at][1:] != s["document"][at][:-1]))
                         a, b = at[first], at[np.append(np.flatnonzero(first)[1:] - 1, len(at) - 1)]
                         size = s["start"][b] + s["length"][b] - s["start"][a]
-                        route = _mix(doc_id[a].astype(np.uint64) * M1 + s["start"][a].astype(np.uint64) * M2).view(np.int64)
-                        yield pa.RecordBatch.from_arrays([pa.array(np.ones(len(a), np.int8)), pa.array(route), pa.array(np.arange(len(a))), pa.array(doc_id[a]), pa.array(tag[a].astype(np.int16)), pa.array(s["start"][a]), pa.array(size.astype(np.int32)), pa.array(np.zeros(len(a), np.int16))], schema=types)
+                        route = _mix(doc_id[a].astype(np.uint64) * M1 + tag[a].astype(np.uint64) * M3 + s["start"][a].astype(np.uint64) * M2).view(np.int64)
+                        yield pa.RecordBatch.from_arrays([pa.array(np.ones(len(a), np.int8)), pa.array(route), pa.array(np.arange(len(a))), pa.array(doc_id[a]), pa.array(tag[a]), pa.array(s["start"][a]), pa.array(size.astype(np.int32)), pa.array(np.zeros(len(a), np.int16))], schema=types)
 
-    return texts(docs).mapInArrow(cut, PLACES)
+    return tagged(docs).mapInArrow(cut, PLACES)
 
 
 def _least_between(lcp: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -219,7 +217,7 @@ def _sorted_groups(length: int, batch_rows: int = 8192):
     return run
 
 
-GONE = "doc_id long, tag short, start long, length int"
+GONE = "doc_id long, tag long, start long, length int"
 
 
 def repeats(docs: DataFrame, length: int = 100, group: int = GROUP) -> DataFrame:
@@ -234,10 +232,10 @@ def repeats(docs: DataFrame, length: int = 100, group: int = GROUP) -> DataFrame
     todo = F.when((F.col("kind") == 1) | (F.col("nth") > 1), 0).when(F.col("others") > group, 2).when(F.col("others") > 1, 1)
     marked = materialize(ranked.withColumn("todo", todo.cast("byte")).where("todo IS NOT NULL").select("todo", "anchor", "doc_id", "tag", "start", "length", "offset"))
     gone = marked.where("todo = 0").select("doc_id", "tag", "start", "length")
-    own = texts(docs).repartition(n, "doc_id")
+    own = tagged(docs).repartition(n, "doc_id", "tag")
 
     def bytes_of(which: int) -> DataFrame:
-        wanted = marked.where(F.col("todo") == which).groupBy("doc_id").agg(F.collect_list(F.struct("anchor", "tag", "start", "length", "offset")).alias("at"))
+        wanted = marked.where(F.col("todo") == which).groupBy("doc_id", "tag").agg(F.collect_list(F.struct("anchor", "start", "length", "offset")).alias("at"))
 
         def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
@@ -245,18 +243,15 @@ def repeats(docs: DataFrame, length: int = 100, group: int = GROUP) -> DataFrame
                     data, offsets = buffers(piece["text"])
                     each, at = piece["at"].flatten(), piece["at"].value_lengths().to_numpy()
                     row = np.repeat(np.arange(piece.num_rows), at)
-                    tag = np.asarray(each.field("tag"))
-                    keep = np.flatnonzero(tag == _text_tags(piece["text"])[row])
-                    row, each = row[keep], each.take(pa.array(keep))
                     start, size = np.asarray(each.field("start")), np.asarray(each.field("length")).astype(np.int64)
                     flat = data[gather(offsets[row] + start, size)]
                     cuts = pa.py_buffer(np.append(0, np.cumsum(size)).astype(np.int32))
                     out = pa.Array.from_buffers(pa.binary(), len(row), [None, cuts, pa.py_buffer(flat)])
-                    t = pa.RecordBatch.from_arrays([each.field("anchor"), pa.array(np.asarray(piece["doc_id"])[row]), each.field("tag"), each.field("start"), each.field("length"), each.field("offset"), out], ["anchor", "doc_id", "tag", "start", "length", "offset", "bytes"])
+                    t = pa.RecordBatch.from_arrays([each.field("anchor"), pa.array(np.asarray(piece["doc_id"])[row]), pa.array(np.asarray(piece["tag"])[row]), each.field("start"), each.field("length"), each.field("offset"), out], ["anchor", "doc_id", "tag", "start", "length", "offset", "bytes"])
                     for i in range(0, t.num_rows, 8192):
                         yield t.slice(i, 8192)
 
-        return own.join(wanted, "doc_id").select("doc_id", "text", "at").mapInArrow(cut, "anchor long, doc_id long, tag short, start long, length int, offset short, bytes binary")
+        return own.join(wanted, ["doc_id", "tag"]).select("doc_id", "tag", "text", "at").mapInArrow(cut, "anchor long, doc_id long, tag long, start long, length int, offset short, bytes binary")
 
     sorted_ = bytes_of(1).repartition(n, "anchor").sortWithinPartitions("anchor", "doc_id", "tag", "start")
     gone = gone.union(sorted_.mapInArrow(_sorted_groups(length), GONE))
@@ -270,9 +265,9 @@ def _by_hash(pieces: DataFrame, length: int) -> DataFrame:
         for batch in batches:
             for r in batch.to_pylist():
                 found = [hashlib.blake2b(r["bytes"][i : i + length], digest_size=16).digest() for i in range(r["length"] - length + 1)]
-                yield pa.record_batch({"h": pa.array(found, pa.binary()), "doc_id": pa.array([r["doc_id"]] * len(found)), "tag": pa.array([r["tag"]] * len(found), pa.int16()), "start": pa.array([r["start"] + i for i in range(len(found))])})
+                yield pa.record_batch({"h": pa.array(found, pa.binary()), "doc_id": pa.array([r["doc_id"]] * len(found)), "tag": pa.array([r["tag"]] * len(found), pa.int64()), "start": pa.array([r["start"] + i for i in range(len(found))])})
 
-    strings = materialize(pieces.mapInArrow(cut, "h binary, doc_id long, tag short, start long"))
+    strings = materialize(pieces.mapInArrow(cut, "h binary, doc_id long, tag long, start long"))
     place = F.struct("doc_id", "tag", "start")
     first = strings.groupBy("h").agg(F.min(place).alias("first"), F.count("*").alias("n")).where("n > 1").select("h", "first")
     return strings.join(first, "h").where(place != F.col("first")).select("doc_id", "tag", "start", F.lit(length).alias("length"))
@@ -281,14 +276,15 @@ def _by_hash(pieces: DataFrame, length: int) -> DataFrame:
 def remove_repeats(docs: DataFrame, length: int = 100, group: int = GROUP) -> DataFrame:
     """``doc_id, n_bytes, n_removed, n_spans, kept binary`` of each row of ``docs``.
 
-    Null text is empty. Documents are in the order of doc_id, nulls first; rows that repeat a
-    doc_id with another text stand in an arbitrary fixed order; rows that repeat both are one
-    document, with a result row each. A null id comes back null; an empty table gives an
-    empty result; other columns are not used.
+    Null text is empty. Documents are in the order of doc_id, nulls first; rows that share a
+    doc_id, or have none, with another text are documents of their own and stand in the order
+    of a 64-bit hash of their texts; rows that repeat both are one document, with a result
+    row each. A text of any length is taken whole. A null id comes back null; an empty table
+    gives an empty result; other columns are not used.
     """
     n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    gone = repeats(docs, length, group).groupBy("doc_id").agg(F.collect_list(F.struct("tag", "start", "length")).alias("gone"))
-    own = texts(docs).repartition(n, "doc_id")
+    gone = repeats(docs, length, group).groupBy("doc_id", "tag").agg(F.collect_list(F.struct("start", "length")).alias("gone"))
+    own = tagged(docs).repartition(n, "doc_id", "tag")
 
     def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -296,11 +292,10 @@ def remove_repeats(docs: DataFrame, length: int = 100, group: int = GROUP) -> Da
                 data, offsets = buffers(piece["text"])
                 each = piece["gone"].flatten()
                 row = np.repeat(np.arange(piece.num_rows), piece["gone"].value_lengths().fill_null(0).to_numpy())
-                keep = np.asarray(each.field("tag")) == _text_tags(piece["text"])[row]
-                at, size = np.asarray(each.field("start"))[keep], np.asarray(each.field("length"))[keep]
+                at, size = np.asarray(each.field("start")), np.asarray(each.field("length"))
                 step = np.zeros(len(data) + 1, np.int32)
-                np.add.at(step, offsets[row[keep]] + at, 1)
-                np.add.at(step, offsets[row[keep]] + at + size, -1)
+                np.add.at(step, offsets[row] + at, 1)
+                np.add.at(step, offsets[row] + at + size, -1)
                 out = np.cumsum(step[:-1]) > 0
                 total = np.append(0, np.cumsum(out))
                 begin = out.copy()
@@ -311,7 +306,7 @@ def remove_repeats(docs: DataFrame, length: int = 100, group: int = GROUP) -> Da
                 of = lambda x: pa.array((x[offsets[1:]] - x[offsets[:-1]]).astype(np.int64))
                 yield pa.record_batch({"doc_id": piece["doc_id"], "n_bytes": pa.array(np.diff(offsets)), "n_removed": of(total), "n_spans": of(spans), "kept": pa.array(kept, pa.binary())})
 
-    out = own.join(gone, "doc_id", "left").select("doc_id", "text", "gone").mapInArrow(finish, "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary")
+    out = own.join(gone, ["doc_id", "tag"], "left").select("doc_id", "text", "gone").mapInArrow(finish, "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary")
     return out.select(real_id(), "n_bytes", "n_removed", "n_spans", "kept")
 
 
