@@ -17,9 +17,13 @@ from skein.sources.scratch import materialize
 #: Fixed values of the contract: host, path, verdict.
 RULES = [("com", "/", "allow"), ("example.com", "/en/", "block"), ("www.example.com", "/en/", "allow"), ("net", "/es/", "block"), ("net", "/fr/", "block")]
 
-#: Target of a canonical link or of an immediate refresh; attributes in either order.
-CANONICAL = [r"""(?i)<link\b[^>]*\brel\s*=\s*["']?canonical["']?[^>]*\bhref\s*=\s*["']?([^"'\s>]+)""", r"""(?i)<link\b[^>]*\bhref\s*=\s*["']?([^"'\s>]+)["']?[^>]*\brel\s*=\s*["']?canonical\b"""]
-REFRESH = [r"""(?i)<meta\b[^>]*\bhttp-equiv\s*=\s*["']?refresh["']?[^>]*\bcontent\s*=\s*["']?\d+\s*;\s*url\s*=\s*([^"'\s>]+)"""]
+#: Tags that may name a target, and the value of an attribute in one.
+TAGS = r"(?is)<(?:link|meta)\b[^>]*>"
+VALUE = r"""(?is)\s{name}\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))"""
+#: Target in the content of an immediate refresh.
+REFRESH = r"""(?is)^\s*\d+(?:\.\d*)?\s*[;,]\s*(?:url\s*=\s*)?["']?([^"'\s]+)"""
+#: Character references that occur in urls.
+ENTITIES = {"&quot;": '"', "&#34;": '"', "&apos;": "'", "&#39;": "'", "&lt;": "<", "&gt;": ">", "&#x2f;": "/", "&#x2F;": "/", "&#47;": "/", "&#38;": "&", "&#x26;": "&", "&amp;": "&"}
 
 
 def host_path(url: Column) -> tuple[Column, Column]:
@@ -44,12 +48,48 @@ def own_rule(pages: DataFrame, rules: DataFrame) -> DataFrame:
     return pages.join(best.select("host", "path", "m.rule", "m.own"), ["host", "path"], "left")
 
 
+def _attribute(tag: Column, name: str) -> Column:
+    """An attribute's value, however it is quoted; empty if the tag has none."""
+    pattern = VALUE.replace("{name}", name)
+    found = F.concat(*[F.regexp_extract(tag, pattern, i) for i in (1, 2, 3)])
+    for reference, character in ENTITIES.items():
+        found = F.replace(found, F.lit(reference), F.lit(character))
+    return F.trim(found)
+
+
+def resolved(target: Column, base: Column) -> Column:
+    """``target`` as a whole url: with the scheme, host or folder of ``base`` where it has none of its own; null if it names no other page."""
+    scheme = F.regexp_extract(base, r"^([^/?#]*)://", 1)
+    site = F.regexp_extract(base, r"^([^/?#]*://[^/?#]*)", 1)
+    path = F.regexp_extract(base, r"^[^/?#]*://[^/?#]*([^?#]*)", 1)
+    folder = F.regexp_extract(path, r"(?s)^(.*/)", 1)
+    folder = F.when(folder == "", "/").otherwise(folder)
+    own, rest = F.regexp_extract(target, r"(?s)^([^?#]*)", 1), F.regexp_extract(target, r"(?s)^[^?#]*(.*)$", 1)
+    whole = F.when(own.startswith("/"), own).otherwise(F.concat(folder, own))
+    # Dot segments: "." goes, ".." takes the segment before it along.
+    up = lambda kept, s: F.when(s == ".", kept).when((s == "..") & (F.size(kept) > 1), F.slice(kept, 1, F.size(kept) - 1)).when(s == "..", kept).otherwise(F.concat(kept, F.array(s)))
+    plain = F.array_join(F.aggregate(F.split(whole, "/"), F.array().cast("array<string>"), up), "/")
+    plain = F.when(whole.rlike(r"/\.\.?$"), F.concat(plain, F.lit("/"))).otherwise(plain)
+    within = F.when(own == "", F.concat(site, path, rest)).otherwise(F.concat(site, plain, rest))
+    return (
+        F.when(target.rlike("^[^/?#]*://"), target)
+        .when((target == "") | target.startswith("#") | target.rlike("^[A-Za-z][A-Za-z0-9+.-]*:") | (site == ""), None)
+        .when(target.startswith("//"), F.concat(scheme, F.lit(":"), target))
+        .otherwise(within)
+    )
+
+
 def links(pages: DataFrame) -> DataFrame:
-    """``(a, b)``: url and the url that it redirects to or names as canonical, if its html says so."""
-    html = F.coalesce("html", F.lit(""))
-    said = F.array(*[F.regexp_extract(html, p, 1) for p in [*CANONICAL, *REFRESH]])
-    marked = pages.where(html.rlike("(?i)canonical|http-equiv"))
-    return marked.select(F.col("url").alias("a"), F.explode(F.array_distinct(F.filter(said, lambda x: x.rlike("^[^/?#]*://")))).alias("b"))
+    """``(a, b)``: url and each url that it redirects to or names as canonical, if its html says so.
+
+    All link and meta tags count, their attributes in any order; relative targets are taken
+    from the page's own url.
+    """
+    marked = pages.where(F.col("html").rlike("(?i)canonical|http-equiv")).select("url", F.explode(F.regexp_extract_all("html", F.lit(TAGS), F.lit(0))).alias("tag"))
+    canonical = F.when(F.array_contains(F.split(F.lower(_attribute(F.col("tag"), "rel")), r"\s+"), "canonical"), _attribute(F.col("tag"), "href"))
+    refresh = F.when(F.lower(_attribute(F.col("tag"), "http-equiv")) == "refresh", F.regexp_extract(_attribute(F.col("tag"), "content"), REFRESH, 1))
+    said = marked.select(F.col("url").alias("a"), F.coalesce(canonical, refresh).alias("target")).where("target <> ''")
+    return said.select("a", resolved(F.col("target"), F.col("a")).alias("b")).where("b IS NOT NULL")
 
 
 def judge(pages: DataFrame, rules: DataFrame | None = None, redirects: DataFrame | None = None) -> DataFrame:
@@ -58,7 +98,8 @@ def judge(pages: DataFrame, rules: DataFrame | None = None, redirects: DataFrame
     ``redirects(a, b)`` are more edges between urls, as from a crawl log. ``alias_of`` is the
     smallest url of the page's class (its own if nothing points to or from it). Null urls
     have an empty host and path, no rule and no class; repeated rows give a row each; of equally
-    long rules that fit, block wins; an empty table gives an empty result.
+    long rules that fit, block wins; html of any length is read whole; other columns are not
+    used; an empty table gives an empty result.
     """
     spark = pages.sparkSession
     if rules is None:
@@ -88,7 +129,10 @@ def oracle() -> str:
     values = ", ".join(f"('{h}', '{p}', '{v}')" for h, p, v in RULES)
     return rf"""
 WITH RECURSIVE r(rh, rp, v) AS (VALUES {values}),
-e AS (SELECT url AS a, regexp_extract(html, '<link[^>]*rel="canonical"[^>]*href="([^"]+)"', 1) AS b FROM pages WHERE html LIKE '%canonical%'),
+t AS (SELECT url, unnest(regexp_extract_all(html, '(?is)<(?:link|meta)\b[^>]*>')) AS tag FROM pages WHERE regexp_matches(html, '(?i)canonical|http-equiv')),
+u AS (SELECT url AS a, replace(CASE WHEN regexp_matches(tag, '(?i)\srel\s*=\s*["'']?canonical') THEN regexp_extract(tag, '(?is)\shref\s*=\s*["'']?([^"''\s>]+)', 1)
+  WHEN regexp_matches(tag, '(?i)\shttp-equiv\s*=\s*["'']?refresh') THEN regexp_extract(tag, '(?is)\scontent\s*=\s*["'']?\s*\d+\s*[;,]\s*url\s*=\s*["'']?([^"''\s>]+)', 1) END, '&amp;', '&') AS b FROM t),
+e AS (SELECT a, CASE WHEN b LIKE '//%' THEN regexp_extract(a, '^([^/?#]*):', 1) || ':' || b WHEN b LIKE '/%' THEN regexp_extract(a, '^([^/?#]*://[^/?#]*)', 1) || b ELSE b END AS b FROM u WHERE b LIKE '/%' OR regexp_matches(b, '^[^/?#]*://')),
 both_ AS (SELECT a, b FROM e WHERE b <> '' UNION SELECT b, a FROM e WHERE b <> ''),
 reach(a, b) AS (SELECT a, a FROM both_ UNION SELECT reach.a, both_.b FROM reach JOIN both_ ON reach.b = both_.a),
 urls AS (SELECT url FROM pages UNION SELECT a FROM both_),
