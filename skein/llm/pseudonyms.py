@@ -1,9 +1,12 @@
 """Operator 6: format-preserving Feistel pseudonyms for personal data.
 
 Values are found by pattern, validated, and permuted by a keyed Feistel network within the
-set of values of their format: a card number stays a number with the same check residue, a
-date a date, an address an address. The permutation depends on the key and the value alone,
-so equal values stay equal over all documents and runs, and different ones different.
+set of valid values of their format: a card number stays one of its network with a right
+check digit, a date a date, an address an address. The permutation depends on the key and the
+value alone, so equal values stay equal over all documents and runs, and different ones
+different. What looks like a value but isn't a valid one (a long number without a card's
+prefix and check digit, an impossible date or social security number) is left alone. An
+email keeps its domain, which is part of its format.
 """
 
 from __future__ import annotations
@@ -35,11 +38,23 @@ PATTERNS = {
     "ip": r"(?<![\d.])\d{1,3}\.\d{1,3}\.\d{1,3}\.\d{1,3}(?![\d]|\.\d)",
     "ssn": r"(?<![\d-])\d{3}-\d{2}-\d{4}(?![\d-])",
     "phone": r"(?<![\d+])(?:\+\d{1,3}[ .-]?)?(?:\(\d{3}\)[ .-]?|(?<!\d)\d{3}[ .-])\d{3}[ .-]\d{4}(?!\d)|(?<!\w)\+\d{8,15}(?!\d)",
-    "card": r"(?<!\d)\d(?:[ -]?\d){12,18}(?!\d)",
+    "card": r"(?<![\w.])(?:\d{13,19}|\d{4}(?P<four>[ -])\d{4}(?P=four)\d{4}(?P=four)\d{1,7}|\d{4}(?P<six>[ -])\d{6}(?P=six)\d{4,5})(?!\w|\.\d)",
 }
+#: Card networks with the ranges of their numbers' first digits, and the lengths that they have.
+NETWORKS = [
+    ("visa", [("4", "4")], (13, 16, 19)),
+    ("mastercard", [("51", "55"), ("2221", "2720")], (16,)),
+    ("american express", [("34", "34"), ("37", "37")], (15,)),
+    ("discover", [("6011", "6011"), ("644", "649"), ("65", "65")], (16, 19)),
+    ("diners", [("300", "305"), ("36", "36"), ("38", "39")], (14,)),
+    ("jcb", [("3528", "3589")], (16, 19)),
+    ("unionpay", [("62", "62")], (16, 17, 18, 19)),
+]
 FINDER = re.compile("|".join(f"(?P<{k}>{PATTERNS[k]})" for k in KINDS))
-#: Every pattern has an @ or a digit.
-WORTH = "[0-9@]"
+#: First letters of access keys, which may have no digit.
+ACCESS_KEYS = ("AKIA", "ASIA")
+#: Every pattern has an @, a digit or such first letters.
+WORTH = "[0-9@]|AKIA|ASIA"
 
 
 def permute(value: int, size: int, key: bytes, tweak: bytes) -> int:
@@ -74,6 +89,14 @@ def luhn(digits: str) -> int:
     return total % 10
 
 
+def network(digits: str) -> str | None:
+    """The card network that has numbers of this length with these first digits."""
+    for name, ranges, lengths in NETWORKS:
+        if len(digits) in lengths and any(a <= digits[: len(a)] <= b for a, b in ranges):
+            return name
+    return None
+
+
 def _refill(shape: str, symbols: str) -> str:
     """``shape`` with its letters and digits replaced by ``symbols`` in order, letters in the old case."""
     left = iter(symbols)
@@ -106,7 +129,7 @@ def _email(s, key):
 
 def _secret(s, key):
     if re.fullmatch("[A-Z]{4}[A-Z0-9]{16}", s):
-        if not re.search(r"\d", s):
+        if not re.search(r"\d", s) and s[:4] not in ACCESS_KEYS:
             return None
         return s[:4] + _refill(s[4:], _mixed(s[4:].lower(), key, s[:4].encode()))
     low = s.lower()
@@ -157,11 +180,15 @@ def _ip(s, key):
 def _ssn(s, key):
     plain = s.replace("-", "")
     ok = lambda n: (d := _digits(n, 9))[:3] not in ("000", "666") and d[0] != "9" and d[3:5] != "00" and d[5:] != "0000"
+    if not ok(int(plain)):
+        return None
     return _refill(s, _digits(_walk(int(plain), 10**9, key, b"ssn", ok), 9))
 
 
 def _phone(s, key):
     plain = re.sub(r"\D", "", s)
+    if s[0] == "+" and plain[0] == "0" or s[0] != "+" and not (plain[0] > "1" and plain[3] > "1"):
+        return None  # without a country code it must be one that can be dialled
     k = min(10, len(plain) - 1) if s[0] == "+" else len(plain)
     head, own = plain[: len(plain) - k], plain[len(plain) - k :]
     dials = lambda n: (d := _digits(n, k))[0] > "1" and d[3] > "1"
@@ -170,9 +197,12 @@ def _phone(s, key):
 
 def _card(s, key):
     plain = re.sub(r"\D", "", s)
-    k, residue = len(plain), luhn(plain)
-    body = _digits(permute(int(plain[:-1]), 10 ** (k - 1), key, b"card%d" % residue), k - 1)
-    return _refill(s, body + str((residue - luhn(body + "0")) % 10))
+    own, k = network(plain), len(plain) - 1
+    if own is None or luhn(plain):
+        return None
+    # All digits but the last are permuted within the network's numbers; the last one is the check digit.
+    body = _digits(_walk(int(plain[:-1]), 10**k, key, b"card%d" % k, lambda n: network(_digits(n, k) + "0") == own), k)
+    return _refill(s, body + str(-luhn(body + "0") % 10))
 
 
 MAKERS = {"email": _email, "secret": _secret, "iban": _iban, "date": _date, "ip": _ip, "ssn": _ssn, "phone": _phone, "card": _card}
@@ -209,8 +239,8 @@ def _batch(texts_: pa.Array, key: bytes) -> tuple[pa.Array, np.ndarray]:
 def pseudonymise(docs: DataFrame, key: bytes) -> DataFrame:
     """``doc_id, text, n_values, n_<kind>...`` of each row of ``docs``.
 
-    Null text comes back empty; a null id null; repeated rows a row each; an empty table
-    gives an empty result; other columns are not used.
+    Null text comes back empty; a null id null; a text of any length is read whole; repeated
+    rows give a row each; an empty table gives an empty result; other columns are not used.
     """
 
     def put(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -223,7 +253,11 @@ def pseudonymise(docs: DataFrame, key: bytes) -> DataFrame:
 
 
 def rewrite_texts(docs: DataFrame, key: bytes) -> DataFrame:
-    """``docs`` with ``text`` rewritten and ``n_chars``, if there, counted anew; all other columns as they are."""
+    """``docs`` with ``text`` rewritten and ``n_chars``, if there, counted anew; all other columns as they are.
+
+    Null and empty texts stay so, as does a null id; a text of any length is read whole; rows,
+    repeated ones too, are rewritten each by itself; an empty table gives an empty result.
+    """
     worth = re.compile(WORTH).search
 
     @F.pandas_udf("string")
