@@ -38,6 +38,8 @@ PRIOR_BYTES = 64.0
 STEP = 0.001
 #: Text of a block, and positions that are looked at together.
 BLOCK_BYTES, WINDOW = 16 << 20, 1 << 20
+#: Steps of a nat in which an n-gram's log probability travels to the blocks, in two bytes.
+SCALE = 2048
 #: Discounts of a corpus too small to have n-grams of all counts up to four.
 SMALL_CORPUS = (0.5, 0.75, 0.9)
 LANG = "coalesce(lang, 'und')"
@@ -130,28 +132,36 @@ def train(trusted: DataFrame, order: int = ORDER) -> dict[int, tuple[DataFrame,
 def resolve(asked: DataFrame, model: dict[int, tuple[DataFrame, DataFrame]]) -> DataFrame:
     """``g, logp`` of the distinct n-grams ``asked(g)``: one join with each table; an n-gram without a probability takes its context's weight times that of its suffix."""
     order = max(model)
-    out, key = asked.select("g"), {order: F.col("g")}
+    out, key = asked.select("g", F.lit(1 / 256).alias("p")), {order: F.col("g")}
     for k in range(order - 1, 0, -1):
         key[k] = suffix(key[k + 1], k)
-    p: Column = F.lit(1 / 256)
     for k in range(1, order + 1):
         probability, weight = model[k]
         out = out.withColumns({"key": key[k], "context": F.shiftright(key[k], 8)})
-        out = out.join(_bounded(weight.toDF("context", f"w{k}"), k - 1), "context", "left").join(_bounded(probability.toDF("key", f"p{k}"), k), "key", "left")
-        p = F.coalesce(F.col(f"p{k}"), F.coalesce(F.col(f"w{k}"), F.lit(1.0)) * p)
-    return out.select("g", F.log(p).cast("float").alias("logp"))
+        out = out.join(_bounded(weight.toDF("context", "weight"), k - 1), "context", "left").join(_bounded(probability.toDF("key", "own"), k), "key", "left")
+        out = out.select("g", F.coalesce("own", F.coalesce("weight", F.lit(1.0)) * F.col("p")).alias("p"))
+    return out.select("g", F.log("p").alias("logp"))
+
+
+def _planes(numbers: np.ndarray) -> bytes:
+    """The byte planes of numbers of one width, compressed."""
+    planes = np.ascontiguousarray(numbers.view(np.uint8).reshape(-1, numbers.itemsize).T)
+    return len(numbers).to_bytes(4, "little") + pa.compress(planes.tobytes(), "zstd", asbytes=True)
+
+
+def _numbers(payload: bytes, kind: type) -> np.ndarray:
+    n, width = int.from_bytes(payload[:4], "little"), np.dtype(kind).itemsize
+    planes = np.frombuffer(pa.decompress(payload[4:], width * n, "zstd", asbytes=True), np.uint8).reshape(width, n)
+    return np.ascontiguousarray(planes.T).view(kind).reshape(-1)
 
 
 def _packed(g: np.ndarray) -> bytes:
-    """Ascending numbers: the byte planes of their differences, compressed."""
-    planes = np.ascontiguousarray(np.diff(g, prepend=0).view(np.uint8).reshape(-1, 8).T)
-    return len(g).to_bytes(4, "little") + pa.compress(planes.tobytes(), "zstd", asbytes=True)
+    """Ascending numbers by their differences."""
+    return _planes(np.diff(g, prepend=0))
 
 
 def _unpacked(payload: bytes) -> np.ndarray:
-    n = int.from_bytes(payload[:4], "little")
-    planes = np.frombuffer(pa.decompress(payload[4:], 8 * n, "zstd", asbytes=True), np.uint8).reshape(8, n)
-    return np.cumsum(np.ascontiguousarray(planes.T).view(np.int64).reshape(-1))
+    return np.cumsum(_numbers(payload, np.int64))
 
 
 def _blocks(rows: DataFrame, shards: int, order: int, block_bytes: int) -> DataFrame:
@@ -219,7 +229,8 @@ def scores(docs: DataFrame, model: dict[int, tuple[DataFrame, DataFrame]], by_ro
             return pd.DataFrame({"block": [], "payload": []})
         known = right.sort_values("g")
         g, logp = known["g"].to_numpy(), known["logp"].to_numpy()
-        found = [logp[np.searchsorted(g, _unpacked(x))].tobytes() for x in left["payload"]]
+        logp = np.round(np.clip(-logp * SCALE, 0, 65535)).astype(np.uint16)
+        found = [_planes(logp[np.searchsorted(g, _unpacked(x))]) for x in left["payload"]]
         return pd.DataFrame({"block": left["block"], "payload": [len(x).to_bytes(4, "little") + x + f for x, f in zip(left["payload"], found, strict=True)]})
 
     def finish(key: tuple, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
@@ -231,18 +242,18 @@ def scores(docs: DataFrame, model: dict[int, tuple[DataFrame, DataFrame]], by_ro
         data = np.frombuffer(pa.decompress(text[8:], int.from_bytes(text[:8], "little"), "zstd"), np.uint8)
         cut = [4 + int.from_bytes(x[:4], "little") for x in right["payload"]]
         g = np.concatenate([np.zeros(0, np.int64), *(_unpacked(x[4:k]) for x, k in zip(right["payload"], cut, strict=True))])
-        logp = np.concatenate([np.zeros(0, np.float32), *(np.frombuffer(x, np.float32, offset=k) for x, k in zip(right["payload"], cut, strict=True))])
+        cost = np.concatenate([np.zeros(0, np.uint16), *(_numbers(x[k:], np.uint16) for x, k in zip(right["payload"], cut, strict=True))])
         by = np.argsort(g)
-        g, logp = g[by], logp[by]
+        g, cost = g[by], cost[by].astype(np.int64)
         n = np.asarray(head["n_bytes"])
         offsets, nll = np.append(0, np.cumsum(n)), np.zeros(len(n))
         for first, own in grams(data, offsets, np.asarray(head["fold"]), order):
             by = np.argsort(own)
-            each = np.empty(len(own))
-            each[by] = logp[np.searchsorted(g, own[by])]
-            total = np.append(0.0, np.cumsum(each))
+            each = np.empty(len(own), np.int64)
+            each[by] = cost[np.searchsorted(g, own[by])]
+            total = np.append(0, np.cumsum(each))
             ends = np.clip(offsets - first, 0, len(own))
-            nll -= total[ends[1:]] - total[ends[:-1]]
+            nll += (total[ends[1:]] - total[ends[:-1]]) / SCALE
         return pd.DataFrame({"doc_id": np.asarray(head["doc_id"]), "lang": head["lang"].to_pylist(), "n_bytes": n, "nll": nll, **{c: head[c].to_pylist() for c in more}})
 
     known = resolve(dealt.groupBy("route").applyInPandas(distinct, "g long"), model)

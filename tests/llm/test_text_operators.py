@@ -187,7 +187,7 @@ def test_perplexities_are_those_of_the_textbook_models(spark, small, odd):
         want = sorted((d, len(t.encode()), brute_nll(t, models[f], memo[f])) for (d, t), f in folds.items())
         got = sorted({(r.doc_id, r.n_bytes, r.nll) for r in kneser_ney.scores(docs, model, block_bytes=block).collect()})
         assert [x[:2] for x in got] == [x[:2] for x in want]
-        np.testing.assert_allclose([x[2] for x in got], [x[2] for x in want], rtol=1e-5, atol=1e-3)
+        np.testing.assert_allclose([x[2] for x in got], [x[2] for x in want], rtol=2e-4, atol=0.05)  # steps of 1/2,048 nat a byte
     probe = b"\0\0\0t"
     for p in models:
         assert abs(sum(p(probe + bytes([c])) for c in range(256)) - 1) < 1e-9
