@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import itertools
+import math
 from collections.abc import Callable
 
 import pandas as pd
@@ -16,12 +17,6 @@ FIELDS = {"atom": (13, 4), "residue": (18, 3), "chain": (22, 1)}
 XYZ = {"x": (31, 8), "y": (39, 8), "z": (47, 8)}
 
 
-def read_lines(spark, path: str) -> DataFrame:
-    """``file, ord, value`` of the text files under a path; the order of a file's lines is kept by reading it as one row."""
-    whole = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("file"), "value")
-    return whole.select("file", F.posexplode(F.split("value", "\n")).alias("ord", "value")).withColumn("ord", F.col("ord") + 1)
-
-
 def parse_atoms(lines: DataFrame) -> DataFrame:
     """Atoms of ATOM lines, by fixed columns, so that fused coordinates come apart."""
     v = F.col("value")
@@ -29,6 +24,24 @@ def parse_atoms(lines: DataFrame) -> DataFrame:
     return lines.where(v.startswith("ATOM")).select("file", "ord", F.trim(F.substring(v, 7, 5)).try_cast("int").alias("serial"), *text, *[substring_number(v, *at).alias(n) for n, at in XYZ.items()])
 
 
+def parse_energy(lines: DataFrame) -> DataFrame:
+    """``file, energy`` of a scorer's output: the second word of the first line with ``Affinity``; null where there is none."""
+    said = F.min_by("value", F.when(F.col("value").contains("Affinity"), F.col("ord")))
+    return lines.groupBy("file").agg(said.alias("value")).select("file", F.get(F.split("value", r"\s+"), F.lit(1)).try_cast("double").alias("energy"))
+
+
+def markers(atoms: list[tuple[int, str, str, str]]) -> Column:
+    """Number of the marker that a parsed atom is, by serial, name, residue and chain; null for others."""
+    out = F.lit(None).cast("int")
+    for i, (serial, atom, residue, chain) in enumerate(atoms):
+        out = F.when((F.col("serial") == serial) & (F.col("atom") == atom) & (F.col("residue") == residue) & (F.col("chain") == chain), i).otherwise(out)
+    return out
+
+
+#: The active site's marker atoms in the reference structure.
+SITE_MARKERS = [(865, "O", "MET", "A"), (515, "NH2", "ARG", "A")]
+
+
 def splice_pose_lines(lines: DataFrame, atoms: DataFrame) -> DataFrame:
     """Template lines with the n-th atom line's coordinates replaced by the n-th atom's; ``short`` marks files whose atoms run out."""
     is_atom = F.col("value").contains("ATOM") | F.col("value").contains("UNL")
@@ -75,15 +88,25 @@ def center(atoms: DataFrame, key: str, mode: str = "any") -> DataFrame:
     return atoms.withColumns({c: F.col(c) - F.avg(F.when(F.col("molcode") == 1, F.col(c))).over(w) for c in "xyz"})
 
 
+def _turn(axis: tuple[int, int, int], angle: float) -> tuple[int, ...]:
+    """Matrix, row by row, by which a row vector turns counter-clockwise about ``axis``."""
+    n = math.sqrt(sum(v * v for v in axis))
+    x, y, z = (v / n for v in axis)
+    cross = ((0, -z, y), (z, 0, -x), (-y, x, 0))
+    s, c = math.sin(angle), 1 - math.cos(angle)
+    at = lambda i, j: (i == j) + s * cross[i][j] + c * sum(cross[i][k] * cross[k][j] for k in range(3))
+    return tuple(round(at(j, i)) for i in range(3) for j in range(3))
+
+
 def rotations() -> list[tuple[int, ...]]:
-    """The 24 rotations of a cube: signed permutation matrices of determinant 1, row by row, identity first."""
-    found = []
-    for order in itertools.permutations(range(3)):
-        parity = 1 if order in ((0, 1, 2), (1, 2, 0), (2, 0, 1)) else -1
-        for signs in itertools.product((1, -1), repeat=3):
-            if parity * signs[0] * signs[1] * signs[2] == 1:
-                found.append(tuple(signs[i] * (order[i] == j) for i in range(3) for j in range(3)))
-    return found
+    """The 24 rotations of a cube: none; quarter turns about each axis; half turns about the face diagonals; third turns about the space diagonals."""
+    unit = [(1, 0, 0), (0, 1, 0), (0, 0, 1)]
+    found = [_turn(unit[0], 0.0)]
+    found += [_turn(axis, quarter * math.pi / 2) for axis in unit for quarter in (1, 2, 3)]
+    for i, j in itertools.combinations(range(3), 2):
+        found += [_turn(tuple((k == i) + sign * (k == j) for k in range(3)), math.pi) for sign in (1, -1)]
+    diagonals = [(1, 1, 1), (-1, 1, 1), (1, -1, 1), (1, 1, -1)]
+    return found + [_turn(axis, third * 2 * math.pi / 3) for third in (1, 2) for axis in diagonals]
 
 
 def rotate(atoms: DataFrame, n: int = 24) -> DataFrame:
@@ -106,9 +129,14 @@ def voxel_index(atoms: DataFrame, box: int = 21, reach: float = 10.0, spacing: f
 
 
 def voxelize(atoms: DataFrame, features: dict[str, Column], n: int = 24, box: int = 21, reach: float = 10.0, spacing: float = 1.0) -> DataFrame:
-    """Sums of the features in each occupied voxel: a sparse grid; atoms that can't be in it go before the rotations."""
+    """Sums of the features in each occupied voxel: a sparse grid; atoms that can't be in it go before the rotations.
+
+    Atoms are dealt by complex before they are rotated: the sums here, and any by complex that
+    follow, need no shuffle of their own.
+    """
     limit = reach_of(box, reach, spacing)
-    near = atoms.where(F.greatest(F.abs("x"), F.abs("y"), F.abs("z")) <= limit)
+    parts = int(atoms.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    near = atoms.repartition(parts, "complex_id").where(F.greatest(F.abs("x"), F.abs("y"), F.abs("z")) <= limit)
     placed = voxel_index(rotate(near, n), box, reach, spacing)
     return placed.groupBy("complex_id", "rotation", "ix", "iy", "iz").agg(*[F.sum(v).alias(k) for k, v in features.items()])
 
@@ -120,16 +148,16 @@ def score_poses(grid: DataFrame, weights: dict[str, float]) -> DataFrame:
 
 
 def score_with(grid: DataFrame, load: Callable[[], Callable[[pd.DataFrame], pd.Series]]) -> DataFrame:
-    """A caller's scorer over whole complexes: ``load`` runs once a task, the scorer gets one complex and rotation's voxels at a time."""
+    """A caller's scorer over whole complexes: it gets one complex and rotation's voxels at a time, as a frame straight from Arrow; ``load`` runs once a worker."""
+    loaded: list = []
 
-    def run(frames):
-        scorer = load()
-        for pdf in frames:
-            yield pd.DataFrame({"complex_id": pdf["complex_id"], "rotation": pdf["rotation"], "s": [float(scorer(pd.DataFrame([v.asDict() if hasattr(v, "asDict") else v for v in vox])).sum()) for vox in pdf["voxels"]]})
+    def run(key: tuple, voxels: pd.DataFrame) -> pd.DataFrame:
+        if not loaded:
+            loaded.append(load())
+        return pd.DataFrame({"complex_id": [key[0]], "rotation": [key[1]], "s": [float(loaded[0](voxels).sum())]})
 
-    cols = [c for c in grid.columns if c not in ("complex_id", "rotation")]
-    packed = grid.groupBy("complex_id", "rotation").agg(F.collect_list(F.struct(*cols)).alias("voxels"))
-    return packed.mapInPandas(run, "complex_id long, rotation int, s double").groupBy("complex_id").agg(F.avg("s").alias("score"))
+    one = grid.groupBy("complex_id", "rotation").applyInPandas(run, "complex_id long, rotation int, s double")
+    return one.groupBy("complex_id").agg(F.avg("s").alias("score"))
 
 
 def assemble(poses: DataFrame, receptors: DataFrame, repeat_receptor: bool = False) -> DataFrame:

@@ -5,15 +5,20 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from skein.functions import band, energy_to_kd, sample_key
+from skein.functions import band, energy_to_kd, heavy, sample_key
 
 PAIR, POSE = ["gene", "compound"], ["model_name", "pose_id"]
 
 
 def score_join(distances: DataFrame, energies: DataFrame, scores: DataFrame) -> DataFrame:
-    """Poses that have all three scores. Equal keys, so the two joins share one shuffle of each table."""
+    """Poses that have all three scores.
+
+    Each table is dealt once, by the join's keys, which serves its distinct rows and both joins.
+    """
     on = [*PAIR, *POSE]
-    return distances.distinct().join(energies.distinct(), on).join(scores.distinct(), on)
+    parts = int(distances.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = [t.repartition(parts, *on).distinct() for t in (distances, energies, scores)]
+    return dealt[0].join(dealt[1], on).join(dealt[2], on)
 
 
 def score_ranks(scored: DataFrame) -> DataFrame:
@@ -25,7 +30,7 @@ def score_ranks(scored: DataFrame) -> DataFrame:
 def pick_pose(scored: DataFrame, radius: float = 10.0) -> DataFrame:
     """One pose a pair: least mean rank among poses within ``radius``, or among all if none is.
 
-    One shuffle on the pair serves the test for near poses, both ranks and the pick. Mean of
+    One shuffle by pair serves the test for near poses, both ranks and the pick. Mean of
     the ranks there are; ties by model and pose.
     """
     pair = Window.partitionBy(*PAIR)
@@ -62,17 +67,49 @@ def pick_negative(wishes: DataFrame, distances: DataFrame, seed: object = 0) ->
     return out.select(*PAIR, F.when(F.col("dataset") == "KD", "NEG1").otherwise("NEG2").alias("dataset"), bin_.alias("dist_bin"), F.when(bin_ == "medium", 2.7).otherwise(3.2).alias("expt"), *POSE, "distance")
 
 
-def training_picks(positive: DataFrame, negative: DataFrame, folds: int = 5) -> DataFrame:
-    """Positive and negative picks in one table, one column for the set of each fold."""
+SETS = ["training", "validation", "test"]
+
+
+def training_picks(positive: DataFrame, negative: DataFrame, folds: DataFrame) -> DataFrame:
+    """Positive and negative picks in one table, with model, pose and set of each fold in columns of its own.
+
+    ``folds(gene, compound, dataset, cv, cvset)`` says which folds use a pick for what; the fold's
+    columns are null where none is named.
+    """
     both = positive.unionByName(negative, allowMissingColumns=True)
-    of = lambda k: F.pmod(F.conv(F.substring(sample_key(k, *PAIR, "dataset"), 1, 8), 16, 10).cast("long"), F.lit(10))
-    name = lambda c: F.when(c == 0, "validation").when(c == 1, "test").when(c == 9, F.lit(None)).otherwise("training")
-    return both.select("*", *[name(of(k)).alias(f"cv{k}_cvset") for k in range(1, folds + 1)])
+    cvs = sorted(r[0] for r in folds.select("cv").distinct().collect())
+    of = [F.max(F.when(F.col("cv") == k, F.col("cvset"))).alias(f"cv{k}_cvset") for k in cvs]
+    out = both.join(folds.groupBy(*PAIR, "dataset").agg(*of), [*PAIR, "dataset"], "left")
+    used = lambda k, c: F.when(F.col(f"cv{k}_cvset").isNotNull(), F.col(c))
+    return out.withColumns({f"cv{k}_{c}": used(k, c) for k in cvs for c in POSE})
 
 
-def cv_fanout(picks: DataFrame, folds: int = 5) -> DataFrame:
-    """A row for each pick and fold in which it is used."""
-    return picks.unpivot([*PAIR, "dataset", *POSE], [f"cv{k}_cvset" for k in range(1, folds + 1)], "cv", "cvset").where("cvset IS NOT NULL").withColumn("cv", F.substring("cv", 3, 1).cast("int"))
+def cv_fanout(picks: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """A row ``(..., cv, model_name, pose_id, cvset)`` for each pick and fold in which it is used, and the rows whose set is none of SETS."""
+    cvs = sorted(int(c[2:-6]) for c in picks.columns if c.startswith("cv") and c.endswith("_cvset"))
+    each = F.explode(F.array(*[F.struct(F.lit(k).alias("cv"), *[F.col(f"cv{k}_{c}").alias(c) for c in (*POSE, "cvset")]) for k in cvs]))
+    kept = [c for c in picks.columns if c not in POSE and not c.startswith("cv")]
+    rows = picks.select(*kept, each.alias("f")).select(*kept, "f.*").where("cvset IS NOT NULL")
+    return rows.where(F.col("cvset").isin(SETS)), rows.where(~F.col("cvset").isin(SETS))
+
+
+def training_complexes(fan: DataFrame, atoms: DataFrame, receptors: DataFrame) -> DataFrame:
+    """The complex of each row of ``fan``: the pose's heavy atoms and its receptor's, centred on the ligand.
+
+    ``atoms(model_name, pose_id, ord, atom_type, x, y, z)`` are looked up by model and pose; a pair's
+    KD and KI rows stay apart, since ``dataset`` is part of the name. A complex is made once for a
+    pose, however many folds and rows use it. ``reject_reason`` says what a complex lacks.
+    """
+    wanted = fan.select(*POSE).distinct()
+    own = atoms.join(wanted, POSE, "left_semi").where(heavy(F.col("atom_type"), "typed"))
+    atom = lambda: F.struct("ord", "atom_type", "x", "y", "z")
+    ligand = own.groupBy(*POSE).agg(F.array_sort(F.collect_list(atom())).alias("ligand"), *[F.avg(c).alias(f"c{c}") for c in "xyz"])
+    protein = receptors.groupBy("model_name").agg(F.array_sort(F.collect_list(atom())).alias("receptor"))
+    made = ligand.join(protein, "model_name", "left")
+    moved = lambda c: F.transform(c, lambda a: F.struct(a["ord"].alias("ord"), a["atom_type"].alias("atom_type"), *[(a[x] - F.col(f"c{x}")).alias(x) for x in "xyz"]))
+    made = made.select(*POSE, moved("ligand").alias("ligand"), moved("receptor").alias("receptor"))
+    out = fan.join(made, POSE, "left").withColumn("name", F.concat(F.concat_ws("|", *PAIR), F.lit("_"), "dataset"))
+    return out.withColumn("reject_reason", F.when(F.col("ligand").isNull(), "no pose").when(F.col("receptor").isNull(), "no receptor"))
 
 
 def run_allocation(models: DataFrame, budget: int, seed: object = 0) -> DataFrame:
@@ -83,6 +120,12 @@ def run_allocation(models: DataFrame, budget: int, seed: object = 0) -> DataFram
     return models.select("domain", "model_name", runs.cast("long").alias("runs")).where("runs > 0")
 
 
+def with_identity(models: DataFrame, identities: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Models with their sequence identity, and those that have none."""
+    on = ["domain", "model_name"]
+    return models.join(identities, on), models.join(identities, on, "left_anti")
+
+
 def eligible_models(models: DataFrame, identity: float, excluded: list[str]) -> DataFrame:
     """Models of each domain with enough identity, one of each class of similar ones, as a sorted list; domains without any have an empty list."""
     ok = models.where((F.col("identity") >= identity) & ~F.col("model_name").isin(excluded))

@@ -35,14 +35,26 @@ def map_ids(df: DataFrame, mapping: DataFrame, key: str) -> tuple[DataFrame, Dat
     return df.join(mapping, key), df.select(key).distinct().join(mapping, key, "left_anti")
 
 
-def backlog(jobs: DataFrame, mapping: DataFrame, models: DataFrame) -> DataFrame:
-    """Jobs to run: not done, gene mapped, domain with models."""
-    return jobs.where(~F.col("done")).join(mapping, "gene").join(models.select("domain").distinct(), "domain", "left_semi")
+def backlog(jobs: DataFrame, outputs: DataFrame, mapping: DataFrame, models: DataFrame, on: list[str]) -> DataFrame:
+    """Jobs to run: no output yet, gene mapped, domain with models."""
+    left = jobs.join(outputs.select(*on), on, "left_anti")
+    return left.join(mapping, "gene").join(models.select("domain").distinct(), "domain", "left_semi")
 
 
-def unfinished(jobs: DataFrame, wanted: int) -> DataFrame:
-    """Jobs with fewer than ``wanted`` finished outputs."""
-    return jobs.where(F.col("n_done") < wanted)
+def unfinished(jobs: DataFrame, outputs: DataFrame, wanted: int, on: list[str]) -> DataFrame:
+    """Jobs with fewer than ``wanted`` finished outputs, and how many they have."""
+    count = outputs.groupBy(*on).agg(F.count("*").alias("n_done"))
+    return jobs.join(count, on, "left").withColumn("n_done", F.coalesce("n_done", F.lit(0))).where(F.col("n_done") < wanted)
+
+
+def row_slice(df: DataFrame, order: list[str], begin: int, end: int) -> DataFrame:
+    """Rows ``begin`` to ``end`` (not included, from 0) in ``order``: a sorted limit, no numbering of all rows."""
+    return df.orderBy(*order).offset(begin).limit(end - begin)
+
+
+def clean_poses(df: DataFrame, model: str = "model_name", pose: str = "pose_id") -> DataFrame:
+    """The distinct model and pose of rows that have both."""
+    return df.na.drop(subset=[model, pose]).select(model, pose).distinct()
 
 
 def pending_batches(df: DataFrame, order: list[str], pending: Column, size: int, group: str | None = None) -> DataFrame:
@@ -72,11 +84,15 @@ def minibatches(df: DataFrame, key: str, seed: object, epoch: int, size: int) ->
 
 
 def soft_cutoff(sizes: DataFrame, group: str, size: str, n: int, limit: int) -> DataFrame:
-    """Element max(n - 1, round(m / 2)) (halves to even, from 0) of a group's ascending sizes, at most ``limit``."""
+    """Element max(n - 1, round(m / 2)) (halves to even, from 0) of a group's ascending sizes, at most ``limit``.
+
+    Sizes are counted first: a group of any number of rows comes down to its few different sizes.
+    """
+    counts = sizes.groupBy(group, size).agg(F.count("*").alias("k"))
     w = Window.partitionBy(group)
-    at = F.greatest(F.lit(n - 1), F.rint(F.count("*").over(w) / 2).cast("int"))
-    rows = sizes.select(group, size, (F.row_number().over(w.orderBy(size)) - 1).alias("i"), F.least(at, F.count("*").over(w) - 1).alias("at"))
-    return rows.where("i = at").select(group, F.least(F.col(size), F.lit(limit)).alias("cutoff"))
+    m = F.sum("k").over(w)
+    rows = counts.select(group, size, F.sum("k").over(w.orderBy(size)).alias("upto"), F.least(F.greatest(F.lit(n - 1), F.rint(m / 2).cast("int")), m - 1).alias("at"))
+    return rows.where("upto > at").groupBy(group).agg(F.least(F.min(size), F.lit(limit)).alias("cutoff"))
 
 
 def count_status(pairs: DataFrame, keys: list[str], expected: int) -> DataFrame:

@@ -8,15 +8,17 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from skein.functions import sample_key
-from skein.operators.tables import soft_cutoff
 from skein.plans.graph import label_vertices
 from skein.sources.scratch import materialize
 
 SUBSETS = ["xtal", "nonbind", "high", "low"]
 
 
-def clusters(vertices: DataFrame, edges: DataFrame, limit: float, key: str) -> DataFrame:
-    """``key, cluster``: single linkage cut at ``limit``, which is the components of the edges up to it."""
+def clusters(vertices: DataFrame, edges: DataFrame | None, limit: float, key: str) -> DataFrame:
+    """``key, cluster``: single linkage cut at ``limit``, which is the components of the edges up to it; all one cluster without ``edges``, as at the largest distance there is."""
+    if edges is None:
+        least = vertices.agg(F.min(key).alias("cluster"))
+        return vertices.select(key).distinct().crossJoin(F.broadcast(least))
     return label_vertices(vertices.select(key), edges.where(F.col("dist") <= limit).select("a", "b"), key).withColumnRenamed("component", "cluster")
 
 
@@ -39,106 +41,192 @@ def eligible(members: DataFrame, degrees: DataFrame, docked: DataFrame, key: str
 
 @dataclass
 class Quotas:
-    """Pairs wanted of each subset; a small shortage moves to ``low``, a larger one fails the attempt."""
+    """Pairs wanted of each subset, in the order of SUBSETS; a shortage moves to ``low`` if it is small enough, else the attempt fails."""
 
     want: dict[str, int]
     slack: int = 3
     carry: int = 0
 
-    def take(self, subset: str, have: int) -> int | None:
-        """How many to take of a subset, in the order of SUBSETS; None if the attempt fails there."""
+    def _take(self, subset: str, have: int, fails: bool) -> int | None:
         want = self.want.get(subset, 0) + (self.carry if subset == "low" else 0)
-        short = max(0, want - have)
-        if short and (subset == "low" or (short > self.slack and have > 0)):
+        if fails:
             return None
+        short = max(0, want - have)
         self.carry += short
+        self.want[subset] = self.want.get(subset, 0) - short
         return want - short
 
+    def wanted(self, subset: str) -> int:
+        return self.want.get(subset, 0) + (self.carry if subset == "low" else 0)
+
+    def meet(self, subset: str, have: int, exact: bool = False) -> int | None:
+        """How many to take where ``have`` can be met; none at all is no failure but for ``low``. ``low`` must have more than its quota, or with ``exact`` as many."""
+        want = self.wanted(subset)
+        low = subset == "low" and (have < want or (have == want and not exact))
+        return self._take(subset, have, low or (have > 0 and want - have > self.slack))
+
+    def keep(self, subset: str, left: int) -> int | None:
+        """The same after clusters were filtered: any shortage beyond the slack fails."""
+        short = self.wanted(subset) - left
+        return self._take(subset, left, short > 0 and (subset == "low" or short > self.slack))
+
+
+def size_cutoff(sizes: DataFrame, at: int, limit: int) -> int:
+    """Element ``at`` (from 0) of the ascending ``n_pairs``, at most ``limit``: from the counts of the few sizes there are, not from a sort of all rows."""
+    counts = sizes.groupBy("n_pairs").agg(F.count("*").alias("n"))
+    run = counts.select("n_pairs", F.sum("n").over(Window.orderBy("n_pairs")).alias("upto"))
+    return min(run.where(F.col("upto") > at).agg(F.min("n_pairs")).first()[0], limit)
+
 
 def sample_compounds(pool: DataFrame, genes: DataFrame, of: DataFrame, degrees: DataFrame, quotas: Quotas, size_limit: int, seed: object) -> tuple[DataFrame, str | None]:
-    """One pair a compound cluster, subset by subset, from compounds that meet the sampled genes.
+    """One pair a compound cluster, subset by subset, from compounds that meet the sampled genes; and the subset that failed, if one did.
 
-    ``of(compound, cluster)``. A cluster must have at most the soft cut-off of its subset's
-    sizes and is used for one subset only. One count a subset reaches the driver.
+    ``of(compound, cluster)``. All clusters that a subset's compounds meet give the soft size
+    cut-off: with m of them, element max(quota - 1, round(m / 2)) of their sizes; clusters above
+    it, and those used for an earlier subset, then go. Counts and one size a subset reach the
+    driver.
     """
     near = pool.join(genes.select("gene").distinct(), "gene", "left_semi").join(of, "compound").join(cluster_sizes(of, degrees, "compound").select("cluster", "n_pairs"), "cluster")
-    near, got = materialize(near), None
+    near = materialize(near)
+    got = near.limit(0).select("gene", "compound", "subset", "cluster")
     for subset in SUBSETS:
         own = near.where(F.col("subset") == subset)
-        if got is not None:
-            own = own.join(got.select("cluster"), "cluster", "left_anti")
+        met = materialize(own.select("cluster", "n_pairs").distinct())
+        m = met.count()
+        want = quotas.meet(subset, m)
+        if want is None:
+            return got.limit(0), subset
+        if m == 0:
+            continue
+        cutoff = size_cutoff(met, min(m - 1, max(want - 1, round(m / 2))), size_limit)
+        left = materialize(met.where(F.col("n_pairs") <= cutoff).join(got.select("cluster"), "cluster", "left_anti"))
+        want = quotas.keep(subset, left.count())
+        if want is None:
+            return got.limit(0), subset
+        chosen = left.orderBy(sample_key(seed, "cluster"), "cluster").limit(want).select("cluster")
         nth = F.row_number().over(Window.partitionBy("cluster").orderBy(sample_key(seed, "gene", "compound"), "gene", "compound"))
-        one = own.withColumn("nth", nth).where("nth = 1").drop("nth")
-        one = materialize(one.join(soft_cutoff(one, "subset", "n_pairs", 1, size_limit), "subset").where("n_pairs <= cutoff").select("gene", "compound", "subset", "cluster"))
-        take = quotas.take(subset, one.count())
-        if take is None:
-            return one.limit(0), subset
-        one = one.orderBy(sample_key(seed, "cluster"), "cluster").limit(take)
-        got = materialize(one if got is None else got.union(one))
+        one = own.join(chosen, "cluster", "left_semi").withColumn("nth", nth).where("nth = 1").select("gene", "compound", "subset", "cluster")
+        got = materialize(got.union(one))
     return got, None
 
 
+def sample_pairs(pool: DataFrame, genes: DataFrame, quotas: Quotas, seed: object) -> tuple[DataFrame, str | None]:
+    """Pairs at random, without clusters, from the ``genes`` that other thresholds have sampled already."""
+    near = materialize(pool.join(genes.select("gene").distinct(), "gene", "left_semi"))
+    got = near.limit(0).select("gene", "compound", "subset")
+    for subset in SUBSETS:
+        own = near.where(F.col("subset") == subset).select("gene", "compound", "subset")
+        want = quotas.meet(subset, own.count(), exact=True)
+        if want is None:
+            return got.limit(0), subset
+        got = got.union(own.orderBy(sample_key(seed, "gene", "compound"), "gene", "compound").limit(want))
+    return materialize(got), None
+
+
+#: A threshold that stands for sampling without clusters.
+RANDOM = "random"
+#: Gene clusters sampled in random mode, and attempts, by class.
+RANDOM_CLUSTERS, RETRIES = {"docked": 33, "xtal": 300}, {"docked": 10, "xtal": 3}
+SPLIT = "gene string, compound string, kthresh string, cvset string, atype string, cthresh string, status string"
+
+
 def cv_split(
     pairs: DataFrame,
     gene_edges: DataFrame,
     compound_edges: DataFrame,
     docked: DataFrame,
-    gene_limits: list[float],
-    compound_limits: list[float],
+    gene_limits: list[float | str],
+    compound_limits: list[float | str],
     quota: dict[str, int],
     size_limit: int,
     share: float = 0.1,
     seed: object = 0,
-    retries: int = 3,
+    retries: dict[str, int] | None = None,
+    random_clusters: dict[str, int] | None = None,
 ) -> DataFrame:
-    """``gene, compound, kthresh, cvset, atype, cthresh``: the sets of the grid, and ``training`` for what is left.
-
-    For each gene threshold, class of gene cluster and set, clusters of genes are sampled;
-    for each compound threshold pairs of those genes are sampled, one a compound cluster. Used
-    compound clusters leave the pool at once, used gene clusters after the last compound
-    threshold. An attempt that can't meet its quotas is rolled back and tried with other
-    clusters; after ``retries`` it leaves nothing. The pool is a scratch table; the driver
-    sees counts only.
+    """``gene, compound, kthresh, cvset, atype, cthresh, status``: the sets of the grid, and ``training`` for what is left.
+
+    For each gene threshold, class of gene cluster (docked or crystal, by majority) and set, a
+    share of the class's clusters is sampled, twice as many being needed; for each compound
+    threshold pairs of those genes are sampled, one a compound cluster. Crystal clusters give
+    crystal pairs only. Used compound clusters leave the pool at once; gene clusters that gave a
+    pair leave it after the last compound threshold, others stay for later. RANDOM as a gene
+    threshold makes each pair a cluster and removes no genes; as a compound threshold it takes
+    pairs of the clusters that gave some before. An attempt that can't meet its quotas is rolled
+    back and tried with other clusters; a set that fails for good is a row without a pair, with
+    the reason as status, and ends its class. The pool is a scratch table; the driver sees
+    counts only.
     """
+    retries, random_clusters = retries or RETRIES, random_clusters or RANDOM_CLUSTERS
+    spark = pairs.sparkSession
     pool = materialize(pairs.select("gene", "compound", "subset").distinct())
     by_gene = materialize(pool.groupBy("gene").agg(F.count("*").alias("num")))
     by_compound = materialize(pool.groupBy("compound").agg(F.count("*").alias("num")))
-    compound_of = {c: materialize(clusters(by_compound, compound_edges, c, "compound")) for c in compound_limits}
-    done = None
+    compound_of = {c: materialize(clusters(by_compound, compound_edges, c, "compound")) for c in compound_limits if c != RANDOM}
+    is_docked = docked.select("gene").distinct().withColumn("is_docked", F.lit(True))
+    text = lambda v: F.lit(str(v))
+    parts, failures = [], []
     for k in gene_limits:
-        gene_of = materialize(clusters(by_gene, gene_edges, k, "gene"))
-        fit = materialize(eligible(gene_of, by_gene, docked, "gene", size_limit))
+        if k == RANDOM:
+            # A cluster a pair; its gene is known by itself, so nothing else goes with it.
+            gene_of = materialize(by_gene.select("gene", F.col("gene").alias("cluster")))
+            fit = materialize(pool.join(is_docked, "gene", "left").select(F.concat_ws("|", "gene", "compound").alias("cluster"), "gene", F.coalesce("is_docked", F.lit(False)).alias("docked")))
+        else:
+            gene_of = materialize(clusters(by_gene, gene_edges, k, "gene"))
+            fit = materialize(eligible(gene_of, by_gene, docked, "gene", size_limit).select("cluster", "docked"))
+            total = {r["docked"]: r["n"] for r in majority(gene_of, docked, "gene").groupBy("docked").agg(F.count("*").alias("n")).collect()}
         for atype in ("docked", "xtal"):
+            own = fit.where(F.col("docked") == (atype == "docked"))
+            n = random_clusters[atype] if k == RANDOM else round(share * total.get(atype == "docked", 0))
+            if own.count() < 2 * n or not n:
+                failures.append((str(k), "validation", atype, "not enough gene clusters"))
+                continue
+            taken = own.limit(0).select("cluster")
             for cvset in ("validation", "test"):
-                for attempt in range(retries):
+                failed = None
+                for attempt in range(retries[atype]):
                     tag = f"{seed}|{k}|{atype}|{cvset}|{attempt}"
-                    left = pool.select("gene").distinct().join(gene_of, "gene").select("cluster").distinct()
-                    own = fit.where(F.col("docked") == (atype == "docked")).join(left, "cluster", "left_semi")
-                    n = max(1, round(share * own.count()))
-                    chosen = gene_of.join(own.orderBy(sample_key(tag, "cluster")).limit(n), "cluster", "left_semi")
-                    chosen, trial, found, failed = materialize(chosen), pool, [], None
+                    sampled = materialize(own.join(taken, "cluster", "left_anti").orderBy(sample_key(tag, "cluster"), "cluster").limit(n))
+                    genes = materialize(sampled.select("gene").distinct() if k == RANDOM else gene_of.join(sampled, "cluster", "left_semi").select("gene"))
+                    trial, found, failed = pool, [], None
+                    gave = gene_of.limit(0).select("cluster")
                     for c in compound_limits:
-                        got, failed = sample_compounds(trial, chosen, compound_of[c], by_compound, Quotas(quota), size_limit, tag)
+                        usable = trial if atype == "docked" else trial.where("subset = 'xtal'").withColumn("subset", F.lit("low"))
+                        if c == RANDOM:
+                            got, failed = sample_pairs(usable, genes.join(gene_of, "gene").join(gave, "cluster", "left_semi"), Quotas(dict(quota)), f"{tag}|{c}")
+                        else:
+                            got, failed = sample_compounds(usable, genes, compound_of[c], by_compound, Quotas(dict(quota)), size_limit, f"{tag}|{c}")
                         if failed:
+                            failed = f"not enough of {failed} at {c}"
                             break
-                        got = materialize(got)
-                        found.append(got.select("gene", "compound", F.lit(float(k)).alias("kthresh"), F.lit(cvset).alias("cvset"), F.lit(atype).alias("atype"), F.lit(float(c)).alias("cthresh")))
-                        used = compound_of[c].join(got.select("cluster").distinct(), "cluster", "left_semi").select("compound")
-                        trial = materialize(trial.join(used, "compound", "left_anti"))
+                        found.append(got.select("gene", "compound", text(k).alias("kthresh"), text(cvset).alias("cvset"), text(atype).alias("atype"), text(c).alias("cthresh"), text("ok").alias("status")))
+                        gave = materialize(gave.union(got.join(gene_of, "gene").select(gene_of["cluster"])).distinct())
+                        if c == RANDOM:
+                            trial = materialize(trial.join(got, ["gene", "compound"], "left_anti"))
+                        else:
+                            used = compound_of[c].join(got.select("cluster").distinct(), "cluster", "left_semi").select("compound")
+                            trial = materialize(trial.join(used, "compound", "left_anti"))
                     if not failed:
-                        pool = materialize(trial.join(chosen.select("gene"), "gene", "left_anti"))
-                        for x in found:
-                            done = x if done is None else done.union(x)
+                        gone = gene_of.join(gave, "cluster", "left_semi").select("gene")
+                        pool = trial if k == RANDOM else materialize(trial.join(gone, "gene", "left_anti"))
+                        taken = materialize(taken.union(sampled.select("cluster")))
+                        parts += found
                         break
-    rest = pool.select("gene", "compound", F.lit(None).cast("double").alias("kthresh"), F.lit("training").alias("cvset"), F.lit(None).cast("string").alias("atype"), F.lit(None).cast("double").alias("cthresh"))
-    return rest if done is None else done.union(rest)
-
-
-def leaks(split: DataFrame, compound_edges: DataFrame) -> DataFrame:
-    """Sampled pairs whose compound is within its own threshold of a training compound: must be empty."""
-    test = split.where("cvset <> 'training'").select("compound", "cthresh").distinct()
-    train = split.where("cvset = 'training'").select(F.col("compound").alias("b")).distinct()
-    both = compound_edges.select("a", "b", "dist").union(compound_edges.select("b", "a", "dist"))
-    same = test.join(train, F.col("compound") == F.col("b"), "left_semi").select("compound", "cthresh", F.col("compound").alias("b"), F.lit(0.0).alias("dist"))
-    near = test.join(both, F.col("compound") == F.col("a")).where("dist <= cthresh").join(train, "b", "left_semi").select("compound", "cthresh", "b", "dist")
+                if failed:
+                    failures.append((str(k), cvset, atype, failed))
+                    break
+    none = F.lit(None).cast("string")
+    out = pool.select("gene", "compound", none.alias("kthresh"), F.lit("training").alias("cvset"), none.alias("atype"), none.alias("cthresh"), F.lit("ok").alias("status"))
+    for x in parts:
+        out = out.union(x)
+    return out.union(spark.createDataFrame([(None, None, k, cvset, atype, None, why) for k, cvset, atype, why in failures], SPLIT))
+
+
+def leaks(split: DataFrame, edges: DataFrame, key: str, limit: str) -> DataFrame:
+    """Sampled pairs whose compound (or gene) is within its own threshold of one in training: must be empty; random thresholds promise nothing."""
+    test = split.where(F.col("cvset") != "training").select(key, F.col(limit).try_cast("double").alias("most")).where("most IS NOT NULL").distinct()
+    train = split.where("cvset = 'training'").select(F.col(key).alias("b")).distinct()
+    both = edges.select("a", "b", "dist").union(edges.select("b", "a", "dist"))
+    same = test.join(train, F.col(key) == F.col("b"), "left_semi").select(F.col(key).alias("id"), "most", F.col(key).alias("b"), F.lit(0.0).alias("dist"))
+    near = test.join(both, F.col(key) == F.col("a")).where("dist <= most").join(train, "b", "left_semi").select(F.col(key).alias("id"), "most", "b", "dist")
     return same.union(near)

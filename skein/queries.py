@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -17,7 +18,8 @@ from skein.plans import similarity as S
 from skein.plans import split as V
 from skein.plans.graph import components
 from skein.sources.fixtures import fingerprints, sql_of, view
-from skein.sources.scratch import table
+from skein.sources import files
+from skein.sources.scratch import materialize, scratch_dir, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -35,7 +37,7 @@ def query(sql: str | None = None):
         QUERIES[f.__name__] = f
         if sql is not None:
             text = sql
-            for name in ("fx_pairs", "fx_scores", "fx_atoms", "fx_models", "fx_gene_dist", "fx_preds", "fx_jobs", "fx_map", "fx_lines", "fx_doc_lines"):
+            for name in ("fx_pairs", "fx_scores", "fx_atoms", "fx_models", "fx_gene_dist", "fx_preds", "fx_jobs", "fx_outputs", "fx_map", "fx_alias", "fx_receptors", "fx_lines", "fx_doc_lines"):
                 text = text.replace("{" + name + "}", f"({sql_of(name)})")
             ORACLES[f.__name__] = text.replace("{bits}", f"({BITS})")
         return f
@@ -53,9 +55,23 @@ CLASS = "CASE WHEN value < -4 THEN 'high' WHEN value < ln(10) THEN 'low' WHEN va
 # --- sources
 
 
+def _folder(spark) -> str:
+    """A new folder for files that a query writes and reads again."""
+    return f"{scratch_dir(spark)}/files-{uuid.uuid4().hex}"
+
+
+def _as_text(lines: DataFrame, by: str | None = None) -> str:
+    """``value`` written as text, in a folder for each value of ``by``; the folder's name."""
+    path = _folder(lines.sparkSession)
+    (lines.select("value", by).write.partitionBy(by) if by else lines.select("value").write).text(path)
+    return path
+
+
 @query("SELECT gene, compound, dataset, round(value, 6) AS value, is_kinase FROM {fx_pairs}")
 def scan_pairs(spark, d):
-    return view(spark, d, "fx_pairs").select("gene", "compound", "dataset", F.round("value", 6).alias("value"), "is_kinase")
+    """Pairs written as CSV and read again by the explicit schema."""
+    view(spark, d, "fx_pairs").select("gene", "compound", "dataset", "value", "is_kinase").write.option("header", True).csv(path := _folder(spark))
+    return files.read_table(spark, path).select("gene", "compound", "dataset", F.round("value", 6).alias("value"), "is_kinase")
 
 
 @query("SELECT DISTINCT gene, compound FROM {fx_pairs} WHERE (gene, compound) NOT IN (SELECT (gene, compound) FROM {fx_scores} WHERE distance <= 5)")
@@ -63,22 +79,19 @@ def missing_scores(spark, d):
     return T.missing(view(spark, d, "fx_pairs"), view(spark, d, "fx_scores").where("distance <= 5"), ["gene", "compound"])
 
 
-def _index(spark, d):
-    return table(spark, d, "orders").select(F.concat_ws("  ", F.col("o_orderkey").cast("string"), "o_orderstatus", F.col("o_custkey").cast("string"), "o_orderpriority").alias("value"))
-
-
 @query("SELECT CAST(o_orderkey AS BIGINT) AS id, o_orderstatus AS status, o_custkey AS cust, split_part(o_orderpriority, '-', 1) AS level FROM orders WHERE o_orderstatus <> 'P'")
 def parse_index(spark, d):
-    token = lambda i: F.get(F.split(F.trim("value"), r"\s+"), F.lit(i))
-    rows = _index(spark, d).where(~F.col("value").rlike(r"^\d+\s+P\s"))
-    return rows.select(token(0).try_cast("bigint").alias("id"), token(1).alias("status"), token(2).try_cast("bigint").alias("cust"), F.split_part(token(3), F.lit("-"), F.lit(1)).alias("level"))
+    """An index written as text, with a comment for each order of status P, and read by positions."""
+    fields = F.concat_ws("  ", F.col("o_orderkey").cast("string"), "o_orderstatus", F.col("o_custkey").cast("string"), "o_orderpriority")
+    path = _as_text(table(spark, d, "orders").select(F.when(F.col("o_orderstatus") == "P", F.concat(F.lit("# "), fields)).otherwise(fields).alias("value")))
+    found = files.read_index(spark, path, {"id": 0, "status": 1, "cust": 2, "level": 3}, skip=0)
+    return found.select(F.col("id").try_cast("bigint").alias("id"), "status", F.col("cust").try_cast("bigint").alias("cust"), F.split_part("level", F.lit("-"), F.lit(1)).alias("level"))
 
 
 @query("SELECT DISTINCT gene, compound FROM {fx_pairs}")
 def read_pair_list(spark, d):
-    lines = view(spark, d, "fx_pairs").select(F.concat_ws("|", "gene", "compound").alias("value")).distinct()
-    part = lambda i: F.split_part("value", F.lit("|"), F.lit(i))
-    return lines.select(part(1).alias("gene"), part(2).alias("compound"))
+    path = _as_text(view(spark, d, "fx_pairs").select(F.concat_ws("|", "gene", "compound").alias("value")).distinct())
+    return files.read_pair_list(spark, path)
 
 
 PARSED = """SELECT file, ord, TRY_CAST(trim(substr(value, 7, 5)) AS INT) AS serial, trim(substr(value, 13, 4)) AS atom, trim(substr(value, 18, 3)) AS residue, trim(substr(value, 22, 1)) AS chain,
@@ -90,30 +103,48 @@ def parse_atoms(spark, d):
     return A.parse_atoms(view(spark, d, "fx_lines"))
 
 
-@query("SELECT p_name AS target FROM part WHERE p_size % 2 = 0")
+@query("SELECT p_name AS target FROM part")
 def fasta_targets(spark, d):
-    lines = table(spark, d, "part").select(F.when(F.col("p_size") % 2 == 0, F.concat(F.lit(">"), "p_name")).otherwise(F.col("p_name")).alias("value"))
-    return lines.where(F.col("value").startswith(">")).select(F.expr("substring(value, 2)").alias("target"))
+    path = _as_text(table(spark, d, "part").select(F.concat(F.lit(">"), "p_name", F.lit("\n"), F.upper("p_type")).alias("value")))
+    return files.read_targets(spark, path)
 
 
-@query("SELECT vec_id, list_transform(embedding[1:3], lambda v: round(v::DOUBLE, 6)) AS xyz, list_transform(embedding[4:22], lambda v: round(v::DOUBLE, 6)) AS features FROM embeddings")
+@query("SELECT vec_id, list_transform(embedding[1:3], lambda v: round(v::DOUBLE, 6)) AS xyz, list_transform(embedding[4:], lambda v: round(v::DOUBLE, 6)) AS features FROM embeddings")
 def split_matrix(spark, d):
-    part = lambda a, n: F.transform(F.slice("embedding", a, n), lambda v: F.round(v.cast("double"), 6))
-    return table(spark, d, "embeddings").select("vec_id", part(1, 3).alias("xyz"), part(4, 19).alias("features"))
+    rows = table(spark, d, "embeddings").select("vec_id", F.transform("embedding", lambda v: F.round(v.cast("double"), 6)).alias("data"))
+    return files.split_matrix(rows)
 
 
-@query("""WITH p AS (SELECT regexp_extract(url, '://([^/?#]+)', 1) AS gene, CASE WHEN url LIKE '%?%' OR url LIKE '%#%' THEN 'protein' ELSE 'compound' END AS kind FROM pages),
+@query("""WITH p AS (SELECT CAST(s_nationkey AS STRING) AS gene, CASE WHEN s_acctbal < 0 THEN 'protein' ELSE 'compound' END AS kind FROM supplier),
 c AS (SELECT gene, count(*) AS n FROM p WHERE kind = 'compound' GROUP BY gene), q AS (SELECT gene, count(*) AS n FROM p WHERE kind = 'protein' GROUP BY gene)
 SELECT coalesce(c.gene, q.gene) AS gene, coalesce(c.n, 0) AS n_compound, coalesce(q.n, 0) AS n_protein, CASE WHEN c.gene IS NULL THEN 'no compound' WHEN q.gene IS NULL THEN 'no protein' ELSE 'both' END AS state FROM c FULL JOIN q ON c.gene = q.gene""")
 def archive_catalog(spark, d):
-    url = F.col("url")
-    paths = table(spark, d, "pages").select(F.regexp_extract(url, "://([^/?#]+)", 1).alias("gene"), (url.contains("?") | url.contains("#")).alias("protein"))
-    n = lambda p, name: paths.where(F.col("protein") == p).groupBy("gene").agg(F.count("*").alias(name))
-    both = n(False, "n_compound").join(n(True, "n_protein"), "gene", "full")
+    """A listing of archives written as text and read; genes that lack one of the two kinds."""
+    gene, protein = F.col("s_nationkey").cast("string"), F.col("s_acctbal") < 0
+    path = _as_text(table(spark, d, "supplier").select(F.when(protein, F.concat(F.lit("/"), gene, F.lit("_prot_PDB.zip"))).otherwise(F.concat(F.lit("/"), gene, F.lit("/K"), F.col("s_suppkey").cast("string"), F.lit(".zip"))).alias("value")))
+    paths = files.read_archive(spark, path)
+    n = lambda p, name: paths.where(F.col("kind") == p).groupBy("gene").agg(F.count("*").alias(name))
+    both = n("compound", "n_compound").join(n("protein", "n_protein"), "gene", "full")
     state = F.when(F.col("n_compound").isNull(), "no compound").when(F.col("n_protein").isNull(), "no protein").otherwise("both")
     return both.select("gene", F.coalesce("n_compound", F.lit(0)).alias("n_compound"), F.coalesce("n_protein", F.lit(0)).alias("n_protein"), state.alias("state"))
 
 
+@query("SELECT p_brand AS domain, p_brand || '_' || p_partkey AS model_name, CASE WHEN p_size % 7 <> 0 THEN p_size * 2.0::DOUBLE END AS identity FROM part")
+def model_identities(spark, d):
+    """Model lists and identity maps written as text, read and joined; models without an identity have null."""
+    part = table(spark, d, "part").select("p_size", F.col("p_brand").alias("domain"), F.concat_ws("_", "p_brand", "p_partkey").alias("model_name"))
+    line = lambda p, c: p.groupBy("domain").agg(F.array_join(F.collect_list(c), "\n").alias("value"))
+    folder = _folder(spark)
+    line(part, F.col("model_name")).write.partitionBy("domain").text(f"{folder}/models")
+    line(part.where("p_size % 7 <> 0"), F.concat_ws(" ", "model_name", F.col("p_size") * 2.0)).write.partitionBy("domain").text(f"{folder}/identities")
+    value, domain = F.col("value"), F.regexp_extract("_metadata.file_path", "/domain=([^/]+)/", 1)
+    of = F.url_decode(F.url_decode(domain))
+    models = spark.read.text(f"{folder}/models").select(of.alias("domain"), F.trim(value).alias("model_name"))
+    identities = spark.read.text(f"{folder}/identities").select(of.alias("domain"), F.split(value, " ")[0].alias("model_name"), F.split(value, " ")[1].cast("double").alias("identity"))
+    found, none = P.with_identity(models, identities)
+    return found.select("domain", "model_name", "identity").union(none.select("domain", "model_name", F.lit(None).cast("double")))
+
+
 # --- sinks and rejects
 
 
@@ -122,14 +153,43 @@ def duplicate_keys(spark, d):
     return T.duplicate_keys(view(spark, d, "fx_pairs"), ["gene", "compound", "dataset"])
 
 
-@query("""WITH t AS (SELECT *, CASE WHEN value LIKE '%ATOM%' OR value LIKE '%UNL%' THEN sum(CASE WHEN value LIKE '%ATOM%' OR value LIKE '%UNL%' THEN 1 ELSE 0 END) OVER (PARTITION BY file ORDER BY ord) END AS nth FROM {fx_lines}),
-a AS (SELECT complex_id AS file, ord AS nth, lpad(printf('%.3f', x), 8, ' ') || lpad(printf('%.3f', y), 8, ' ') || lpad(printf('%.3f', z), 8, ' ') AS new FROM {fx_atoms} WHERE ord <= 4)
-SELECT t.file, t.ord, CASE WHEN a.new IS NOT NULL THEN rpad(substr(value, 1, 30), 30, ' ') || new || substr(value, 55) ELSE value END AS value, t.nth IS NOT NULL AND a.new IS NULL AS short FROM t LEFT JOIN a ON t.file = a.file AND t.nth = a.nth""")
-def splice_pose_lines(spark, d):
-    atoms = view(spark, d, "fx_atoms").where("ord <= 4").select(F.col("complex_id").alias("file"), "ord", "x", "y", "z")
+@query("SELECT dataset, is_kinase, count(DISTINCT (gene, compound)) AS n FROM {fx_pairs} GROUP BY 1, 2")
+def keyed_write(spark, d):
+    """Pairs written by (dataset, is_kinase) with unique keys, in two appends, and read back."""
+    pairs = view(spark, d, "fx_pairs").select("gene", "compound", "dataset", "is_kinase").distinct()
+    path = _folder(spark)
+    first = F.col("dataset") == "KD"
+    files.write_keyed(pairs.where(first), path, ["gene", "compound"], ["dataset", "is_kinase"])
+    files.write_keyed(pairs.where(~first), path, ["gene", "compound"], ["dataset", "is_kinase"], "append")
+    return spark.read.parquet(path).groupBy("dataset", F.col("is_kinase").cast("boolean").alias("is_kinase")).agg(F.count("*").alias("n"))
+
+
+SPLICED = """WITH t AS (SELECT *, CASE WHEN value LIKE '%ATOM%' OR value LIKE '%UNL%' THEN sum(CASE WHEN value LIKE '%ATOM%' OR value LIKE '%UNL%' THEN 1 ELSE 0 END) OVER (PARTITION BY file ORDER BY ord) END AS nth FROM {fx_lines}),
+a AS (SELECT complex_id AS file, ord AS nth, lpad(printf('%.3f', x), 8, ' ') || lpad(printf('%.3f', y), 8, ' ') || lpad(printf('%.3f', z), 8, ' ') AS new FROM (SELECT complex_id, x, y, z, row_number() OVER (PARTITION BY complex_id ORDER BY ord) AS ord FROM {fx_atoms} WHERE molcode = 1))
+SELECT t.file, t.ord, CASE WHEN a.new IS NOT NULL THEN rpad(substr(value, 1, 30), 30, ' ') || new || substr(value, 55) ELSE value END AS value, t.nth IS NOT NULL AND a.new IS NULL AS short FROM t LEFT JOIN a ON t.file = a.file AND t.nth = a.nth"""
+
+
+def _spliced(spark, d):
+    """The ligand's atoms, numbered anew, in the lines of their complex."""
+    nth = F.row_number().over(Window.partitionBy("complex_id").orderBy("ord"))
+    atoms = view(spark, d, "fx_atoms").where("molcode = 1").select(F.col("complex_id").alias("file"), nth.alias("ord"), "x", "y", "z")
     return A.splice_pose_lines(view(spark, d, "fx_lines"), atoms)
 
 
+@query(SPLICED)
+def splice_pose_lines(spark, d):
+    return _spliced(spark, d)
+
+
+@query(f"SELECT file, ord, value FROM ({SPLICED}) WHERE file NOT IN (SELECT file FROM ({SPLICED}) WHERE short)")
+def write_pose_lines(spark, d):
+    """Poses with enough atoms, written as text and read again line by line."""
+    spliced = materialize(_spliced(spark, d))
+    whole = spliced.join(spliced.where("short").select("file").distinct(), "file", "left_anti")
+    files.write_pose_text(whole, path := _folder(spark))
+    return files.read_pose_text(spark, path).select(F.col("file").cast("bigint").alias("file"), F.col("ord").cast("bigint").alias("ord"), "value")
+
+
 @query("SELECT CASE WHEN kdmodel IS NULL THEN 'no score' WHEN distance > 20 THEN 'far' WHEN energy_kcal < -80 THEN 'energy' END AS reject_reason, count(*) AS n FROM {fx_scores} GROUP BY 1")
 def reject_log(spark, d):
     tests = {"no score": F.col("kdmodel").isNull(), "far": F.col("distance") > 20, "energy": F.col("energy_kcal") < -80}
@@ -144,9 +204,11 @@ def distinct_pairs(spark, d):
     return pairs_of(spark, d).select("gene", "compound", "dataset", F.round("value", 6).alias("value"))
 
 
-@query("SELECT DISTINCT model_name, pose_id FROM {fx_scores} WHERE kdmodel IS NOT NULL AND pose_id IS NOT NULL")
+@query("SELECT DISTINCT model_name, nullif(pose_id, 'none') AS pose_id FROM (SELECT CASE WHEN kdmodel IS NOT NULL THEN model_name END AS model_name, CASE WHEN distance < 24 THEN pose_id END AS pose_id FROM {fx_scores}) WHERE model_name IS NOT NULL AND pose_id IS NOT NULL")
 def clean_poses(spark, d):
-    return view(spark, d, "fx_scores").na.drop(subset=["kdmodel", "pose_id"]).select("model_name", "pose_id").distinct()
+    """Poses named by model and id; rows without a score have no model, far ones no id."""
+    named = view(spark, d, "fx_scores").select(F.when(F.col("kdmodel").isNotNull(), F.col("model_name")).alias("model_name"), F.when(F.col("distance") < 24, F.col("pose_id")).alias("pose_id"))
+    return T.clean_poses(named)
 
 
 @query("SELECT complex_id, count(*) FILTER (WHERE NOT contains(atom_type, 'H')) AS n_any, count(*) FILTER (WHERE NOT regexp_matches(atom_type, 'H.')) AS n_typed FROM {fx_atoms} GROUP BY 1")
@@ -186,10 +248,10 @@ def drop_marked_lines(spark, d):
     return view(spark, d, "fx_lines").where(~F.col("value").contains("HETATM")).groupBy("file").agg(F.count("*").alias("n"))
 
 
-@query("SELECT gene, compound, n AS row FROM (SELECT gene, compound, row_number() OVER (PARTITION BY gene ORDER BY compound) - 1 AS n FROM (SELECT DISTINCT gene, compound FROM {fx_pairs})) WHERE n >= 5 AND n < 15")
+@query("SELECT gene, compound FROM (SELECT DISTINCT gene, compound FROM {fx_pairs}) ORDER BY gene, compound LIMIT 1000 OFFSET 500")
 def row_slice(spark, d):
-    n = F.row_number().over(Window.partitionBy("gene").orderBy("compound")) - 1
-    return view(spark, d, "fx_pairs").select("gene", "compound").distinct().withColumn("row", n).where("row >= 5 AND row < 15")
+    """Rows 500 to 1,500 of the pairs: the batch of one run."""
+    return T.row_slice(view(spark, d, "fx_pairs").select("gene", "compound").distinct(), ["gene", "compound"], 500, 1500)
 
 
 @query("SELECT file, ord, value FROM (SELECT *, min(CASE WHEN contains(value, ' et ') OR contains(value, ' and ') THEN ord END) OVER (PARTITION BY file) AS first FROM {fx_doc_lines}) WHERE first IS NULL OR ord < first")
@@ -240,15 +302,15 @@ def map_ids(spark, d):
     return rest.union(found.groupBy("gene", "domain").agg(F.count("*").alias("n")).select("gene", "domain", "n"))
 
 
-@query("SELECT job, gene, compound, domain FROM {fx_jobs} JOIN {fx_map} USING (gene) WHERE NOT done AND domain IN (SELECT n_name FROM nation WHERE n_regionkey <> 2)")
+@query("SELECT job, gene, compound, domain FROM {fx_jobs} j JOIN {fx_map} USING (gene) WHERE domain IN (SELECT n_name FROM nation WHERE n_regionkey <> 2) AND NOT EXISTS (SELECT 1 FROM {fx_outputs} o WHERE o.job = j.job)")
 def dock_backlog(spark, d):
     models = table(spark, d, "nation").where("n_regionkey <> 2").select(F.col("n_name").alias("domain"))
-    return T.backlog(view(spark, d, "fx_jobs"), view(spark, d, "fx_map"), models).select("job", "gene", "compound", "domain")
+    return T.backlog(view(spark, d, "fx_jobs"), view(spark, d, "fx_outputs"), view(spark, d, "fx_map"), models, ["job"]).select("job", "gene", "compound", "domain")
 
 
-@query("SELECT job, n_done FROM {fx_jobs} WHERE NOT done AND n_done < 5")
+@query("SELECT job, coalesce(n, 0) AS n_done FROM {fx_jobs} LEFT JOIN (SELECT job, count(*) AS n FROM {fx_outputs} GROUP BY 1) USING (job) WHERE coalesce(n, 0) < 5")
 def rescore_backlog(spark, d):
-    return T.unfinished(view(spark, d, "fx_jobs").where("NOT done"), 5).select("job", "n_done")
+    return T.unfinished(view(spark, d, "fx_jobs"), view(spark, d, "fx_outputs"), 5, ["job"]).select("job", "n_done")
 
 
 EXCLUDED = "Brand#11_1"
@@ -278,36 +340,31 @@ def jaccard_pairs(spark, d):
     return S.jaccard_pairs(fingerprints(spark, d), LIMIT).withColumn("dist", F.round("dist", 6))
 
 
-@query("""WITH e AS (SELECT least(a, b) AS a, greatest(a, b) AS b, min(dist) AS dist FROM {fx_gene_dist} GROUP BY 1, 2), g AS (SELECT CAST(s_suppkey AS STRING) AS g FROM supplier WHERE s_nationkey < 12)
+@query("""WITH x AS (SELECT a, b, dist FROM {fx_gene_dist} UNION ALL SELECT alias, b, dist FROM {fx_gene_dist} JOIN {fx_alias} ON gene = a UNION ALL SELECT a, alias, dist FROM {fx_gene_dist} JOIN {fx_alias} ON gene = b),
+e AS (SELECT least(a, b) AS a, greatest(a, b) AS b, min(dist) AS dist FROM x GROUP BY 1, 2), g AS (SELECT CAST(s_suppkey AS STRING) AS g FROM supplier UNION ALL SELECT alias FROM {fx_alias})
 SELECT x.g AS a, y.g AS b, round(coalesce(e.dist, CASE WHEN x.g = y.g THEN 0.0 ELSE 100.0 END), 6) AS dist FROM g x CROSS JOIN g y LEFT JOIN e ON e.a = least(x.g, y.g) AND e.b = greatest(x.g, y.g)""")
 def kinase_distance(spark, d):
-    genes = table(spark, d, "supplier").where("s_nationkey < 12").select(F.col("s_suppkey").cast("string").alias("g"))
-    return S.complete(genes, view(spark, d, "fx_gene_dist")).withColumn("dist", F.round("dist", 6))
+    """The whole table of gene distances, with genes that stand for others."""
+    alias = view(spark, d, "fx_alias")
+    genes = table(spark, d, "supplier").select(F.col("s_suppkey").cast("string").alias("g")).union(alias.select("alias"))
+    return S.complete(genes, S.with_aliases(view(spark, d, "fx_gene_dist"), alias)).withColumn("dist", F.round("dist", 6))
 
 
 ROT = "(VALUES " + ", ".join(f"({i}, {', '.join(map(str, m))})" for i, m in enumerate(A.rotations())) + ") m(rotation, a, b, c, e, f, g, h, j, k)"
 ROTATED = f"SELECT a.*, CAST(rotation AS INT) AS rotation, x * a + y * e + z * h AS rx, x * b + y * f + z * j AS ry, x * c + y * g + z * k AS rz FROM {{fx_atoms}} a CROSS JOIN {ROT}".replace("x * a +", "x * m.a +")
 
 
-@query(f"SELECT complex_id, ord, rotation, round(rx, 6) AS rx, round(ry, 6) AS ry, round(rz, 6) AS rz FROM ({ROTATED}) WHERE rotation < 4")
+@query(f"SELECT complex_id, ord, rotation, round(rx, 6) AS rx, round(ry, 6) AS ry, round(rz, 6) AS rz FROM ({ROTATED})")
 def rotate_coords(spark, d):
-    out = A.rotate(view(spark, d, "fx_atoms"), 4)
+    out = A.rotate(view(spark, d, "fx_atoms"))
     return out.select("complex_id", "ord", "rotation", *[F.round(f"r{c}", 6).alias(f"r{c}") for c in "xyz"])
 
 
-RECEPTOR = "SELECT model_name, ord, atom_type, x, y, z FROM (SELECT *, row_number() OVER (PARTITION BY model_name ORDER BY complex_id, ord) AS nth FROM {fx_atoms} WHERE molcode = -1) WHERE nth <= 5"
-
-
-def _receptor(spark, d):
-    w = Window.partitionBy("model_name").orderBy("complex_id", "ord")
-    return view(spark, d, "fx_atoms").where("molcode = -1").withColumn("nth", F.row_number().over(w)).where("nth <= 5").select("model_name", "ord", "atom_type", "x", "y", "z")
-
-
-@query(f"""WITH p AS (SELECT complex_id, model_name, ord, atom_type, x, y, z FROM {{fx_atoms}} WHERE molcode = 1), r AS ({RECEPTOR})
-SELECT complex_id, 0 AS part, r.ord, r.atom_type, round(r.x, 6) AS x FROM (SELECT DISTINCT complex_id, model_name FROM p) JOIN r USING (model_name) UNION ALL SELECT complex_id, 1, ord, atom_type, round(x, 6) FROM p""")
+@query("""WITH p AS (SELECT complex_id, model_name, ord, atom_type, x, y, z FROM {fx_atoms} WHERE molcode = 1)
+SELECT complex_id, 0 AS part, r.ord, r.atom_type, round(r.x, 6) AS x FROM (SELECT DISTINCT complex_id, model_name FROM p) JOIN {fx_receptors} r USING (model_name) UNION ALL SELECT complex_id, 1, ord, atom_type, round(x, 6) FROM p""")
 def assemble_complex(spark, d):
     poses = view(spark, d, "fx_atoms").where("molcode = 1")
-    return A.assemble(poses, _receptor(spark, d)).select("complex_id", "part", "ord", "atom_type", F.round("x", 6).alias("x"))
+    return A.assemble(poses, view(spark, d, "fx_receptors")).select("complex_id", "part", "ord", "atom_type", F.round("x", 6).alias("x"))
 
 
 # --- aggregations
@@ -348,6 +405,15 @@ def site_distance(spark, d):
     return A.site_distance(c, _site(spark, d), "model_name").select("complex_id", "model_name", "distance")
 
 
+@query(f"SELECT file, count(*) AS n, round(avg(x), 6) AS sx FROM (SELECT file, serial, arg_min(x, ord) AS x FROM ({PARSED}) WHERE (serial = 3 AND atom = 'O' AND residue = 'MET' AND chain = 'A') OR (serial = 1 AND atom = 'NH2' AND residue = 'MET' AND chain = 'A') GROUP BY 1, 2) GROUP BY 1")
+def site_markers(spark, d):
+    """Site centres from structure text: the marker atoms by serial, name, residue and chain."""
+    atoms = A.parse_atoms(view(spark, d, "fx_lines"))
+    marker = A.markers([(3, "O", "MET", "A"), (1, "NH2", "MET", "A")])
+    n = atoms.withColumn("m", marker).where("m IS NOT NULL").groupBy("file").agg(F.countDistinct("m").alias("n"))
+    return A.site_center(atoms, "file", marker, ["ord"]).join(n, "file").select("file", "n", F.round("sx", 6).alias("sx"))
+
+
 @query("SELECT id, round((r0 + r1) / 2, 9) AS pred FROM {fx_preds}")
 def rotation_mean(spark, d):
     return E.rotation_mean(view(spark, d, "fx_preds"), ["r0", "r1"]).select("id", F.round("pred", 9).alias("pred"))
@@ -475,24 +541,48 @@ def concat_sets(spark, d):
     return both.groupBy("dataset").agg(F.count("*").alias("n_rows"), F.countDistinct("gene", "compound").alias("n_pairs"))
 
 
+#: The set of a pick in a fold, by a hash of its name; some are in none, and some name a set that isn't one.
+FOLD = "CASE ('0x' || substr(md5(concat_ws('|', '{k}', gene, compound, dataset)), 1, 8))::BIGINT % 10 WHEN 0 THEN 'validation' WHEN 1 THEN 'test' WHEN 8 THEN 'holdout' WHEN 9 THEN NULL ELSE 'training' END"
+
+
+def _folds(picks):
+    out = None
+    for k in range(1, 6):
+        n = F.pmod(F.conv(F.substring(F.md5(F.concat_ws("|", F.lit(str(k)), "gene", "compound", "dataset")), 1, 8), 16, 10).cast("long"), F.lit(10))
+        cvset = F.when(n == 0, "validation").when(n == 1, "test").when(n == 8, "holdout").when(n == 9, F.lit(None)).otherwise("training")
+        one = picks.select("gene", "compound", "dataset", F.lit(k).alias("cv"), cvset.alias("cvset"))
+        out = one if out is None else out.union(one)
+    return out.where("cvset IS NOT NULL")
+
+
 def _picks(spark, d):
     positive = P.pick_pose(scored(spark, d)).join(pairs_of(spark, d).select("gene", "compound", "dataset", F.col("value").alias("expt")), ["gene", "compound"])
-    return P.training_picks(positive.select(*THREE, "dataset", "expt", "distance"), _negatives(spark, d))
+    positive, negative = materialize(positive.select(*THREE, "dataset", "expt", "distance")), materialize(_negatives(spark, d).drop("dist_bin"))
+    names = positive.select("gene", "compound", "dataset").union(negative.select("gene", "compound", "dataset")).distinct()
+    return P.training_picks(positive, negative, _folds(names))
 
 
 PICKED = f"SELECT gene, compound, model_name, pose_id, dataset, value AS expt, distance FROM ({PICK}) JOIN (SELECT gene, compound, dataset, value FROM ({FIRST})) USING (gene, compound) WHERE nth = 1 UNION ALL SELECT gene, compound, model_name, pose_id, dataset, expt, distance FROM ({NEGATIVE})"
-FOLD = "CASE ('0x' || substr(md5(concat_ws('|', '{k}', gene, compound, dataset)), 1, 8))::BIGINT % 10 WHEN 0 THEN 'validation' WHEN 1 THEN 'test' WHEN 9 THEN NULL ELSE 'training' END"
-FOLDS = ", ".join(f"{FOLD.format(k=k)} AS cv{k}_cvset" for k in range(1, 6))
+FOLDS = ", ".join(f"{FOLD.format(k=k)} AS cv{k}_cvset, CASE WHEN {FOLD.format(k=k)} IS NOT NULL THEN model_name END AS cv{k}_model_name, CASE WHEN {FOLD.format(k=k)} IS NOT NULL THEN pose_id END AS cv{k}_pose_id" for k in range(1, 6))
 
 
 @query(f"SELECT gene, compound, model_name, pose_id, dataset, round(expt, 6) AS expt, distance, {FOLDS} FROM ({PICKED})")
 def training_picks(spark, d):
-    return _picks(spark, d).drop("dist_bin").withColumn("expt", F.round("expt", 6))
+    return _picks(spark, d).withColumn("expt", F.round("expt", 6))
+
 
+FANNED = " UNION ALL ".join(f"SELECT gene, compound, dataset, model_name, pose_id, expt, {k} AS cv, {FOLD.format(k=k)} AS cvset FROM picked" for k in range(1, 6))
 
-@query("SELECT cv, cvset, count(*) AS n FROM (" + " UNION ALL ".join(f"SELECT {k} AS cv, {FOLD.format(k=k)} AS cvset FROM ({PICKED})" for k in range(1, 6)) + ") WHERE cvset IS NOT NULL GROUP BY 1, 2")
+
+@query(f"WITH picked AS ({PICKED}) SELECT gene, compound, dataset, cv, cvset, model_name, pose_id FROM ({FANNED}) WHERE cvset IN ('training', 'validation', 'test')")
 def cv_fanout(spark, d):
-    return P.cv_fanout(_picks(spark, d)).groupBy("cv", "cvset").agg(F.count("*").alias("n"))
+    return P.cv_fanout(_picks(spark, d))[0].select("gene", "compound", "dataset", "cv", "cvset", "model_name", "pose_id")
+
+
+@query(f"WITH picked AS ({PICKED}) SELECT cv, cvset, count(*) AS n FROM ({FANNED}) WHERE cvset NOT IN ('training', 'validation', 'test') GROUP BY 1, 2")
+def unknown_sets(spark, d):
+    """Rows whose set is none of the three, by fold."""
+    return P.cv_fanout(_picks(spark, d))[1].groupBy("cv", "cvset").agg(F.count("*").alias("n"))
 
 
 @query("SELECT gene, compound, 'both' AS part FROM (SELECT gene, compound FROM {fx_pairs} WHERE dataset = 'KD' INTERSECT SELECT gene, compound FROM {fx_pairs} WHERE dataset = 'KI') UNION ALL SELECT gene, compound, 'only' FROM (SELECT gene, compound FROM {fx_pairs} WHERE dataset = 'KD' EXCEPT SELECT gene, compound FROM {fx_pairs} WHERE dataset = 'KI')")
@@ -573,32 +663,37 @@ def cluster_record(spark, d):
     return of.where(~sampled).join(of.where(sampled).select("cluster").distinct(), "cluster", "left_semi").select("gene", "cluster")
 
 
+QUOTA = 3
+
+
 def _sample_sql() -> str:
-    """One step of the sampling as a chain of CTEs, one a subset."""
+    """One step of the sampling as a chain of CTEs, one a subset; the quotas are met, so nothing is carried over."""
     out = COMPOUNDS.replace(f"<= {LIMIT} *", f"<= {TIGHT} *") + f""", pool AS (SELECT * FROM ({CLASSED}) WHERE subset IS NOT NULL), deg AS (SELECT compound, count(*) AS num FROM pool GROUP BY 1),
 sz AS (SELECT component AS cluster, coalesce(sum(num), 0) AS n_pairs FROM comp LEFT JOIN deg ON deg.compound = comp.id GROUP BY 1),
-near AS (SELECT pool.*, component AS cluster, n_pairs FROM pool JOIN comp ON comp.id = pool.compound JOIN sz ON sz.cluster = comp.component WHERE CAST(gene AS INT) % 4 = 1)"""
+near AS (SELECT pool.*, component AS cluster, n_pairs FROM pool JOIN comp ON comp.id = pool.compound JOIN sz ON sz.cluster = comp.component)"""
     for i, s in enumerate(V.SUBSETS):
         used = " UNION ALL ".join(f"SELECT cluster FROM got{j}" for j in range(i)) or "SELECT NULL WHERE false"
-        out += f""", one{i} AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY cluster ORDER BY md5(concat_ws('|', '5', gene, compound)), gene, compound) AS nth FROM near WHERE subset = '{s}' AND cluster NOT IN ({used})) WHERE nth = 1),
-cut{i} AS (SELECT least(n_pairs, 100000) AS cutoff FROM (SELECT n_pairs, row_number() OVER (ORDER BY n_pairs) - 1 AS i, least(greatest(0, CAST(round_even(count(*) OVER () / 2, 0) AS INT)), count(*) OVER () - 1) AS pos FROM one{i}) WHERE i = pos),
-got{i} AS (SELECT gene, compound, subset, cluster FROM one{i} WHERE n_pairs <= (SELECT cutoff FROM cut{i}) ORDER BY md5(concat_ws('|', '5', cluster)), cluster LIMIT 3)"""
-    return out + " " + " UNION ALL ".join(f"SELECT * FROM got{i}" for i in range(len(V.SUBSETS)))
+        out += f""", met{i} AS (SELECT DISTINCT cluster, n_pairs FROM near WHERE subset = '{s}'),
+cut{i} AS (SELECT least(n_pairs, 100000) AS cutoff FROM (SELECT n_pairs, row_number() OVER (ORDER BY n_pairs) - 1 AS i, greatest({QUOTA - 1}, CAST(round_even(count(*) OVER () / 2, 0) AS INT)) AS pos FROM met{i}) WHERE i = pos),
+got{i} AS (SELECT cluster FROM met{i} WHERE n_pairs <= (SELECT cutoff FROM cut{i}) AND cluster NOT IN ({used}) ORDER BY md5(concat_ws('|', '5', cluster)), cluster LIMIT {QUOTA})"""
+    one = "SELECT gene, compound, subset, cluster FROM (SELECT *, row_number() OVER (PARTITION BY cluster ORDER BY md5(concat_ws('|', '5', gene, compound)), gene, compound) AS nth FROM near WHERE subset = '{s}' AND cluster IN (SELECT cluster FROM got{i})) WHERE nth = 1"
+    return out + " " + " UNION ALL ".join(one.format(i=i, s=s) for i, s in enumerate(V.SUBSETS))
 
 
 @query(_sample_sql())
 def sample_compounds(spark, d):
     pool = _classed(spark, d).where("subset IS NOT NULL")
     degrees = pool.groupBy("compound").agg(F.count("*").alias("num"))
-    genes = pool.where(F.col("gene").cast("int") % 4 == 1)
-    got, _ = V.sample_compounds(pool, genes, _compound_clusters(spark, d, TIGHT), degrees, V.Quotas(dict.fromkeys(V.SUBSETS, 3)), 100_000, 5)
-    return got.select("gene", "compound", "subset", "cluster")
+    got, _ = V.sample_compounds(pool, pool, _compound_clusters(spark, d, TIGHT), degrees, V.Quotas(dict.fromkeys(V.SUBSETS, QUOTA)), 100_000, 5)
+    return got
 
 
 def _split(spark, d):
     pool = _classed(spark, d).where("subset IS NOT NULL")
-    edges = S.jaccard_pairs(fingerprints(spark, d).join(pool.select("compound").distinct(), "compound", "left_semi"), TIGHT)
-    return pool, edges, V.cv_split(pool, view(spark, d, "fx_gene_dist"), edges, _docked(spark, d), [GENE_LIMIT], [TIGHT], dict.fromkeys(V.SUBSETS, 1), 100_000)
+    edges = materialize(S.jaccard_pairs(fingerprints(spark, d).join(pool.select("compound").distinct(), "compound", "left_semi"), TIGHT))
+    genes = materialize(view(spark, d, "fx_gene_dist"))
+    quota = {"xtal": 2, "nonbind": 2, "high": 2, "low": 3}
+    return edges, genes, materialize(V.cv_split(pool, genes, edges, _docked(spark, d), [GENE_LIMIT, V.RANDOM], [TIGHT, V.RANDOM], quota, 100_000, retries={"docked": 2, "xtal": 2}, random_clusters={"docked": 33, "xtal": 33}))
 
 
 @query()
@@ -606,12 +701,12 @@ def cv_split(spark, d):
     return _split(spark, d)[2]
 
 
-@query()
+@query("SELECT 'compound' AS side, 0 AS n_leaks UNION ALL SELECT 'gene', 0")
 def leakage_audit(spark, d):
-    """Counts of the split's sets and of leaks, which must be none."""
-    _, edges, split = _split(spark, d)
-    found = V.leaks(split, edges).agg(F.count("*").alias("n")).select(F.lit("leaks").alias("cvset"), "n")
-    return split.groupBy("cvset").agg(F.count("*").alias("n")).union(found)
+    """Leaks of a split between its sampled sets and training, by compound and by gene: there must be none."""
+    edges, genes, split = _split(spark, d)
+    n = lambda side, e, limit: V.leaks(split, e, side, limit).agg(F.lit(side).alias("side"), F.count("*").alias("n_leaks"))
+    return n("compound", edges, "cthresh").union(n("gene", genes, "kthresh"))
 
 
 # --- budget and scalar functions
@@ -628,11 +723,11 @@ def energy_to_log_kd(spark, d):
     return view(spark, d, "fx_scores").select(*THREE, F.round(energy_to_kd(F.col("energy_kcal")), 6).alias("energy_kd"))
 
 
-@query("SELECT o_orderkey AS file, round(-o_totalprice / 1000, 3) AS energy FROM orders WHERE o_orderstatus <> 'P'")
+@query("SELECT o_orderkey AS file, CASE WHEN o_orderstatus <> 'P' THEN round(-o_totalprice / 1000, 3) END AS energy FROM orders")
 def parse_energy(spark, d):
     e = F.format_string("Affinity: %.3f (kcal/mol)", F.round(-F.col("o_totalprice") / 1000, 3))
-    lines = table(spark, d, "orders").select(F.col("o_orderkey").alias("file"), F.explode(F.array(F.lit("Reading input"), F.when(F.col("o_orderstatus") != "P", e).otherwise("failed"))).alias("value"))
-    return lines.where(F.col("value").contains("Affinity")).select("file", F.get(F.split("value", r"\s+"), F.lit(1)).try_cast("double").alias("energy"))
+    lines = table(spark, d, "orders").select(F.col("o_orderkey").alias("file"), F.posexplode(F.array(F.lit("Reading input"), F.when(F.col("o_orderstatus") != "P", e).otherwise("failed"), F.lit("Affinity: 0 again"))).alias("ord", "value"))
+    return A.parse_energy(lines.where("ord < 2 OR NOT value LIKE 'Aff%'"))
 
 
 @query("SELECT complex_id, ord, round(x - avg(x) FILTER (molcode = 1) OVER w, 6) AS x, round(y - avg(y) FILTER (molcode = 1) OVER w, 6) AS y, round(z - avg(z) FILTER (molcode = 1) OVER w, 6) AS z FROM {fx_atoms} WINDOW w AS (PARTITION BY complex_id)")
@@ -687,18 +782,25 @@ def status_chain(spark, d):
 
 # --- composites
 
-TRAIN = f"""WITH p AS (SELECT complex_id, model_name, ord, atom_type, x, y, z FROM {{fx_atoms}} WHERE molcode = 1 AND NOT regexp_matches(atom_type, 'H.')), c AS (SELECT complex_id, avg(x) AS cx FROM p GROUP BY 1), r AS ({RECEPTOR}),
-parts AS (SELECT complex_id, p.ord, 1 AS part, p.x FROM p UNION ALL SELECT complex_id, r.ord, 0, r.x FROM (SELECT DISTINCT complex_id, model_name FROM p) JOIN r USING (model_name))
-SELECT complex_id, count(*) AS n_atoms, count(*) FILTER (WHERE part = 0) AS n_receptor, round(sum(x - cx), 6) AS sx FROM parts JOIN c USING (complex_id) GROUP BY 1"""
+TRAIN = f"""WITH picked AS ({PICKED}), f AS (SELECT * FROM ({FANNED}) WHERE cvset IN ('training', 'validation', 'test')),
+a AS (SELECT complex_id, x FROM {{fx_atoms}} WHERE molcode = 1 AND NOT regexp_matches(atom_type, 'H.')), l AS (SELECT complex_id, count(*) AS n, avg(x) AS cx FROM a GROUP BY 1),
+r AS (SELECT model_name, count(*) AS n, sum(x) AS sx FROM {{fx_receptors}} GROUP BY 1)
+SELECT f.gene || '|' || f.compound || '_' || f.dataset AS name, f.cv, f.cvset, round(f.expt, 6) AS affinity, l.n AS n_ligand, CASE WHEN l.n IS NOT NULL THEN r.n END AS n_receptor, round(CASE WHEN l.n IS NOT NULL THEN r.sx - r.n * l.cx END, 6) AS sx,
+  CASE WHEN l.n IS NULL THEN 'no pose' WHEN r.n IS NULL THEN 'no receptor' END AS reject_reason
+FROM f LEFT JOIN l ON l.complex_id = CAST(split_part(f.pose_id, '-', 1) AS BIGINT) LEFT JOIN r ON r.model_name = f.model_name"""
 
 
 @query(TRAIN)
 def training_complexes(spark, d):
-    """Heavy atoms of the poses with their receptors, centred on the ligand; one row a complex."""
-    poses = view(spark, d, "fx_atoms").where("molcode = 1").where(heavy(F.col("atom_type"), "typed"))
-    whole = A.assemble(poses, _receptor(spark, d)).withColumn("molcode", F.when(F.col("part") == 1, 1).otherwise(-1))
-    centred = A.center(whole, "complex_id")
-    return centred.groupBy("complex_id").agg(F.count("*").alias("n_atoms"), F.count_if(F.col("part") == 0).alias("n_receptor"), F.round(F.sum("x"), 6).alias("sx"))
+    """Picks, their folds, the poses looked up, heavy atoms with the whole receptor, centred; written by (cv, set) and read back."""
+    fan = materialize(P.cv_fanout(_picks(spark, d))[0])
+    poses = fan.select("model_name", "pose_id").distinct().withColumn("complex_id", F.split_part("pose_id", F.lit("-"), F.lit(1)).try_cast("bigint"))
+    atoms = view(spark, d, "fx_atoms").where("molcode = 1").drop("model_name").join(poses, "complex_id")
+    made = P.training_complexes(fan, atoms.select("model_name", "pose_id", "ord", "atom_type", "x", "y", "z"), view(spark, d, "fx_receptors"))
+    files.write_keyed(made.withColumnRenamed("expt", "affinity"), path := _folder(spark), ["name"], ["cv", "cvset"])
+    n = lambda c: F.when(F.col(c).isNotNull(), F.size(c)).cast("long").alias(f"n_{c}")
+    total = F.aggregate("receptor", F.lit(0.0), lambda t, a: t + a["x"])
+    return spark.read.parquet(path).select("name", "cv", "cvset", F.round("affinity", 6).alias("affinity"), n("ligand"), n("receptor"), F.round(total, 6).alias("sx"), "reject_reason")
 
 
 WEIGHTS = {"charge": 2.0, "n": 0.5, "carbon": -0.25}
@@ -716,7 +818,12 @@ def evaluation(spark, d):
     return out.groupBy("tthresh", "cthresh").agg(F.count("*").alias("n"), F.count("num").alias("n_known"), F.round(F.avg((F.col("pred") - F.col("expt")) ** 2), 6).alias("mse"))
 
 
-@query(f"SELECT gene, compound, count(*) AS n_poses, count(*) FILTER (WHERE kdmodel IS NULL) AS n_rejected, round(min(energy_kcal * {K} + {LN}), 6) AS best_kd FROM {{fx_scores}} GROUP BY 1, 2")
+@query(f"SELECT gene, compound, count(*) AS n_poses, count(*) FILTER (WHERE kdmodel IS NULL) AS n_rejected, round(min(CASE WHEN kdmodel IS NOT NULL THEN energy_kcal END * {K} + {LN}), 6) AS best_kd FROM {{fx_scores}} GROUP BY 1, 2")
 def rescore_table(spark, d):
-    marked = T.rejects(view(spark, d, "fx_scores"), {"no score": F.col("kdmodel").isNull()})
-    return marked.groupBy("gene", "compound").agg(F.count("*").alias("n_poses"), F.count("reject_reason").alias("n_rejected"), F.round(F.min(energy_to_kd(F.col("energy_kcal"))), 6).alias("best_kd"))
+    """The scorer's output of each pose parsed, turned into Kd and gathered by pair; outputs without an energy are rejected."""
+    poses = view(spark, d, "fx_scores").withColumn("file", F.struct(*THREE, F.monotonically_increasing_id().alias("n")))
+    said = F.when(F.col("kdmodel").isNotNull(), F.format_string("Affinity: %.1f (kcal/mol)", F.col("energy_kcal").cast("double"))).otherwise("Parse error")
+    lines = poses.select("file", F.posexplode(F.array(F.lit("Reading input"), said)).alias("ord", "value"))
+    found = A.parse_energy(lines).withColumn("kd", energy_to_kd(F.col("energy")))
+    marked = T.rejects(found, {"no energy": F.col("energy").isNull()})
+    return marked.groupBy("file.gene", "file.compound").agg(F.count("*").alias("n_poses"), F.count("reject_reason").alias("n_rejected"), F.round(F.min("kd"), 6).alias("best_kd"))

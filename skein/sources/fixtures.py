@@ -29,7 +29,12 @@ VIEWS = {
     "fx_preds": """SELECT CAST(o_orderkey AS STRING) AS id, o_totalprice / 100000 AS r0, o_totalprice / 100000 + (o_orderkey % 5) * 0.1 AS r1,
   o_totalprice / 100000 + (o_orderkey % 7) * 0.2 - 0.5 AS expt, o_orderpriority AS cthresh, o_orderstatus AS tthresh FROM {orders}""",
     # A pair of the backlog is an order; finished ones have status F.
-    "fx_jobs": "SELECT o_orderkey AS job, CAST(o_custkey % 25 AS STRING) AS gene, CAST(o_orderkey AS STRING) AS compound, o_orderstatus = 'F' AS done, o_custkey % 7 AS n_done FROM {orders}",
+    "fx_jobs": "SELECT o_orderkey AS job, CAST(o_custkey % 25 AS STRING) AS gene, CAST(o_orderkey AS STRING) AS compound, o_orderstatus = 'F' AS done FROM {orders}",
+    # A finished output of a backlog pair is a line of its order that was shipped.
+    "fx_outputs": "SELECT l_orderkey AS job, l_linenumber AS model FROM {lineitem} WHERE l_linestatus = 'F'",
+    "fx_receptors": """SELECT concat('M', s_suppkey % 10) AS model_name, s_suppkey AS ord, CASE WHEN s_suppkey % 3 = 0 THEN 'H' ELSE 'C.3' END AS atom_type,
+  s_acctbal / 1000 AS x, s_nationkey / 4.0 - 3 AS y, (s_suppkey % 17) / 2.0 - 4 AS z FROM {supplier}""",
+    "fx_alias": "SELECT CAST(s_suppkey AS STRING) AS gene, concat('A', s_suppkey) AS alias FROM {supplier} WHERE s_nationkey = 7",
     "fx_map": "SELECT CAST(n_nationkey AS STRING) AS gene, n_name AS domain FROM {nation} WHERE n_nationkey % 6 <> 0",
     "fx_lines": """SELECT l_orderkey AS file, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_extendedprice) AS ord,
   concat(CASE WHEN l_linenumber = 4 THEN 'HETATM' ELSE 'ATOM  ' END, lpad(CAST(l_linenumber AS STRING), 5, ' '), '  ', rpad(CASE l_linenumber % 3 WHEN 0 THEN 'O' WHEN 1 THEN 'NH2' ELSE 'CA' END, 4, ' '), rpad('MET', 3, ' '), ' ',

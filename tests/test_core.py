@@ -11,7 +11,7 @@ from skein.operators import poses as P
 from skein.operators import tables as T
 from skein.plans import similarity as S
 from skein.plans.graph import label_vertices
-from skein.plans.split import Quotas
+from skein.plans.split import Quotas, cv_split, leaks, sample_compounds
 
 SCORES = "gene string, compound string, model_name string, pose_id string, distance double, energy_kcal double, kdmodel double"
 
@@ -65,6 +65,10 @@ def test_rotations_are_the_cube_group():
     det = lambda m: m[0] * (m[4] * m[8] - m[5] * m[7]) - m[1] * (m[3] * m[8] - m[5] * m[6]) + m[2] * (m[3] * m[7] - m[4] * m[6])
     found = A.rotations()
     assert len(set(found)) == 24 and all(det(m) == 1 for m in found) and found[0] == (1, 0, 0, 0, 1, 0, 0, 0, 1)
+    turned = lambda v, m: tuple(sum(v[i] * m[3 * i + j] for i in range(3)) for j in range(3))
+    # Then a quarter turn about x (y goes to z), and the half turn about (1, 1, 0), which is the eleventh.
+    assert turned((0, 1, 0), found[1]) == (0, 0, 1) and turned((1, 0, 0), found[7]) == (0, 1, 0) and turned((1, 2, 3), found[10]) == (2, 1, -3)
+    assert turned((1, 2, 3), found[16]) == (3, 1, 2)  # a third turn about (1, 1, 1)
 
 
 def test_voxels_round_half_to_even_and_stay_in_the_box(spark):
@@ -114,10 +118,70 @@ def test_jaccard_join_loses_no_pair(spark, limit):
     assert got == want | {(empty[0], b) for b in empty[1:]}
 
 
-def test_quotas_carry_small_shortages(spark):
-    q = Quotas(dict.fromkeys(["xtal", "nonbind", "high", "low"], 5))
-    assert [q.take("xtal", 5), q.take("nonbind", 0), q.take("high", 2), q.take("low", 13)] == [5, 0, 2, 13]
-    assert Quotas({"xtal": 5}).take("xtal", 1) is None and Quotas({"low": 5}).take("low", 4) is None
+def test_quotas_carry_small_shortages():
+    subsets = ["xtal", "nonbind", "high", "low"]
+    q = Quotas(dict.fromkeys(subsets, 5))
+    assert [q.meet("xtal", 5), q.meet("nonbind", 0), q.meet("high", 2)] == [5, 0, 2] and q.wanted("low") == 13
+    assert q.meet("low", 13) is None  # as many as wanted are too few for low,
+    assert Quotas({"low": 13}).meet("low", 14) == 13 and Quotas({"low": 13}).meet("low", 13, exact=True) == 13  # but for random pairs
+    assert Quotas({"xtal": 5}).meet("xtal", 1) is None and Quotas({"low": 5}).meet("low", 4, exact=True) is None
+    q = Quotas({"xtal": 5, "low": 5})
+    assert q.meet("xtal", 9) == 5 and q.keep("xtal", 3) == 3 and q.wanted("low") == 7
+    assert Quotas({"xtal": 5}).keep("xtal", 0) is None and Quotas({"low": 5}).keep("low", 4) is None
+
+
+def _sampled(spark, sizes, want, limit=1000, used=0):
+    """Pairs sampled from compound clusters of the given sizes (one compound each, with a gene for each pair)."""
+    rows = [(f"g{j}", f"c{i:02d}", "high") for i, n in enumerate(sizes) for j in range(n)]
+    rows += [(f"g{j}", f"c{i:02d}", "xtal") for i in range(used) for j in range(sizes[i])]
+    rows += [("g0", f"l{i}", "low") for i in range(30)]
+    pool = spark.createDataFrame(rows, "gene string, compound string, subset string")
+    of = pool.select("compound", F.col("compound").alias("cluster")).distinct()
+    degrees = spark.createDataFrame([(f"c{i:02d}", n) for i, n in enumerate(sizes)] + [(f"l{i}", 1) for i in range(30)], "compound string, num long")
+    got, failed = sample_compounds(pool, pool, of, degrees, Quotas({"xtal": used, "nonbind": 0, "high": want, "low": 2}), limit, 1)
+    out = {}
+    for r in got.collect():
+        out.setdefault(r.subset, set()).add(r.cluster)
+    return out, failed
+
+
+def test_compounds_are_sampled_below_the_soft_cut_off(spark):
+    # Six clusters and a quota of two: element max(1, round(6 / 2)) = 3 of the sizes is 4, so four clusters are left to draw from.
+    out, failed = _sampled(spark, [1, 2, 3, 4, 5, 6], 4)
+    assert failed is None and out["high"] == {"c00", "c01", "c02", "c03"}
+    # A quota above half of them moves the cut-off to element quota - 1 instead.
+    out, failed = _sampled(spark, [1, 2, 3, 4, 5, 6], 5)
+    assert failed is None and out["high"] == {"c00", "c01", "c02", "c03", "c04"}
+    # The size limit is below it: two clusters are left, and a shortage of three goes to low.
+    out, failed = _sampled(spark, [1, 2, 3, 4, 5, 6], 5, limit=2)
+    assert failed is None and out["high"] == {"c00", "c01"} and len(out["low"]) == 5
+    # Clusters used before count for the cut-off and go afterwards.
+    out, failed = _sampled(spark, [1, 2, 3, 4, 5, 6], 4, used=2)
+    assert failed is None and out["xtal"] == {"c00", "c01"} and out["high"] == {"c02", "c03"} and len(out["low"]) == 4
+    assert _sampled(spark, [1, 2, 3, 4, 5, 6], 6, limit=1)[1] == "high"
+
+
+def test_split_sets_are_disjoint_and_leak_nothing(spark):
+    rng = random.Random(8)
+    rows = [(f"g{g}", f"c{c}", rng.choice(["high", "low", "low", "nonbind", "xtal"])) for g in range(40) for c in range(120) if rng.random() < 0.15]
+    pool = spark.createDataFrame(rows, "gene string, compound string, subset string")
+    gene_edges = spark.createDataFrame([(f"g{2 * i}", f"g{2 * i + 1}", 5.0 + i) for i in range(20)], "a string, b string, dist double")
+    compound_edges = spark.createDataFrame([(f"c{3 * i}", f"c{3 * i + 1}", 0.1 + i / 100) for i in range(40)], "a string, b string, dist double")
+    docked = spark.createDataFrame([(f"g{i}",) for i in range(30)], "gene string")
+    quota = {"xtal": 1, "nonbind": 1, "high": 1, "low": 2}
+    split = cv_split(pool, gene_edges, compound_edges, docked, [10.0, "random"], [0.2, "random"], quota, 10_000, random_clusters={"docked": 5, "xtal": 3})
+    found = split.collect()
+    sets = [r for r in found if r.cvset != "training" and r.compound]
+    pairs = [(r.gene, r.compound) for r in found if r.compound]
+    assert len(pairs) == len(set(pairs)) and set(pairs) <= {r[:2] for r in rows}
+    cells = {(r.kthresh, r.cvset, r.atype, r.cthresh) for r in sets}
+    assert {c[0] for c in cells} == {"10.0", "random"} and {c[3] for c in cells} == {"0.2", "random"}
+    for cell in cells:
+        assert sum((r.kthresh, r.cvset, r.atype, r.cthresh) == cell for r in sets) == 5
+    assert {r[2] for r in rows for s in sets if s.atype == "xtal" and r[:2] == (s.gene, s.compound)} <= {"xtal"}
+    assert leaks(split, compound_edges, "compound", "cthresh").count() == 0 and leaks(split, gene_edges, "gene", "kthresh").count() == 0
+    few = cv_split(pool, gene_edges, compound_edges, docked, [10.0], [0.2], {"low": 500}, 10_000, retries={"docked": 1, "xtal": 1}).where("status <> 'ok'").collect()
+    assert {(r.atype, r.cvset) for r in few} == {("docked", "validation"), ("xtal", "validation")} and all(r.compound is None and "low" in r.status for r in few)
 
 
 @pytest.mark.parametrize("parts", [1, 7])
