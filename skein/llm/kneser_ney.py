@@ -37,7 +37,7 @@ PRIOR_BYTES = 64.0
 #: Steps of log-perplexity in which quantiles are taken.
 STEP = 0.001
 #: Text of a block, and positions that are looked at together.
-BLOCK_BYTES, WINDOW = 16 << 20, 1 << 20
+BLOCK_BYTES, WINDOW = 8 << 20, 1 << 18
 #: Steps of a nat in which an n-gram's log probability travels to the blocks, in two bytes.
 SCALE = 2048
 #: Discounts of a corpus too small to have n-grams of all counts up to four.
@@ -80,6 +80,8 @@ def counts(trusted: DataFrame, order: int = ORDER, chunk_bytes: int = 4 << 20) -
                 if len(held[0]) > 16:
                     held = tuple([x] for x in _merged(*held))
         g, n = _merged(*held)
+        del held
+        pa.default_memory_pool().release_unused()
         for i in range(0, len(g), 1 << 16):
             yield pa.record_batch({"g": pa.array(g[i : i + (1 << 16)]), "n": pa.array(n[i : i + (1 << 16)])})
 
@@ -194,6 +196,8 @@ def _blocks(rows: DataFrame, shards: int, order: int, block_bytes: int) -> DataF
             out += [(-1 - int(s), block, _packed(g[of]), None) for s, of in zip(used, np.split(by, start[1:]), strict=False)]
             for k in range(0, len(out), 64):
                 yield pa.RecordBatch.from_pylist([dict(zip(BLOCK_SCHEMA.names, r, strict=True)) for r in out[k : k + 64]], schema=BLOCK_SCHEMA)
+            del piece, data, text, out
+            pa.default_memory_pool().release_unused()
 
         for batch in batches:
             for piece in chunks(batch, 1 << 20):
@@ -254,13 +258,17 @@ def scores(docs: DataFrame, model: dict[int, tuple[DataFrame, DataFrame]], by_ro
             total = np.append(0, np.cumsum(each))
             ends = np.clip(offsets - first, 0, len(own))
             nll += (total[ends[1:]] - total[ends[:-1]]) / SCALE
+        pa.default_memory_pool().release_unused()
         return pd.DataFrame({"doc_id": np.asarray(head["doc_id"]), "lang": head["lang"].to_pylist(), "n_bytes": n, "nll": nll, **{c: head[c].to_pylist() for c in more}})
 
-    known = resolve(dealt.groupBy("route").applyInPandas(distinct, "g long"), model)
+    # What a consumer passes over is emptied above the shuffle, not filtered out: a filter would go below it and undo the reuse.
+    only = lambda test: dealt.select("route", "block", *[F.when(test, F.col(c)).alias(c) for c in ("payload", "docs")])
+    asked, held = only(F.col("route") < 0), only(F.col("route") >= 0)
+    known = resolve(asked.groupBy("route").applyInPandas(distinct, "g long"), model)
     known = known.withColumn("route", -1 - F.pmod("g", F.lit(shards)))
-    answers = dealt.groupBy("route").cogroup(known.groupBy("route")).applyInPandas(answer, "block long, payload binary")
+    answers = asked.groupBy("route").cogroup(known.groupBy("route")).applyInPandas(answer, "block long, payload binary")
     schema = "doc_id long, lang string, n_bytes long, nll double" + ", row_key binary" * by_row
-    return dealt.groupBy("route").cogroup(answers.groupBy("block")).applyInPandas(finish, schema)
+    return held.groupBy("route").cogroup(answers.groupBy("block")).applyInPandas(finish, schema)
 
 
 def trusted_ids(labels: DataFrame) -> DataFrame:
