@@ -134,14 +134,14 @@ def train(trusted: DataFrame, order: int = ORDER) -> dict[int, tuple[DataFrame,
 def resolve(asked: DataFrame, model: dict[int, tuple[DataFrame, DataFrame]]) -> DataFrame:
     """``g, logp`` of the distinct n-grams ``asked(g)``: one join with each table; an n-gram without a probability takes its context's weight times that of its suffix."""
     order = max(model)
-    out, key = asked.select("g", F.lit(1 / 256).alias("p")), {order: F.col("g")}
+    out, key = asked.select("g", F.lit(1 / 256).cast("float").alias("p")), {order: F.col("g")}
     for k in range(order - 1, 0, -1):
         key[k] = suffix(key[k + 1], k)
     for k in range(1, order + 1):
         probability, weight = model[k]
         out = out.withColumns({"key": key[k], "context": F.shiftright(key[k], 8)})
         out = out.join(_bounded(weight.toDF("context", "weight"), k - 1), "context", "left").join(_bounded(probability.toDF("key", "own"), k), "key", "left")
-        out = out.select("g", F.coalesce("own", F.coalesce("weight", F.lit(1.0)) * F.col("p")).alias("p"))
+        out = out.select("g", F.coalesce("own", F.coalesce("weight", F.lit(1.0)) * F.col("p")).cast("float").alias("p"))
     return out.select("g", F.log("p").alias("logp"))
 
 
