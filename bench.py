@@ -2,13 +2,14 @@
 
 import json
 import os
+import sys
 import time
 
 from pyspark.sql import SparkSession
 
 from skein import queries as Q
 
-HEADLINE = ["pick_pose", "pick_negative", "voxelize", "jaccard_pairs", "connected_components", "score_poses", "training_picks", "kinases_per_compound", "training_complexes", "sample_compounds"]
+HEADLINE = ["pick_pose", "pick_negative", "voxelize", "jaccard_pairs", "connected_components", "score_poses", "training_picks", "kinases_per_compound"]
 
 
 def main() -> None:
@@ -26,6 +27,7 @@ def main() -> None:
         began = time.time()
         Q.QUERIES[name](spark, sf_dir).write.format("noop").mode("overwrite").save()
         took[name] = round(time.time() - began, 3)
+        print(name, took[name], file=sys.stderr, flush=True)
     print(json.dumps({"metric": "headline_total", "value": round(sum(took.values()), 3), "unit": "sec", "queries": took, "sf": os.path.basename(sf_dir.rstrip("/")).removeprefix("sf")}))
     spark.stop()
 
