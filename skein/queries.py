@@ -546,13 +546,15 @@ FOLD = "CASE ('0x' || substr(md5(concat_ws('|', '{k}', gene, compound, dataset))
 
 
 def _folds(picks):
-    out = None
-    for k in range(1, 6):
+    """A row a pick and fold, from one pass over the picks."""
+
+    def fold(k):
         n = F.pmod(F.conv(F.substring(F.md5(F.concat_ws("|", F.lit(str(k)), "gene", "compound", "dataset")), 1, 8), 16, 10).cast("long"), F.lit(10))
         cvset = F.when(n == 0, "validation").when(n == 1, "test").when(n == 8, "holdout").when(n == 9, F.lit(None)).otherwise("training")
-        one = picks.select("gene", "compound", "dataset", F.lit(k).alias("cv"), cvset.alias("cvset"))
-        out = one if out is None else out.union(one)
-    return out.where("cvset IS NOT NULL")
+        return F.struct(F.lit(k).alias("cv"), cvset.alias("cvset"))
+
+    each = F.explode(F.array(*[fold(k) for k in range(1, 6)])).alias("f")
+    return materialize(picks.select("gene", "compound", "dataset", each).select("gene", "compound", "dataset", "f.*").where("cvset IS NOT NULL"))
 
 
 def _picks(spark, d):
