@@ -24,6 +24,16 @@ def texts(docs: DataFrame, *more: str) -> DataFrame:
     return docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"), *extra)
 
 
+#: Bytes of text whose share of a shuffle one task reads, about.
+TASK_BYTES = 1 << 30
+
+
+def task_count(docs: DataFrame, task_bytes: int = TASK_BYTES) -> int:
+    """Tasks of a shuffle of what ``docs`` holds: those of the session, more where the text's bytes ask for more."""
+    total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    return max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-total // task_bytes))
+
+
 def row_key(*more):
     """128 bits of a row's doc_id, ``more`` and text, never null: tells apart rows that share an id or have none."""
     own = F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).cast("string")

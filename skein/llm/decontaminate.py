@@ -179,7 +179,12 @@ def leaks(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, coverage:
 
 
 def clean(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, coverage: float = 0.0) -> DataFrame:
-    """The rows of ``docs``, all columns, that hold no benchmark passage."""
+    """The rows of ``docs``, all columns, that hold no benchmark passage.
+
+    A row is judged by its own id and text: rows without an id, or of one id, do not decide for
+    each other; repeated rows stay or go together; null and empty texts and those of an empty
+    benchmark stay; a text of any length is read whole; a column of any name may be there.
+    """
     met = meetings(docs, benchmark, window, by_row=True).where(F.col("coverage") > coverage)
     bad = met.select(F.col("row_key").alias(key := fresh(docs, "leaked_key"))).distinct()
     return docs.withColumn(key, row_key()).join(bad, key, "left_anti").select(*docs.columns)

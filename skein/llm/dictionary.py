@@ -5,8 +5,9 @@ of a few MB of text holds its distinct pre-tokens, dealt by hash into word shard
 each position the number of the pre-token in the block. One shuffle takes words to shards and
 positions to blocks; ``per_word`` works on each distinct pre-token of a shard once;
 ``reassemble`` joins the answers back by block and hands positions and answers to a function.
-No group grows with the data: a word occurs once a block in its shard, a shard holds
-1/n_shards of the distinct words, and a block is bounded by its bytes (or one document).
+No group grows with the data: a word occurs once a block in its shard, the shards' number
+follows the measured bytes of the text, so that a shard holds the words of half of TASK_BYTES
+at most, about, and a block is bounded by its bytes (or one document).
 """
 
 from __future__ import annotations
@@ -21,7 +22,7 @@ import xxhash
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
-from skein.llm.common import buffers, chunks, pack, pieces, pre_tokens, texts, unpack
+from skein.llm.common import buffers, chunks, pack, pieces, pre_tokens, task_count, texts, unpack
 
 BLOCK_BYTES = 16 << 20
 SCHEMA = pa.schema([("route", pa.int64()), ("block", pa.int64()), ("payload", pa.binary()), ("docs", pa.binary())])
@@ -140,6 +141,6 @@ def run(docs: DataFrame, answer: Callable, finish: Callable, schema: str, block_
 
     Each consumer skips the other's groups itself: a filter would be pushed below the shuffle and undo that.
     """
-    n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    n = task_count(docs)
     dealt = explode(docs, 2 * n, block_bytes).repartition(n, "route")
     return reassemble(dealt, per_word(dealt, answer), finish, schema)

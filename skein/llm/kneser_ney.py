@@ -23,7 +23,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from skein.llm.common import buffers, chunks, real_id, row_key, texts
+from skein.llm.common import buffers, chunks, real_id, row_key, task_count, texts
 from skein.sources.scratch import fresh, materialize
 
 #: Bytes of an n-gram; with the fold, at most seven fit a long.
@@ -216,7 +216,7 @@ def _blocks(rows: DataFrame, shards: int, order: int, block_bytes: int) -> DataF
 def scores(docs: DataFrame, model: dict[int, tuple[DataFrame, DataFrame]], by_row: bool = False, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """``doc_id, lang, n_bytes, nll`` (negative log likelihood, nats) of each row by its fold's model; with ``by_row`` its ``row_key`` too."""
     order, more = max(model), ["row_key"] if by_row else []
-    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    parts = task_count(docs)
     shards = 2 * parts + 1
     rows = with_fold(texts(docs, "lang"))
     rows = rows.withColumn("row_key", row_key(F.expr(LANG))) if by_row else rows

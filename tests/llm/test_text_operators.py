@@ -5,6 +5,7 @@ import math
 import random
 import re
 from collections import Counter, defaultdict
+from functools import cache
 
 import numpy as np
 import public_tokenizers
@@ -12,7 +13,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from skein.llm import bpe, common, decontaminate, kneser_ney, near_copies, pseudonyms, repeats, rules, sharding, simhash, token_counts, urls
+from skein.llm import bpe, common, decontaminate, dictionary, kneser_ney, near_copies, pseudonyms, repeats, rules, sharding, simhash, token_counts, urls
 
 DATA = "/root/testdata/sf0.001"
 VOCABULARY = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
@@ -702,31 +703,44 @@ def test_pre_tokens_on_random_text():
         assert [x for w in cut[i] for x in e._encode_single_piece(w)] == e.encode_ordinary(t)
 
 
-def test_trie_counts_are_the_best_segmentations():
-    scores, longest = token_counts.piece_scores(VOCABULARY)
-    unknown = min(scores.values()) - 10
-
-    def best(word):
-        top = [(0.0, 0)]
-        for end in range(1, len(word) + 1):
-            options = [(top[end - 1][0] + unknown, -top[end - 1][1] - 1)]
-            options += [(top[s][0] + scores[word[s:end]], -top[s][1] - 1) for s in range(end) if word[s:end] in scores]
-            m = max(options)
-            top.append((m[0], -m[1]))
-        return top[-1][1]
+@cache
+def piece_table():
+    scores, _ = token_counts.piece_scores(VOCABULARY)
+    return scores, min(scores.values()) - 10, max(map(len, scores))
+
+
+@cache
+def best_count(word):
+    """Tokens of the best segmentation of a pre-token, by the whole table of its prefixes."""
+    scores, unknown, longest = piece_table()
+    top = [(0.0, 0)]
+    for end in range(1, len(word) + 1):
+        options = [(top[end - 1][0] + unknown, -top[end - 1][1] - 1)]
+        options += [(top[s][0] + scores[word[s:end]], -top[s][1] - 1) for s in range(max(0, end - longest), end) if word[s:end] in scores]
+        m = max(options)
+        top.append((m[0], -m[1]))
+    return top[-1][1]
+
 
+def test_trie_counts_are_the_best_segmentations():
     words = sorted({w.encode() for w in "the then thence thanonontion Ge Gebe Gebeß 🙂 a ab abc".split()} | {b"\xff\xff"})
-    assert token_counts.trie_counts(words, VOCABULARY) == [best(w) for w in words]
+    assert token_counts.trie_counts(words, VOCABULARY) == [best_count(w) for w in words]
 
 
-def test_token_counts(spark, small, odd, empty):
-    e = bpe.encoding(VOCABULARY)
-    for docs in (small.limit(30), odd):
-        for r in docs.select("doc_id", "text").join(token_counts.count_tokens(docs, VOCABULARY), "doc_id").where("doc_id NOT IN (7)").collect():
-            found = common._pattern().findall(r.text or "")
-            one_by_one = [token_counts.trie_counts([w.encode()], VOCABULARY)[0] for w in found[:2000]]
-            assert r.n_pretokens == len(found)
-            if len(found) <= 2000:
-                assert (r.n_tokens, r.max_tokens) == (sum(one_by_one), max(one_by_one, default=0))
-    assert token_counts.count_tokens(odd, VOCABULARY).count() == len(awkward())
-    assert token_counts.count_tokens(empty, VOCABULARY).collect() == [] and e
+def test_token_counts_match_brute_force(spark, small, odd, empty):
+    for docs in (small, odd):
+        want = []
+        for r in docs.select("doc_id", "text").collect():
+            each = [best_count(w.encode()) for w in common._pattern().findall(r.text or "")]
+            want.append((r.doc_id, len(each), sum(each), max(each, default=0)))
+        assert rows_of(token_counts.count_tokens(docs, VOCABULARY)) == sorted(want, key=repr)
+    assert token_counts.count_tokens(empty, VOCABULARY).collect() == []
+
+
+def test_more_text_gets_more_tasks(spark, small, empty, monkeypatch):
+    parts, size = int(spark.conf.get("spark.sql.shuffle.partitions")), sum(len((r.text or "").encode()) for r in small.collect())
+    assert common.task_count(small) == common.task_count(empty) == parts
+    assert common.task_count(small, 1000) == max(parts, math.ceil(size / 1000))
+    want = rows_of(token_counts.count_tokens(small, VOCABULARY))
+    monkeypatch.setattr(dictionary, "task_count", lambda docs: common.task_count(docs, size // 20))
+    assert rows_of(token_counts.count_tokens(small, VOCABULARY, 20_000)) == want
