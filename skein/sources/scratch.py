@@ -12,6 +12,9 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+#: Spark's setting that removes an execution's shuffle files at its end.
+SHUFFLE_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
 
 def scratch_dir(spark: SparkSession) -> str:
     """The shared scratch folder; a temporary one only on a single-machine master."""
@@ -26,11 +29,20 @@ def scratch_dir(spark: SparkSession) -> str:
 
 
 def materialize(df: DataFrame, partition_by: str | None = None) -> DataFrame:
-    """Write ``df`` to a fresh scratch table and return the table."""
+    """Write ``df`` to a fresh scratch table and return the table.
+
+    The shuffle files of the step go when it ends, not when the driver next collects garbage:
+    nothing reads them again, and a long chain would fill the executors' disks with them.
+    """
     spark = df.sparkSession
     path = f"{scratch_dir(spark)}/skein-{uuid.uuid4().hex}"
     writer = df.write.option("compression", "zstd")
-    (writer.partitionBy(partition_by) if partition_by else writer).parquet(path)
+    before = spark.conf.get(SHUFFLE_CLEANUP, None)
+    spark.conf.set(SHUFFLE_CLEANUP, "true")
+    try:
+        (writer.partitionBy(partition_by) if partition_by else writer).parquet(path)
+    finally:
+        spark.conf.unset(SHUFFLE_CLEANUP) if before is None else spark.conf.set(SHUFFLE_CLEANUP, before)
     return spark.read.schema(df.schema).parquet(path)
 
 
