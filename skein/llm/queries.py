@@ -1,11 +1,11 @@
-"""The registered queries of the ten operators, with production parameters, and their SQL."""
+"""The registered queries of the operators, with production parameters, and their SQL."""
 
 from __future__ import annotations
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from skein.llm import bpe, decontaminate, kneser_ney, pseudonyms, repeats, rules, sharding, simhash, token_counts, urls
+from skein.llm import bpe, collocations, decontaminate, kneser_ney, projections, pseudonyms, repeats, rules, sharding, simhash, token_counts, urls, variants
 from skein.sources.scratch import table
 
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
@@ -55,5 +55,17 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count_tokens(table(spark, sf_dir, "documents"), public_tokenizers.path(VOCABULARY))
 
 
-QUERIES = {f.__name__: f for f in (op1_repeats, op2_kneser_ney, op3_simhash, op4_extendible_sharding, op5_host_rules, op6_pseudonyms, op7_url_filter, op8_decontamination, op9_byte_bpe, op10_token_counts)}
+def op11_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return variants.variants(table(spark, sf_dir, "documents"))
+
+
+def op12_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return projections.neighbours(table(spark, sf_dir, "embeddings"), lambda vec_id: vec_id % 20 == 0)
+
+
+def op13_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op1_repeats, op2_kneser_ney, op3_simhash, op4_extendible_sharding, op5_host_rules, op6_pseudonyms, op7_url_filter, op8_decontamination, op9_byte_bpe, op10_token_counts, op11_spelling_variants, op12_nearest_neighbours, op13_collocations)}
 ORACLES = {"op4_extendible_sharding": sharding.oracle(SHARD_BYTES), "op5_host_rules": rules.oracle(HOST_RATE), "op7_url_filter": urls.oracle()}
