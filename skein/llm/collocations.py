@@ -30,7 +30,7 @@ from skein.sources.scratch import materialize
 WORDS = 4
 KEYS = [f"w{i}" for i in range(1, WORDS + 1)]
 PHRASES = "w1 long, w2 long, w3 long, w4 long, n long"
-BLOCK_BYTES = 16 << 20
+BLOCK_BYTES = 8 << 20
 #: Bits of a filter at most: 16 MB.
 FILTER_BITS = 1 << 27
 #: Part of the documents that proposes phrases, one in so many.
@@ -90,34 +90,21 @@ class Filter:
         return (self.lanes[lane] & mask) == mask
 
 
-def filter_of(phrases: DataFrame, bits: int = FILTER_BITS) -> Filter:
-    """The filter of ``phrases`` (columns ``KEYS``): at most ``bits`` bits reach the driver, whatever their number."""
-    n_lanes = max(64, min(bits, 16 * phrases.count()) // 64)
+def filter_of(hashes: DataFrame, bits: int = FILTER_BITS) -> Filter:
+    """The filter of the column ``h``: at most ``bits`` bits reach the driver, whatever the number of rows."""
+    n_lanes = max(64, min(bits, 16 * hashes.count()) // 64)
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            if b.num_rows:
-                lane, mask = Filter.places(_numbers(b), n_lanes)
-                yield pa.record_batch({"lane": pa.array(lane), "mask": pa.array(mask.view(np.int64))})
+            lane, mask = Filter.places(np.asarray(b["h"]).view(np.uint64), n_lanes)
+            yield pa.record_batch({"lane": pa.array(lane), "mask": pa.array(mask.view(np.int64))})
 
-    set_bits = phrases.select(*KEYS).mapInArrow(place, "lane long, mask long").groupBy("lane").agg(F.bit_or("mask").alias("mask")).toArrow()
+    set_bits = hashes.select("h").mapInArrow(place, "lane long, mask long").groupBy("lane").agg(F.bit_or("mask").alias("mask")).toArrow()
     lanes = np.zeros(n_lanes, np.uint64)
     lanes[np.asarray(set_bits["lane"])] = np.asarray(set_bits["mask"]).view(np.uint64)
     return Filter(lanes)
 
 
-def _numbers(b: pa.RecordBatch) -> np.ndarray:
-    """``combined`` of a batch of phrases of any length."""
-    keys = [b[k] for k in KEYS]
-    length = sum(np.asarray(k.is_valid()).astype(np.int64) for k in keys)
-    own = [np.asarray(k.fill_null(0)) for k in keys]
-    out = np.zeros(b.num_rows, np.uint64)
-    for k in range(1, WORDS + 1):
-        at = length == k
-        out[at] = combined([w[at] for w in own[:k]])
-    return out
-
-
 def _blocks(batches: Iterator[pa.RecordBatch], block_bytes: int) -> Iterator[tuple[np.ndarray, np.ndarray, pa.Array, list[str]]]:
     """Of each block of texts: hash of each word, piece of each word, distinct words with their language's number, languages."""
     held, size = [], 0
@@ -168,58 +155,58 @@ def word_counts(docs: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     return _in_lang(docs).mapInArrow(count, "w1 long, lang string, word string, n long").groupBy("w1", "lang", "word").agg(F.sum("n").alias("n"))
 
 
-def phrase_counts(docs: DataFrame, lengths: tuple[int, ...], known: Filter, before: Filter | None = None, block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """Exact counts (``PHRASES``) of the phrases of ``lengths`` words whose two longest parts are ``known``, but for those whose parts were known ``before``."""
+def hash_counts(docs: DataFrame, lengths: tuple[int, ...], known: Filter, before: Filter | None = None, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """``h, k, n``: occurrences of each phrase (``combined``) of ``k`` words of ``lengths`` whose two longest parts are ``known``, but for those whose parts were known ``before``."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for w, piece, _, _ in _blocks(batches, block_bytes):
+            h = combined([w])
             # Where a known part of k words starts; a longer one can only start there.
-            part = {1: known.has(combined([w]))}
-            old = {1: before.has(combined([w]))} if before else None
+            part, old = known.has(h), before.has(h) if before else None
             for k in range(2, max(lengths) + 1):
                 n = len(w) - k + 1
                 if n <= 0:
                     break
-                both = part[k - 1][:n] & part[k - 1][1 : n + 1] & (piece[:n] == piece[k - 1 :])
-                at = np.flatnonzero(both)
+                at = np.flatnonzero(part[:n] & part[1 : n + 1] & (piece[:n] == piece[k - 1 :]))
                 h = combined([w[at + i] for i in range(k)])
+                fresh = ~(old[at] & old[at + 1]) if before else np.ones(len(at), bool)
                 if k < max(lengths):
-                    part[k] = np.zeros(n, bool)
-                    part[k][at] = known.has(h)
-                fresh = np.ones(len(at), bool)
-                if before:
-                    fresh = ~(old[k - 1][at] & old[k - 1][at + 1])
-                    if k < max(lengths):
-                        old[k] = np.zeros(n, bool)
-                        old[k][at] = before.has(h) & old[k - 1][at] & old[k - 1][at + 1]
+                    part = np.zeros(n, bool)
+                    part[at] = known.has(h)
+                if k < max(lengths) and before:
+                    was, old = old, np.zeros(n, bool)
+                    old[at] = before.has(h) & was[at] & was[at + 1]
                 if k in lengths and fresh.any():
-                    own, h = at[fresh], h[fresh]
-                    order = np.argsort(h)
-                    first = np.flatnonzero(np.append(True, np.diff(h[order]) != 0))
-                    own, n_own = own[order[first]], np.diff(np.append(first, len(h)))
-                    for s in range(0, len(own), 1 << 17):
-                        a = own[s : s + (1 << 17)]
-                        cols = [pa.array(w[a + i].view(np.int64)) if i < k else pa.nulls(len(a), pa.int64()) for i in range(WORDS)]
-                        yield pa.record_batch([*cols, pa.array(n_own[s : s + (1 << 17)])], [*KEYS, "n"])
+                    own = np.sort(h[fresh])
+                    first = np.flatnonzero(np.append(True, own[1:] != own[:-1]))
+                    times = np.diff(np.append(first, len(own)))
+                    for s in range(0, len(first), 1 << 18):
+                        each = own[first[s : s + (1 << 18)]]
+                        yield pa.record_batch({"h": pa.array(each.view(np.int64)), "k": pa.array(np.full(len(each), k, np.int32)), "n": pa.array(times[s : s + (1 << 18)])})
 
-    return _in_lang(docs).mapInArrow(count, PHRASES).groupBy(*KEYS).agg(F.sum("n").alias("n"))
+    # Each block counts its own: the rows are dealt before Spark adds them up, not after.
+    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return _in_lang(docs).mapInArrow(count, "h long, k int, n long").repartition(parts, "h").groupBy("h").agg(F.max("k").alias("k"), F.sum("n").alias("n"))
 
 
-def _as_phrases(words: DataFrame) -> DataFrame:
-    return words.select("w1", *[F.lit(None).cast("long").alias(k) for k in KEYS[1:]], "n")
+def phrase_counts(docs: DataFrame, wanted: Filter, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """Exact counts (``PHRASES``), by their words, of all phrases of two words and more that are ``wanted``."""
 
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for w, piece, _, _ in _blocks(batches, block_bytes):
+            for k in range(2, WORDS + 1):
+                at = np.flatnonzero(piece[: max(0, len(w) - k + 1)] == piece[k - 1 :])
+                h = combined([w[at + i] for i in range(k)])
+                ok = wanted.has(h)
+                at, h = at[ok], h[ok]
+                order = np.argsort(h)
+                first = np.flatnonzero(np.append(True, np.diff(h[order]) != 0)) if len(h) else np.zeros(0, np.int64)
+                at, times = at[order[first]], np.diff(np.append(first, len(h)))
+                if len(at):
+                    cols = [pa.array(w[at + i].view(np.int64)) if i < k else pa.nulls(len(at), pa.int64()) for i in range(WORDS)]
+                    yield pa.record_batch([*cols, pa.array(times)], [*KEYS, "n"])
 
-def proposals(docs: DataFrame, frequent_words: Filter, least: int, sample: int = SAMPLE) -> DataFrame:
-    """Phrases of two and more words that the sample holds at the lowered threshold: level by level, each from the parts of the last."""
-    part = docs.where(F.pmod(F.xxhash64("text"), F.lit(sample)) == 0)
-    low = max(2, int(least / sample - 2 * (least / sample) ** 0.5))
-    found, known = None, frequent_words
-    for k in range(2, WORDS):
-        level = materialize(phrase_counts(part, (k,), known).where(F.col("n") >= low))
-        found = level if found is None else found.union(level)
-        if k + 1 < WORDS:
-            known = _Either(known, filter_of(level))
-    return found
+    return _in_lang(docs).mapInArrow(count, PHRASES).groupBy(*KEYS).agg(F.sum("n").alias("n"))
 
 
 class _Either:
@@ -235,33 +222,48 @@ class _Either:
         return out
 
 
+def proposals(docs: DataFrame, singles: Filter, least: int, sample: int, bits: int):
+    """A filter of the phrases of up to three words that the sample holds at the lowered threshold, each from parts that it holds."""
+    part = docs.where(F.pmod(F.xxhash64("text"), F.lit(sample)) == 0)
+    low, known = max(2, int(least / sample - (least / sample) ** 0.5)), singles
+    for k in range(2, WORDS):
+        known = _Either(known, filter_of(materialize(hash_counts(part, (k,), known).where(F.col("n") >= low)), bits))
+    return known
+
+
 def frequent_phrases(docs: DataFrame, words: DataFrame, least: int, sample: int = SAMPLE, bits: int = FILTER_BITS) -> DataFrame:
-    """``PHRASES`` of all phrases of two to ``WORDS`` words that occur ``least`` times or more in a language."""
-    singles = filter_of(_as_phrases(words.where(F.col("n") >= least)), bits)
-    proposed = proposals(docs, singles, least, sample)
-    known = _Either(singles, filter_of(proposed, bits))
-    found = materialize(phrase_counts(docs, tuple(range(2, WORDS + 1)), known).where(F.col("n") >= least))
-    fresh = found
+    """``PHRASES`` of all phrases of two to ``WORDS`` words that occur ``least`` times or more in a language.
+
+    The border is closed on the phrases' 64-bit hashes, whose counts are never too low; then the
+    frequent ones are counted by their words.
+    """
+    singles = filter_of(words.where(F.col("n") >= least).select(F.expr("w1 AS h")).mapInArrow(_single, "h long"), bits)
+    known = proposals(docs, singles, least, sample, bits)
+    found = fresh = materialize(hash_counts(docs, tuple(range(2, WORDS + 1)), known).where(F.col("n") >= least))
     # Phrases of two words are all counted: their parts, the words, are. A pass closes a length more.
     for length in range(3, WORDS + 1):
-        missed = _missed(fresh.where(F.col(f"w{length - 1}").isNotNull()).where(F.col(KEYS[-1]).isNull()), known)
+        missed = _missed(fresh.where(F.col("k") < WORDS), known)
         if missed.isEmpty():
             break
         wider = _Either(known, filter_of(missed, bits))
-        fresh = materialize(phrase_counts(docs, tuple(range(length, WORDS + 1)), wider, known).where(F.col("n") >= least))
+        fresh = materialize(hash_counts(docs, tuple(range(length, WORDS + 1)), wider, known).where(F.col("n") >= least))
         found, known = found.union(fresh), wider
-    return found
+    return materialize(phrase_counts(docs, filter_of(found, bits)).where(F.col("n") >= least))
+
+
+def _single(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        yield pa.record_batch({"h": pa.array(combined([np.asarray(b["h"])]).view(np.int64))})
 
 
-def _missed(phrases: DataFrame, known) -> DataFrame:
+def _missed(found: DataFrame, known) -> DataFrame:
     """Frequent phrases that nobody proposed: failures of the border."""
 
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            if b.num_rows:
-                yield b.filter(pa.array(~known.has(_numbers(b))))
+            yield b.filter(pa.array(~known.has(np.asarray(b["h"]).view(np.uint64))))
 
-    return materialize(phrases.mapInArrow(keep, PHRASES))
+    return materialize(found.mapInArrow(keep, "h long, k int, n long"))
 
 
 def _part(first: int, last: int) -> list:
@@ -273,7 +275,7 @@ def scored(words: DataFrame, phrases: DataFrame, least: int) -> DataFrame:
     """``lang, KEYS, a, l, r, score`` of the candidates that no longer one covers."""
     # Every part of a frequent phrase is frequent, so both tables hold all that is looked up.
     singles = words.where(F.col("n") >= least)
-    every = _as_phrases(singles).unionByName(phrases)
+    every = singles.select("w1", *[F.lit(None).cast("long").alias(k) for k in KEYS[1:]], "n").unionByName(phrases)
     key = lambda cols: F.xxhash64(*[F.coalesce(c, F.lit(0)) for c in cols])
     same = lambda cols: F.struct(*[c.alias(k) for k, c in zip(KEYS, cols, strict=True)])
     each = []
