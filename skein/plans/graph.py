@@ -54,3 +54,31 @@ def label_vertices(vertices: DataFrame, edges: DataFrame, key: str = "id") -> Da
     """``components`` plus the vertices that no edge touches, each its own component."""
     found = components(edges).withColumnRenamed("id", key)
     return vertices.select(key).distinct().join(found, key, "left").select(key, F.coalesce("component", key).alias("component"))
+
+
+def spanning_forest(edges: DataFrame, limit: float | None = None, max_rounds: int = 60) -> DataFrame:
+    """``a, b, dist``: a minimum spanning forest of an edge table, by Boruvka's rounds.
+
+    In each round every tree takes the lightest edge that leaves it (edges of one length are
+    told apart by their ends, so no cycle closes), and what those edges join is contracted by
+    ``components``. Trees at least halve, so the rounds are logarithmic; of edges between two
+    trees only the lightest goes on. The single-linkage clusters of *any* threshold are the
+    components of the forest's edges up to it, and a forest has fewer edges than vertices.
+    ``limit``: longer edges are of no interest. Null ends and distances, and loops, are ignored.
+    """
+    real = edges.where("a IS NOT NULL AND b IS NOT NULL AND a <> b AND dist IS NOT NULL")
+    own = real.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), F.col("dist").cast("double").alias("dist"))
+    if limit is not None:
+        own = own.where(F.col("dist") <= limit)
+    live = materialize(own.groupBy("a", "b").agg(F.min("dist").alias("dist")).select(F.col("a").alias("u"), F.col("b").alias("v"), F.struct("dist", "a", "b").alias("e")))
+    taken = live.limit(0).select("e")
+    for _ in range(max_rounds):
+        if live.isEmpty():
+            return taken.select("e.a", "e.b", "e.dist")
+        both = live.select("u", F.struct("e", "v").alias("m")).union(live.select("v", F.struct("e", F.col("u").alias("v")).alias("m")))
+        best = materialize(both.groupBy("u").agg(F.min("m").alias("m")).select("u", "m.v", "m.e"))
+        taken = materialize(taken.union(best.select("e").distinct()))
+        into = components(best.select(F.col("u").alias("a"), F.col("v").alias("b")))
+        moved = live.join(into.toDF("u", "x"), "u").join(into.toDF("v", "y"), "v").where("x <> y")
+        live = materialize(moved.groupBy(F.least("x", "y").alias("u"), F.greatest("x", "y").alias("v")).agg(F.min("e").alias("e")))
+    raise RuntimeError(f"the forest didn't settle in {max_rounds} rounds")

@@ -16,7 +16,7 @@ from skein.operators import poses as P
 from skein.operators import tables as T
 from skein.plans import similarity as S
 from skein.plans import split as V
-from skein.plans.graph import components
+from skein.plans.graph import components, spanning_forest
 from skein.sources.fixtures import fingerprints, sql_of, view
 from skein.sources import files
 from skein.sources.scratch import materialize, scratch_dir, table
@@ -626,6 +626,21 @@ def connected_components(spark, d):
     return components(view(spark, d, "fx_gene_dist").where(F.col("dist") <= GENE_LIMIT))
 
 
+#: Thresholds that one forest is cut at.
+CUTS = [0.1, 0.4, GENE_LIMIT]
+
+
+@query(f"""WITH RECURSIVE e AS (SELECT a, b, l FROM {{fx_gene_dist}} JOIN (VALUES {", ".join(f"({x}::DOUBLE)" for x in CUTS)}) t(l) ON dist <= l), both_ AS (SELECT a, b, l FROM e UNION ALL SELECT b, a, l FROM e),
+reach(l, a, b) AS (SELECT l, CAST(s_suppkey AS STRING), CAST(s_suppkey AS STRING) FROM supplier, (VALUES {", ".join(f"({x}::DOUBLE)" for x in CUTS)}) t(l) UNION SELECT reach.l, reach.a, both_.b FROM reach JOIN both_ ON reach.b = both_.a AND reach.l = both_.l)
+SELECT l AS threshold, a AS gene, min(b) AS cluster FROM reach GROUP BY 1, 2""")
+def forest_clusters(spark, d):
+    """Single-linkage clusters at several thresholds, all cut from one spanning forest."""
+    genes = table(spark, d, "supplier").select(F.col("s_suppkey").cast("string").alias("gene"))
+    forest = spanning_forest(view(spark, d, "fx_gene_dist"), max(CUTS))
+    out = [V.clusters(genes, forest, x, "gene").select(F.lit(x).alias("threshold"), "gene", "cluster") for x in CUTS]
+    return out[0].union(out[1]).union(out[2])
+
+
 DEGREE = "(SELECT gene, count(*) AS num FROM (SELECT DISTINCT gene, compound FROM {fx_pairs}) GROUP BY 1)"
 
 
@@ -678,7 +693,7 @@ near AS (SELECT pool.*, component AS cluster, n_pairs FROM pool JOIN comp ON com
         out += f""", met{i} AS (SELECT DISTINCT cluster, n_pairs FROM near WHERE subset = '{s}'),
 cut{i} AS (SELECT least(n_pairs, 100000) AS cutoff FROM (SELECT n_pairs, row_number() OVER (ORDER BY n_pairs) - 1 AS i, greatest({QUOTA - 1}, CAST(round_even(count(*) OVER () / 2, 0) AS INT)) AS pos FROM met{i}) WHERE i = pos),
 got{i} AS (SELECT cluster FROM met{i} WHERE n_pairs <= (SELECT cutoff FROM cut{i}) AND cluster NOT IN ({used}) ORDER BY md5(concat_ws('|', '5', cluster)), cluster LIMIT {QUOTA})"""
-    one = "SELECT gene, compound, subset, cluster FROM (SELECT *, row_number() OVER (PARTITION BY cluster ORDER BY md5(concat_ws('|', '5', gene, compound)), gene, compound) AS nth FROM near WHERE subset = '{s}' AND cluster IN (SELECT cluster FROM got{i})) WHERE nth = 1"
+    one = "SELECT gene, compound, subset, cluster FROM (SELECT *, row_number() OVER (PARTITION BY cluster ORDER BY md5(concat_ws('|', '5', compound)), compound, md5(concat_ws('|', '5', gene)), gene) AS nth FROM near WHERE subset = '{s}' AND cluster IN (SELECT cluster FROM got{i})) WHERE nth = 1"
     return out + " " + " UNION ALL ".join(one.format(i=i, s=s) for i, s in enumerate(V.SUBSETS))
 
 
@@ -690,25 +705,33 @@ def sample_compounds(spark, d):
     return got
 
 
+SPLIT_QUOTA = {"xtal": 2, "nonbind": 2, "high": 2, "low": 3}
+
+
 def _split(spark, d):
-    pool = _classed(spark, d).where("subset IS NOT NULL")
+    """The grid over docked genes with their classes and, of the others, the crystal pairs."""
+    crystal = pairs_of(spark, d).where("NOT is_kinase AND dataset = 'PDBBIND'").select("gene", "compound", F.lit("xtal").alias("subset"))
+    pool = materialize(_classed(spark, d).where("subset IS NOT NULL").union(crystal))
     edges = materialize(S.jaccard_pairs(fingerprints(spark, d).join(pool.select("compound").distinct(), "compound", "left_semi"), TIGHT))
-    genes = materialize(view(spark, d, "fx_gene_dist"))
-    quota = {"xtal": 2, "nonbind": 2, "high": 2, "low": 3}
-    return edges, genes, materialize(V.cv_split(pool, genes, edges, _docked(spark, d), [GENE_LIMIT, V.RANDOM], [TIGHT, V.RANDOM], quota, 100_000, retries={"docked": 2, "xtal": 2}, random_clusters={"docked": 33, "xtal": 33}))
+    genes = materialize(view(spark, d, "fx_gene_dist").where(F.col("dist") <= GENE_LIMIT))
+    split, record = V.split_and_record(pool, genes, edges, _docked(spark, d), [GENE_LIMIT, V.RANDOM], [TIGHT, V.RANDOM], SPLIT_QUOTA, 100_000, retries={"docked": 3, "xtal": 3}, random_clusters={"docked": 33, "xtal": 33})
+    return edges, genes, materialize(split), record
 
 
 @query()
 def cv_split(spark, d):
-    return _split(spark, d)[2]
+    """The sets, and under a status of their own the members of sampled compound clusters that were not sampled themselves."""
+    _, _, split, record = _split(spark, d)
+    return split.union(record.select(*split.columns[:-1], F.lit("other member").alias("status")))
 
 
-@query("SELECT 'compound' AS side, 0 AS n_leaks UNION ALL SELECT 'gene', 0")
+@query(f"SELECT side, 0 AS n_leaks, 2 * 2 * 2 * 2 * {sum(SPLIT_QUOTA.values())} AS n_sampled FROM (VALUES ('compound'), ('gene')) v(side)")
 def leakage_audit(spark, d):
-    """Leaks of a split between its sampled sets and training, by compound and by gene: there must be none."""
-    edges, genes, split = _split(spark, d)
+    """Leaks of a split between its sampled sets and training, by compound and by gene: there must be none; and its sampled pairs, which are the quotas of every cell: two gene thresholds, classes, sets and compound thresholds each."""
+    edges, genes, split, _ = _split(spark, d)
+    sampled = split.where("cvset <> 'training' AND status = 'ok'").agg(F.count("*").alias("n_sampled"))
     n = lambda side, e, limit: V.leaks(split, e, side, limit).agg(F.lit(side).alias("side"), F.count("*").alias("n_leaks"))
-    return n("compound", edges, "cthresh").union(n("gene", genes, "kthresh"))
+    return n("compound", edges, "cthresh").union(n("gene", genes, "kthresh")).join(F.broadcast(sampled))
 
 
 # --- budget and scalar functions

@@ -10,8 +10,8 @@ from skein.operators import atoms as A
 from skein.operators import poses as P
 from skein.operators import tables as T
 from skein.plans import similarity as S
-from skein.plans.graph import label_vertices
-from skein.plans.split import Quotas, cv_split, leaks, sample_compounds
+from skein.plans.graph import label_vertices, spanning_forest
+from skein.plans.split import Quotas, clusters, cv_split, leaks, recut, sample_compounds, split_and_record
 
 SCORES = "gene string, compound string, model_name string, pose_id string, distance double, energy_kcal double, kdmodel double"
 
@@ -102,6 +102,61 @@ def test_components_of_random_graphs(spark):
     assert label_vertices(spark.range(3), df.limit(0)).count() == 3
 
 
+def _linked(vertices, edges, limit):
+    """Smallest member of each vertex's component of the edges up to ``limit``."""
+    root = {v: v for v in vertices}
+
+    def find(v):
+        while root[v] != v:
+            v = root[v]
+        return v
+
+    for a, b, dist in edges:
+        if a in root and b in root and dist is not None and dist <= limit:
+            root[max(find(a), find(b))] = min(find(a), find(b))
+    return {v: find(v) for v in vertices}
+
+
+@pytest.mark.parametrize("seed", [1, 2])
+def test_every_threshold_is_a_cut_of_one_forest(spark, seed):
+    """Random graphs with few different lengths, so with very many ties, doubled edges, loops and nulls."""
+    rng = random.Random(seed)
+    edges = [(rng.randrange(40), rng.randrange(40), rng.randrange(6) / 10) for _ in range(110)] + [(3, 3, 0.0), (None, 1, 0.1), (2, 5, None)] + [(100 + i, 101 + i, 0.3) for i in range(30)]
+    df = spark.createDataFrame(edges, "a long, b long, dist double")
+    forest = spanning_forest(df).cache()
+    vertices = list(range(40)) + list(range(100, 131))
+    nodes = spark.createDataFrame([(v,) for v in vertices], "v long")
+    whole = _linked(vertices, [e for e in edges if e[0] is not None], 9)
+    assert forest.count() == len(vertices) - len(set(whole.values()))
+    for limit in (0.0, 0.2, 0.3, 0.5):
+        want = _linked(vertices, [e for e in edges if e[0] is not None], limit)
+        assert {r.v: r.cluster for r in clusters(nodes, forest, limit, "v").collect()} == want
+    assert {r.dist for r in spanning_forest(df, 0.2).collect()} <= {0.0, 0.1, 0.2}
+    assert spanning_forest(df.limit(0)).collect() == []
+
+
+def test_clusters_of_what_is_left_are_cut_anew(spark):
+    """A chain that loses its middle falls apart, a cluster that loses an end stays, one that loses all goes."""
+    edges = [(f"a{i}", f"a{i + 1}", 0.1) for i in range(6)] + [("b0", "b1", 0.1), ("c0", "c1", 0.1)]
+    vertices = sorted({x for e in edges for x in e[:2]} | {"d"})
+    left = [v for v in vertices if v not in ("a3", "b1", "c0", "c1")]
+    e = spark.createDataFrame(edges, "a string, b string, dist double")
+    of = clusters(spark.createDataFrame([(v,) for v in vertices], "v string"), e, 0.2, "v")
+    got = recut(of, spark.createDataFrame([(v, 1) for v in left] * 2, "v string, n int"), e, 0.2, "v")
+    assert {r.v: r.cluster for r in got.collect()} == _linked(left, edges, 0.2)
+    assert {r.v for r in recut(of, spark.createDataFrame([(v,) for v in vertices], "v string"), e, 0.2, "v").collect()} == set(vertices)
+
+
+def test_a_compound_is_drawn_before_its_gene(spark):
+    """A cluster of a compound with nine genes and one with a single gene: each is drawn about half the time."""
+    pool = spark.createDataFrame([(f"g{i}", "A", "low") for i in range(9)] + [("g0", "B", "low")] + [(f"g{i}", f"x{i}", "low") for i in range(3)], "gene string, compound string, subset string")
+    of = pool.select("compound", F.when(F.col("compound").isin("A", "B"), "A").otherwise(F.col("compound")).alias("cluster")).distinct().cache()
+    degrees = pool.select("compound", F.when(F.col("compound") == "B", 0).otherwise(1).alias("num")).distinct().cache()
+    seen = [sample_compounds(pool, pool, of, degrees, Quotas({"low": 3}), 100, seed)[0].where("cluster = 'A'").collect() for seed in range(16)]
+    drawn = [r[0].compound for r in seen if r]
+    assert len(drawn) >= 6 and 0.2 <= drawn.count("A") / len(drawn) <= 0.8
+
+
 @pytest.mark.parametrize("limit", [0.0, 0.2, 0.5, 0.8])
 def test_jaccard_join_loses_no_pair(spark, limit):
     rng = random.Random(4)
@@ -184,6 +239,41 @@ def test_split_sets_are_disjoint_and_leak_nothing(spark):
     assert {(r.atype, r.cvset) for r in few} == {("docked", "validation"), ("xtal", "validation")} and all(r.compound is None and "low" in r.status for r in few)
 
 
+def test_later_thresholds_see_only_what_is_left(spark):
+    """Two gene and two compound thresholds: each cell's pairs lie in clusters of what earlier cells left, and the record holds their other members."""
+    rng = random.Random(5)
+    rows = [(f"g{g}", f"c{c}", rng.choice(["high", "low", "low", "nonbind", "xtal"])) for g in range(60) for c in range(160) if rng.random() < 0.15]
+    gene_edges = [(f"g{i}", f"g{i + 1}", rng.choice([4.0, 8.0, 30.0])) for i in range(59)]
+    compound_edges = [(f"c{i}", f"c{i + 1}", rng.choice([0.1, 0.3, 0.9, 0.9])) for i in range(159)]
+    frame = lambda x, s: spark.createDataFrame(x, s)
+    docked = frame([(f"g{i}",) for i in range(60)], "gene string")
+    quota = {"xtal": 1, "nonbind": 1, "high": 1, "low": 2}
+    split, record = split_and_record(frame(rows, "gene string, compound string, subset string"), frame(gene_edges, "a string, b string, dist double"), frame(compound_edges, "a string, b string, dist double"), docked, [5.0, 10.0], [0.4, 0.2], quota, 10_000)
+    sets = [r for r in split.collect() if r.compound]
+    training, members = [r for r in sets if r.cvset == "training"], record.collect()
+    left, cells = {r[:2] for r in rows}, 0
+    for k in ("5.0", "10.0"):
+        genes = _linked({g for g, _ in left}, gene_edges, float(k))
+        for cvset in ("validation", "test"):
+            own = [r for r in sets if (r.kthresh, r.cvset, r.atype) == (k, cvset, "docked")]
+            for c in ("0.4", "0.2"):
+                compounds = _linked({x for _, x in left}, compound_edges, float(c))
+                cell = [r for r in own if r.cthresh == c]
+                if not cell:
+                    continue
+                cells += 1
+                assert {(r.gene, r.compound) for r in cell} <= left and len(cell) == 5
+                used = {compounds[r.compound] for r in cell}
+                assert len(used) == len(cell)  # one pair a cluster of what was left then
+                beside = [r for r in members if (r.kthresh, r.cvset, r.atype, r.cthresh) == (k, cvset, "docked", c)]
+                assert {compounds[r.compound] for r in beside} <= used and {r.cluster for r in beside} <= used
+                assert not {(r.gene, r.compound) for r in beside} & {(r.gene, r.compound) for r in cell}
+                left = {p for p in left if compounds[p[1]] not in used}
+            gone = {genes[r.gene] for r in own}
+            left = {p for p in left if genes[p[0]] not in gone}
+    assert cells == 8 and left == {(r.gene, r.compound) for r in training} and members
+
+
 @pytest.mark.parametrize("parts", [1, 7])
 def test_minibatches_do_not_depend_on_partitions(spark, parts):
     df = spark.range(1000).repartition(parts)
