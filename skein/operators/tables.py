@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from skein.functions import sample_key
+from skein.sources.scratch import fresh, materialize
 
 
 def first_rows(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
@@ -57,30 +58,53 @@ def clean_poses(df: DataFrame, model: str = "model_name", pose: str = "pose_id")
     return df.na.drop(subset=[model, pose]).select(model, pose).distinct()
 
 
+def prefix_sums(df: DataFrame, order: list[str], sums: dict[str, Column], row: str = "row") -> DataFrame:
+    """``df`` with each row's number from 0 in ``order``, as ``row``, and the running totals ``sums`` up to and with it.
+
+    A distributed prefix sum: rows are dealt by ranges of ``order`` and sorted, each range counts
+    and sums its own, and the totals of the ranges before are added. Only a row a range reaches
+    the driver. No task sees more than a range; rows of equal ``order`` stay in one, so it should
+    tell rows apart.
+    """
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    at, part = fresh(df, "_at"), fresh(df, "_part")
+    dealt = df.withColumns({name: c.cast("long") for name, c in sums.items()}).repartitionByRange(parts, *order).sortWithinPartitions(*order)
+    # Spark's row ids are the number of the partition and of the row in it.
+    dealt = materialize(dealt.withColumn(at, F.monotonically_increasing_id()))
+    dealt = dealt.withColumns({part: F.shiftright(at, 33), at: F.col(at).bitwiseAND((1 << 33) - 1)})
+    totals = dealt.groupBy(part).agg(F.count("*").alias(row), *[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in sums]).orderBy(part).collect()
+    names, before, run = [row, *sums], [], [0] * (1 + len(sums))
+    for r in totals:
+        before.append((r[part], *run))
+        run = [x + r[c] for x, c in zip(run, names, strict=True)]
+    shift = df.sparkSession.createDataFrame(before, ", ".join(f"`{c}` long" for c in (part, *(f"_before_{c}" for c in names))))
+    own = Window.partitionBy(part).orderBy(at)
+    out = dealt.withColumns({c: F.coalesce(F.sum(c).over(own), F.lit(0)) for c in sums}).join(F.broadcast(shift), part)
+    numbered = {row: F.col(at) + F.col(f"_before_{row}"), **{c: F.col(c) + F.col(f"_before_{c}") for c in sums}}
+    return out.withColumns(numbered).select(*df.columns, *names)
+
+
 def pending_batches(df: DataFrame, order: list[str], pending: Column, size: int, group: str | None = None) -> DataFrame:
     """``[start, end)`` row ranges that tile the input and hold ``size`` pending rows each, the last one fewer.
 
-    The running count is taken within ``group``, so that no task sees all rows; without one it is global.
+    The running count is taken within ``group``; without one it is over all rows, as a
+    distributed prefix sum.
     """
     part = [group] if group else []
-    w = Window.partitionBy(*part).orderBy(*order)
-    rows = df.select(*part, (F.row_number().over(w) - 1).alias("row"), pending.cast("int").alias("p"), F.sum(pending.cast("long")).over(w).alias("cum"))
+    if group:
+        w = Window.partitionBy(group).orderBy(*order)
+        rows = df.select(group, (F.row_number().over(w) - 1).alias("row"), pending.cast("int").alias("p"), F.sum(pending.cast("long")).over(w).alias("cum"))
+    else:
+        flagged = df.select(*order, pending.cast("int").alias("p"))
+        rows = prefix_sums(flagged, order, {"cum": F.col("p")})
     rows = rows.withColumn("batch", F.greatest(F.lit(0), F.floor((F.col("cum") - 1) / size)).cast("long"))
     return rows.groupBy(*part, "batch").agg(F.min("row").alias("start"), (F.max("row") + 1).alias("end"), F.sum("p").alias("n_pending"))
 
 
 def minibatches(df: DataFrame, key: str, seed: object, epoch: int, size: int) -> DataFrame:
-    """``key, batch`` of a shuffled epoch: exact batches by one ordered pass over the shuffled keys only.
-
-    Keys are first dealt into 256 buckets by the order's first byte, so ranks are taken bucket
-    by bucket and shifted by the counts of the buckets before.
-    """
-    rows = df.select(key, F.md5(F.concat_ws("|", F.lit(str(seed)), F.lit(str(epoch)), F.col(key).cast("string"))).alias("h"))
-    rows = rows.withColumn("bucket", F.substring("h", 1, 2))
-    before = rows.groupBy("bucket").agg(F.count("*").alias("n"))
-    before = before.withColumn("shift", F.sum("n").over(Window.orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1))).select("bucket", F.coalesce("shift", F.lit(0)).alias("shift"))
-    rank = F.row_number().over(Window.partitionBy("bucket").orderBy("h", key)) + F.col("shift")
-    return rows.join(before, "bucket").select(key, F.floor((rank - 1) / size).cast("long").alias("batch"))
+    """``key, batch`` of a shuffled epoch: the keys' places in the order of their hashes, by a distributed prefix sum."""
+    rows = df.select(key, F.md5(F.concat_ws("|", F.lit(str(seed)), F.lit(str(epoch)), F.col(key).cast("string"))).alias("_hash"))
+    return prefix_sums(rows, ["_hash", key], {}).select(key, F.floor(F.col("row") / size).cast("long").alias("batch"))
 
 
 def soft_cutoff(sizes: DataFrame, group: str, size: str, n: int, limit: int) -> DataFrame:

@@ -103,6 +103,16 @@ def parse_atoms(spark, d):
     return A.parse_atoms(view(spark, d, "fx_lines"))
 
 
+@query("SELECT file, CAST(row_number() OVER (PARTITION BY file ORDER BY key, no, part, supp, price) AS INT) AS ord, value FROM (SELECT l_returnflag AS file, l_orderkey AS key, l_linenumber AS no, l_partkey AS part, l_suppkey AS supp, l_extendedprice AS price, concat_ws(' ', l_orderkey, l_linenumber, l_partkey, l_suppkey) AS value FROM lineitem)")
+def read_lines_in_order(spark, d):
+    """A text file for each return flag, of many lines, read back in splits with the number of each line."""
+    rows = table(spark, d, "lineitem").select(F.col("l_returnflag").alias("file"), "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice")
+    value = F.concat_ws(" ", *[F.col(c).cast("string") for c in ("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey")]).alias("value")
+    order = ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice"]
+    rows.repartition("file").sortWithinPartitions("file", *order).select(value, "file").write.partitionBy("file").text(path := _folder(spark))
+    return files.read_lines(spark, f"{path}/*/*.txt").select(F.regexp_extract("file", "/file=([^/]+)/", 1).alias("file"), "ord", "value")
+
+
 @query("SELECT p_name AS target FROM part")
 def fasta_targets(spark, d):
     path = _as_text(table(spark, d, "part").select(F.concat(F.lit(">"), "p_name", F.lit("\n"), F.upper("p_type")).alias("value")))
@@ -519,6 +529,13 @@ def pending_batches(spark, d):
     return T.pending_batches(view(spark, d, "fx_jobs"), ["job"], ~F.col("done"), 10, "gene")
 
 
+@query("""SELECT CAST(greatest(0, floor((cum - 1) / 50)) AS BIGINT) AS batch, min(row) AS "start", max(row) + 1 AS "end", sum(p)::BIGINT AS n_pending FROM
+(SELECT row_number() OVER w - 1 AS row, (NOT done)::INT AS p, sum((NOT done)::INT) OVER w AS cum FROM {fx_jobs} WINDOW w AS (ORDER BY job)) GROUP BY 1""")
+def pending_batches_overall(spark, d):
+    """The same over the whole backlog, without groups."""
+    return T.pending_batches(view(spark, d, "fx_jobs"), ["job"], ~F.col("done"), 50)
+
+
 @query("SELECT job, CAST(floor((row_number() OVER (ORDER BY md5(concat_ws('|', '0', '3', job::STRING)), job) - 1) / 20) AS BIGINT) AS batch FROM {fx_jobs}")
 def minibatch_index(spark, d):
     return T.minibatches(view(spark, d, "fx_jobs"), "job", 0, 3, 20)

@@ -38,10 +38,19 @@ def read_pair_scores(spark: SparkSession, root: str, schema: str) -> DataFrame:
 
 
 def read_lines(spark: SparkSession, path: str) -> DataFrame:
-    """``file, ord, value`` of text files; a file is read as one row, so its lines keep their order."""
-    whole = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("file"), "value")
-    text = F.regexp_replace("value", r"\r?\n$", "")
-    return whole.select("file", F.posexplode(F.split(text, r"\r?\n")).alias("ord", "value")).withColumn("ord", F.col("ord") + 1)
+    """``file, ord, value`` of text files of any size, lines numbered from 1 in the order of the file.
+
+    A file is read in splits, by as many tasks. Lines are numbered within their split, and a
+    split's first number is what the splits before it hold: a prefix sum over the splits. Lines
+    end with a line feed, or a carriage return and one.
+    """
+    ids = F.monotonically_increasing_id().alias("id")
+    lines = spark.read.option("lineSep", "\n").text(path).select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("split"), ids, F.regexp_replace("value", r"\r$", "").alias("value"))
+    count = lines.groupBy("file", "split").agg(F.count("*").alias("n"))
+    upto = F.sum("n").over(Window.partitionBy("file").orderBy("split"))
+    before = count.select("file", "split", (upto - F.col("n")).alias("before"))
+    own = F.row_number().over(Window.partitionBy("file", "split").orderBy("id"))
+    return lines.withColumn("own", own).join(before, ["file", "split"]).select("file", (F.col("before") + F.col("own")).cast("int").alias("ord"), "value")
 
 
 def read_index(spark: SparkSession, path: str, columns: dict[str, int], skip: int = 5, comment: str = "#") -> DataFrame:

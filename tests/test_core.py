@@ -280,3 +280,26 @@ def test_minibatches_do_not_depend_on_partitions(spark, parts):
     got = T.minibatches(df, "id", 0, 1, 30)
     assert {r[0]: r[1] for r in got.groupBy("batch").count().collect()} == {i: 30 for i in range(33)} | {33: 10}
     assert got.agg(F.sum(F.col("id") * F.col("batch"))).first()[0] == T.minibatches(spark.range(1000), "id", 0, 1, 30).agg(F.sum(F.col("id") * F.col("batch"))).first()[0]
+
+
+@pytest.mark.parametrize("parts", ["1", "5"])
+def test_prefix_sums_of_ordered_rows(spark, parts):
+    """Numbers and totals as a plain loop has them, over as many ranges as there are partitions."""
+    rng = random.Random(6)
+    rows = [(i, rng.choice(["x", "y", None]), rng.choice([0, 1, 5, None])) for i in rng.sample(range(10_000), 700)]
+    df = spark.createDataFrame(rows, "id long, row_name string, w int").repartition(6)
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", parts)
+    try:
+        got = T.prefix_sums(df, ["id"], {"total": F.col("w"), "xs": (F.col("row_name") == "x").cast("int")}).collect()
+        ranges = T.pending_batches(df, ["id"], F.coalesce(F.col("w") > 0, F.lit(False)), 40).orderBy("batch").collect()
+        none = T.prefix_sums(df.limit(0), ["id"], {"total": F.col("w")}).collect()
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    want, total, xs = [], 0, 0
+    for n, (i, name, w) in enumerate(sorted(rows)):
+        total, xs = total + (w or 0), xs + (name == "x")
+        want.append((i, name, w, n, total, xs))
+    assert sorted(tuple(r) for r in got) == want and none == []
+    assert [r.start for r in ranges] == [0, *(r.end for r in ranges[:-1])] and ranges[-1].end == 700
+    assert [r.n_pending for r in ranges[:-1]] == [40] * (len(ranges) - 1)

@@ -105,3 +105,25 @@ def test_dense_sets_are_compared_by_blocks(spark, limit, monkeypatch):
             if a < b and (union == 0 or x and y and union - inter <= limit * union + 1e-12):
                 want[a, b] = 1 - inter / union if union else 0.0
     assert found.keys() == want.keys() and all(math.isclose(found[k], want[k]) for k in want)
+
+
+def test_lines_of_files_over_several_splits_keep_their_order(spark, tmp_path):
+    """Two files of 3,000 lines in splits of 2 kB, one with carriage returns, one without a last line feed; an empty file has no lines."""
+    lines = {"a": [f"a {i} " + "x" * (i % 50) for i in range(3000)], "b": ["" if i % 7 == 0 else f"b {i}" for i in range(3000)]}
+    (tmp_path / "a.txt").write_bytes("\r\n".join(lines["a"]).encode() + b"\r\n")
+    (tmp_path / "b.txt").write_bytes("\n".join(lines["b"]).encode())
+    (tmp_path / "c.txt").write_bytes(b"")
+    before = {k: spark.conf.get(k) for k in ("spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes")}
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "2k")
+    spark.conf.set("spark.sql.files.openCostInBytes", "0")
+    try:
+        found = files.read_lines(spark, f"{tmp_path}/*.txt")
+        assert spark.read.text(f"{tmp_path}/*.txt").rdd.getNumPartitions() > 20
+        rows = found.collect()
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    for name, own in lines.items():
+        got = sorted((r.ord, r.value) for r in rows if r.file.endswith(f"/{name}.txt"))
+        assert got == list(enumerate(own, 1))
+    assert len(rows) == 6000
