@@ -2,7 +2,9 @@
 
 Words of documents and benchmark items are canonicalised: punctuation and case go, numbers,
 names and units become typed placeholders. Windows of canonical words are joined by hash, so
-a question with other numbers or names still meets its template. A meeting counts if the
+a question with other numbers or names still meets its template. A window of which less than
+half are literal words says too little as a template (eight numbers in a row are a window of
+any list): it is met by its very words only. A meeting counts if the
 slots agree: one value of the item stands for one value in the document and the other way
 round. Hash windows that no item has never leave their scan task while the benchmark's
 hashes fit a checked limit; beyond it they are joined by a shuffle.
@@ -24,14 +26,20 @@ from skein.sources.scratch import fresh, materialize
 
 #: Fixed lists of the canonicalisation.
 UNITS = ["kg", "g", "mg", "t", "lb", "oz", "km", "m", "cm", "mm", "mi", "ft", "in", "l", "ml", "s", "ms", "min", "h", "hr", "day", "days", "hour", "hours", "minute", "minutes", "second", "seconds", "week", "weeks", "year", "years", "meter", "meters", "metre", "metres", "mile", "miles", "dollar", "dollars", "euro", "euros", "usd", "eur", "percent", "degree", "degrees", "w", "kw", "v", "hz", "mb", "gb"]
+#: Number words from two on, in English, German, French and Spanish; "once" is left out, which is English for something else.
+NUMBER_WORDS = "two three four five six seven eight nine ten eleven twelve thirteen fourteen fifteen sixteen seventeen eighteen nineteen twenty thirty forty fifty sixty seventy eighty ninety hundred thousand million zwei drei vier fünf sechs sieben acht neun zehn elf zwölf zwanzig hundert tausend deux trois quatre cinq sept huit neuf dix onze douze vingt trente cent mille dos tres cuatro cinco seis siete ocho nueve diez doce veinte cien mil".split()
 PUNCTUATION = ".,;:!?\"'()[]{}*#$%&|<>=_-+/\\~`^"
 NUMBER = r"^[+-]?[0-9]([0-9.,:/]*[0-9])?$"
 NAME = r"^\p{Lu}\p{Ll}"
 #: Placeholders' hashes.
 NUM, NAM, UNIT = (xxhash.xxh3_64_intdigest(f"\0{x}") for x in ("number", "name", "unit"))
 STEP = np.uint64(0x9E3779B97F4A7C15)
+#: Share of a window's words that must be literal for its template to count, and words of the shortest item that a sentence can give away.
+LITERAL, SENTENCE = 0.5, 3
 #: Windows of the benchmark that may be broadcast (8 bytes each), and words of a window.
 BROADCAST, WINDOW = 2_000_000, 8
+#: Least share of an item's windows that a document must hold.
+COVERAGE = 0.1
 
 
 def canonical(data: np.ndarray, offsets: np.ndarray) -> dict[str, np.ndarray]:
@@ -42,7 +50,7 @@ def canonical(data: np.ndarray, offsets: np.ndarray) -> dict[str, np.ndarray]:
     core = pc.utf8_trim(raw, PUNCTUATION)
     lower = pc.utf8_lower(core)
     value = np.fromiter(map(xxhash.xxh3_64_intdigest, lower.to_pylist()), np.uint64, len(lower))
-    numeric, named = np.asarray(pc.match_substring_regex(core, NUMBER)), np.asarray(pc.match_substring_regex(core, NAME))
+    numeric, named = np.asarray(pc.or_(pc.match_substring_regex(core, NUMBER), pc.is_in(lower, pa.array(NUMBER_WORDS, pa.large_string())))), np.asarray(pc.match_substring_regex(core, NAME))
     unit, stop = np.asarray(pc.is_in(lower, pa.array(UNITS, pa.large_string()))), np.asarray(pc.match_substring_regex(raw, r"[.!?:]\W*$"))
     full = np.asarray(pc.not_equal(core, ""))
     # The first word of a text or line, or after a stop, has its capital from there.
@@ -55,16 +63,18 @@ def canonical(data: np.ndarray, offsets: np.ndarray) -> dict[str, np.ndarray]:
     counted = np.append(False, (kind[:-1] == 1) & (document[1:] == document[:-1]))
     kind[(kind == 0) & counted & unit[number]] = 3
     own = value[number]
-    return {"document": document, "hash": np.choose(kind, [own, np.uint64(NUM), np.uint64(NAM), np.uint64(UNIT)]).astype(np.uint64), "kind": kind, "value": own}
+    # Sentences start at the first word of a text or line, or after a stop.
+    first = ~after
+    return {"document": document, "first": first, "last": np.append(first[1:], True) if len(first) else first, "hash": np.choose(kind, [own, np.uint64(NUM), np.uint64(NAM), np.uint64(UNIT)]).astype(np.uint64), "kind": kind, "value": own}
 
 
-def _rolled(h: np.ndarray, n: int) -> np.ndarray:
-    """Hash of each ``n`` consecutive word hashes."""
-    out = np.full(len(h) - n + 1, n, np.uint64)
+def _rolled(h: np.ndarray, values: np.ndarray, template: np.ndarray, at: np.ndarray, n: int) -> np.ndarray:
+    """Hash of the ``n`` words from each of ``at``: of their canonical forms, or of the words themselves where the template says too little."""
+    key = np.where(template, np.uint64(n), np.uint64(n) << np.uint64(32))
     for i in range(n):
-        out = (out ^ h[i : len(h) - n + 1 + i]) * STEP
-        out ^= out >> np.uint64(29)
-    return out
+        key = (key ^ np.where(template, h[at + i], values[at + i])) * STEP
+        key ^= key >> np.uint64(29)
+    return key
 
 
 def _windows(c: dict[str, np.ndarray], n_docs: int, sizes: list[int], least: int, short: bool, known: np.ndarray | None, wanted: np.ndarray | None) -> pa.Table:
@@ -75,7 +85,7 @@ def _windows(c: dict[str, np.ndarray], n_docs: int, sizes: list[int], least: int
     h, document = c["hash"], c["document"]
     per = np.bincount(document, minlength=n_docs)
     first = np.cumsum(per) - per
-    found = []
+    found, literal = [], np.append(0, np.cumsum(c["kind"] == 0))
     with np.errstate(over="ignore"):
         for n in sizes:
             if len(h) < n:
@@ -83,21 +93,16 @@ def _windows(c: dict[str, np.ndarray], n_docs: int, sizes: list[int], least: int
             ok = document[: len(h) - n + 1] == document[n - 1 :]
             if short and n < max(sizes):
                 ok &= per[document[: len(h) - n + 1]] == n
-            elif n < least:  # too short to be told from chance: the document must be just that
-                ok &= per[document[: len(h) - n + 1]] == n
+            elif n < least:  # too short to be told from chance: it must be a sentence, or all of the document
+                alone = per[document[: len(h) - n + 1]] == n
+                ok &= alone | (c["first"][: len(h) - n + 1] & c["last"][n - 1 :]) if n >= SENTENCE else alone
             if known is not None:
                 there = np.append(0, np.cumsum(known))
                 ok &= there[n:] - there[:-n] == n
             at = np.flatnonzero(ok)
             if not len(at):
                 continue
-            if known is None:
-                key = _rolled(h, n)[at]
-            else:
-                key = np.full(len(at), n, np.uint64)
-                for i in range(n):
-                    key = (key ^ h[at + i]) * STEP
-                    key ^= key >> np.uint64(29)
+            key = _rolled(h, c["value"], literal[at + n] - literal[at] >= LITERAL * n, at, n)
             if wanted is not None and len(wanted):
                 place = np.minimum(np.searchsorted(wanted, key), len(wanted) - 1)
                 at, key = at[m := wanted[place] == key], key[m]
@@ -167,24 +172,25 @@ def _hashes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.record_batch({"hash": pa.array(np.unique(c["hash"]).view(np.int64))})
 
 
-def leaks(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, coverage: float = 0.0) -> DataFrame:
-    """``meetings`` of more than ``coverage``: the documents that hold a benchmark passage, with the items.
+def leaks(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, coverage: float = COVERAGE) -> DataFrame:
+    """``meetings`` of ``coverage`` or more: the documents that hold a benchmark passage, with the items.
 
-    A text of fewer than ``window`` words is one window; an item of fewer than five words is
-    only met by a document that has no others. Null text has no words; a null item_id or
+    A text of fewer than ``window`` words is one window; an item of three or four words is met
+    by a sentence that is just that, one of fewer words only by a document that has no others.
+    A text of any length is read whole. Null text has no words; a null item_id or
     doc_id comes back null; repeated rows of a document count once; an empty table on either
     side gives an empty result; other columns are not used.
     """
-    return meetings(docs, benchmark, window).where(F.col("coverage") > coverage)
+    return meetings(docs, benchmark, window).where(F.col("coverage") >= coverage)
 
 
-def clean(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, coverage: float = 0.0) -> DataFrame:
+def clean(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, coverage: float = COVERAGE) -> DataFrame:
     """The rows of ``docs``, all columns, that hold no benchmark passage.
 
     A row is judged by its own id and text: rows without an id, or of one id, do not decide for
     each other; repeated rows stay or go together; null and empty texts and those of an empty
     benchmark stay; a text of any length is read whole; a column of any name may be there.
     """
-    met = meetings(docs, benchmark, window, by_row=True).where(F.col("coverage") > coverage)
+    met = meetings(docs, benchmark, window, by_row=True).where(F.col("coverage") >= coverage)
     bad = met.select(F.col("row_key").alias(key := fresh(docs, "leaked_key"))).distinct()
     return docs.withColumn(key, row_key()).join(bad, key, "left_anti").select(*docs.columns)

@@ -396,6 +396,22 @@ def test_keep_one_keeps_columns_and_one_row_a_class(spark, odd):
     assert sorted(ids, key=repr) == sorted({d for d, c in brute_near([(r[0], r[1]) for r in awkward()]) if d == c}, key=repr)
 
 
+def test_keep_one_has_one_answer_for_ties(spark):
+    """Rows alike in id and text: the one whose other columns come first stays, in any order and partitioning."""
+    rows = [(1, "the same text in six rows of one id", f"src{i}", {"k": i}, None if i else 2) for i in range(6)] + [(1, "the same text in six rows of one id", None, None, None)]
+    schema = "doc_id long, text string, source string, more map<string,int>, n long"
+    for order, parts in ((rows, 1), (rows[::-1], 3), (rows[3:] + rows[:3], 5)):
+        kept = near_copies.keep_one(spark.createDataFrame(order, schema).repartition(parts)).collect()
+        assert [(r.source, r.more) for r in kept] == [("src0", {"k": 0})]
+
+
+def test_costs_have_no_bound():
+    """Costs beyond 32 nats, which two bytes of one step would cut off, keep their order and size."""
+    cost = np.concatenate([np.linspace(0, 20, 4001), [31.9, 32.1, 45.0, 87.3, 103.9, 400.0, 745.1]])
+    back = kneser_ney.decoded(kneser_ney.coded(cost)) / kneser_ney.SCALE
+    assert (np.diff(back) >= 0).all() and (np.abs(back - cost) <= np.where(cost < 15.99, 0.5 / 2048, 0.5 / 32) + 1e-9).all()
+
+
 def test_stages_tell_rows_apart_by_text(spark):
     """Rows without an id, or of one id, are kept or dropped each by its own text."""
     rng = random.Random(31)
