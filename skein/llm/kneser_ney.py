@@ -14,6 +14,7 @@ perplexity. A language's threshold is a quantile of its trusted documents.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -38,8 +39,9 @@ PRIOR_BYTES = 64.0
 STEP = 0.001
 #: Text of a block, and positions that are looked at together.
 BLOCK_BYTES, WINDOW = 8 << 20, 1 << 18
-#: Steps of a nat in which an n-gram's log probability travels to the blocks, in two bytes.
-SCALE = 2048
+#: An n-gram's cost (negative log probability) travels to the blocks in two bytes: below CLOSE nats in steps of 1/SCALE nat,
+#: from there on in steps of 1/COARSE, which reaches 1,039 nats. Double precision has no probability that small.
+SCALE, CLOSE, COARSE = 2048, 16, 32
 #: Discounts of a corpus too small to have n-grams of all counts up to four.
 SMALL_CORPUS = (0.5, 0.75, 0.9)
 LANG = "coalesce(lang, 'und')"
@@ -134,15 +136,16 @@ def train(trusted: DataFrame, order: int = ORDER) -> dict[int, tuple[DataFrame,
 def resolve(asked: DataFrame, model: dict[int, tuple[DataFrame, DataFrame]]) -> DataFrame:
     """``g, logp`` of the distinct n-grams ``asked(g)``: one join with each table; an n-gram without a probability takes its context's weight times that of its suffix."""
     order = max(model)
-    out, key = asked.select("g", F.lit(1 / 256).cast("float").alias("p")), {order: F.col("g")}
+    out, key = asked.select("g", F.lit(math.log(1 / 256)).cast("float").alias("logp")), {order: F.col("g")}
     for k in range(order - 1, 0, -1):
         key[k] = suffix(key[k + 1], k)
     for k in range(1, order + 1):
         probability, weight = model[k]
         out = out.withColumns({"key": key[k], "context": F.shiftright(key[k], 8)})
         out = out.join(_bounded(weight.toDF("context", "weight"), k - 1), "context", "left").join(_bounded(probability.toDF("key", "own"), k), "key", "left")
-        out = out.select("g", F.coalesce("own", F.coalesce("weight", F.lit(1.0)) * F.col("p")).cast("float").alias("p"))
-    return out.select("g", F.log("p").alias("logp"))
+        # Sums of logarithms: no product gets too small for single precision.
+        out = out.select("g", F.coalesce(F.log("own"), F.coalesce(F.log("weight"), F.lit(0.0)) + F.col("logp")).cast("float").alias("logp"))
+    return out
 
 
 def _planes(numbers: np.ndarray) -> bytes:
@@ -213,6 +216,18 @@ def _blocks(rows: DataFrame, shards: int, order: int, block_bytes: int) -> DataF
     return rows.mapInArrow(cut, "route long, block long, payload binary, docs binary")
 
 
+def coded(cost: np.ndarray) -> np.ndarray:
+    """Costs in nats as two-byte codes, whose order is that of the costs."""
+    fine, coarse = np.rint(cost * SCALE), CLOSE * SCALE + np.rint((cost - CLOSE) * COARSE)
+    return np.where(cost < CLOSE, fine, coarse).astype(np.uint16)
+
+
+def decoded(code: np.ndarray) -> np.ndarray:
+    """The costs of codes, in steps of 1/SCALE nat."""
+    code = code.astype(np.int64)
+    return np.where(code <= CLOSE * SCALE, code, CLOSE * SCALE + (code - CLOSE * SCALE) * (SCALE // COARSE))
+
+
 def scores(docs: DataFrame, model: dict[int, tuple[DataFrame, DataFrame]], by_row: bool = False, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """``doc_id, lang, n_bytes, nll`` (negative log likelihood, nats) of each row by its fold's model; with ``by_row`` its ``row_key`` too."""
     order, more = max(model), ["row_key"] if by_row else []
@@ -233,8 +248,8 @@ def scores(docs: DataFrame, model: dict[int, tuple[DataFrame, DataFrame]], by_ro
             return pd.DataFrame({"block": [], "payload": []})
         known = right.sort_values("g")
         g, logp = known["g"].to_numpy(), known["logp"].to_numpy()
-        logp = np.round(np.clip(-logp * SCALE, 0, 65535)).astype(np.uint16)
-        found = [_planes(logp[np.searchsorted(g, _unpacked(x))]) for x in left["payload"]]
+        code = coded(np.maximum(-logp.astype(np.float64), 0))
+        found = [_planes(code[np.searchsorted(g, _unpacked(x))]) for x in left["payload"]]
         return pd.DataFrame({"block": left["block"], "payload": [len(x).to_bytes(4, "little") + x + f for x, f in zip(left["payload"], found, strict=True)]})
 
     def finish(key: tuple, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
@@ -248,7 +263,7 @@ def scores(docs: DataFrame, model: dict[int, tuple[DataFrame, DataFrame]], by_ro
         g = np.concatenate([np.zeros(0, np.int64), *(_unpacked(x[4:k]) for x, k in zip(right["payload"], cut, strict=True))])
         cost = np.concatenate([np.zeros(0, np.uint16), *(_numbers(x[k:], np.uint16) for x, k in zip(right["payload"], cut, strict=True))])
         by = np.argsort(g)
-        g, cost = g[by], cost[by].astype(np.int64)
+        g, cost = g[by], decoded(cost[by])
         n = np.asarray(head["n_bytes"])
         offsets, nll = np.append(0, np.cumsum(n)), np.zeros(len(n))
         for first, own in grams(data, offsets, np.asarray(head["fold"]), order):
