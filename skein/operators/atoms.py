@@ -4,9 +4,11 @@ from __future__ import annotations
 
 import itertools
 import math
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -160,6 +162,59 @@ def score_with(grid: DataFrame, load: Callable[[], Callable[[pd.DataFrame], pd.S
     return one.groupBy("complex_id").agg(F.avg("s").alias("score"))
 
 
+def score_batches(grid: DataFrame, features: list[str], load: Callable[[], Callable[[np.ndarray], np.ndarray]], batch: int = 128, box: int = 21, dtype: str = "float32", dealt: bool = False) -> DataFrame:
+    """``complex_id, score``: a caller's scorer over dense grids, ``batch`` complexes and rotations a call, averaged over rotations.
+
+    The scorer gets an array ``(n, box, box, box, features)``, n being ``batch`` but for a task's
+    last call, and gives n scores; ``load`` runs once a task. Voxels come sorted by complex and
+    rotation, so one array is filled as they stream by, and memory is that of a batch, however
+    many complexes a task has. ``dealt``: the grid is dealt by complex, as ``voxelize`` leaves it.
+    Rows without a complex id belong to no complex.
+    """
+    ids = dict(grid.dtypes)["complex_id"]
+    rows = grid.where("complex_id IS NOT NULL").select("complex_id", "rotation", "ix", "iy", "iz", *features)
+    rows = (rows if dealt else rows.repartition("complex_id")).sortWithinPartitions("complex_id", "rotation")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        scorer, dense = load(), np.zeros((batch, box, box, box, len(features)), dtype)
+        held, touched, last = [], [], None
+
+        def flush() -> pa.RecordBatch:
+            scores = np.asarray(scorer(dense[: len(held)]), np.float64)
+            out = pa.record_batch({"complex_id": pa.array([k[0] for k in held], kind), "rotation": pa.array([k[1] for k in held], pa.int32()), "s": pa.array(scores)})
+            for at in touched:
+                dense[at] = 0
+            held.clear()
+            touched.clear()
+            return out
+
+        for b in batches:
+            if not b.num_rows:
+                continue
+            kind = b["complex_id"].type
+            names, turn = b["complex_id"].to_numpy(zero_copy_only=False), np.asarray(b["rotation"])
+            new = np.append(last != (names[0], turn[0]), (names[1:] != names[:-1]) | (turn[1:] != turn[:-1]))
+            last = names[-1], turn[-1]
+            slot, at = len(held) - 1 + np.cumsum(new), [np.asarray(b[c]).astype(np.int64) for c in ("ix", "iy", "iz")]
+            values = np.stack([b[c].to_numpy(zero_copy_only=False).astype(dtype) for c in features], 1)
+            first = 0
+            while first < len(slot):
+                end = first + int(np.searchsorted(slot[first:], batch))
+                place = slot[first:end], *(x[first:end] for x in at)
+                np.add.at(dense, place, values[first:end])
+                touched.append(place)
+                held += [(names[i], int(turn[i])) for i in np.flatnonzero(new[first:end]) + first]
+                first = end
+                if first < len(slot):  # another complex or rotation begins, and the array is full
+                    yield flush()
+                    slot = slot - batch
+        if held:
+            yield flush()
+
+    one = rows.mapInArrow(run, f"complex_id {ids}, rotation int, s double")
+    return one.groupBy("complex_id").agg(F.avg("s").alias("score"))
+
+
 def assemble(poses: DataFrame, receptors: DataFrame, repeat_receptor: bool = False) -> DataFrame:
     """Complexes: receptor atoms, then those of the pose; the receptor again after each pose on request."""
     cols = ["complex_id", "part", "ord", "atom_type", "x", "y", "z"]

@@ -50,6 +50,8 @@ def pairs_of(spark, d):
 
 
 FIRST = "SELECT * EXCLUDE (n) FROM (SELECT *, row_number() OVER (PARTITION BY gene, compound ORDER BY ord1, ord2, ord3) AS n FROM {fx_pairs}) WHERE n = 1"
+#: Every measurement: a pair's KD and KI rows stay apart.
+MEASURED = FIRST.replace("PARTITION BY gene, compound ORDER", "PARTITION BY gene, compound, dataset ORDER")
 CLASS = "CASE WHEN value < -4 THEN 'high' WHEN value < ln(10) THEN 'low' WHEN value IS NOT NULL THEN 'nonbind' END"
 
 # --- sources
@@ -575,13 +577,15 @@ def _folds(picks):
 
 
 def _picks(spark, d):
-    positive = P.pick_pose(scored(spark, d)).join(pairs_of(spark, d).select("gene", "compound", "dataset", F.col("value").alias("expt")), ["gene", "compound"])
+    # A pose is picked once a pair and joined to all its measurements.
+    measured = T.first_rows(view(spark, d, "fx_pairs"), ["gene", "compound", "dataset"], ["ord1", "ord2", "ord3"])
+    positive = P.pick_pose(scored(spark, d)).join(measured.select("gene", "compound", "dataset", F.col("value").alias("expt")), ["gene", "compound"])
     positive, negative = materialize(positive.select(*THREE, "dataset", "expt", "distance")), materialize(_negatives(spark, d).drop("dist_bin"))
     names = positive.select("gene", "compound", "dataset").union(negative.select("gene", "compound", "dataset")).distinct()
     return P.training_picks(positive, negative, _folds(names))
 
 
-PICKED = f"SELECT gene, compound, model_name, pose_id, dataset, value AS expt, distance FROM ({PICK}) JOIN (SELECT gene, compound, dataset, value FROM ({FIRST})) USING (gene, compound) WHERE nth = 1 UNION ALL SELECT gene, compound, model_name, pose_id, dataset, expt, distance FROM ({NEGATIVE})"
+PICKED = f"SELECT gene, compound, model_name, pose_id, dataset, value AS expt, distance FROM ({PICK}) JOIN (SELECT gene, compound, dataset, value FROM ({MEASURED})) USING (gene, compound) WHERE nth = 1 UNION ALL SELECT gene, compound, model_name, pose_id, dataset, expt, distance FROM ({NEGATIVE})"
 FOLDS = ", ".join(f"{FOLD.format(k=k)} AS cv{k}_cvset, CASE WHEN {FOLD.format(k=k)} IS NOT NULL THEN model_name END AS cv{k}_model_name, CASE WHEN {FOLD.format(k=k)} IS NOT NULL THEN pose_id END AS cv{k}_pose_id" for k in range(1, 6))
 
 
@@ -848,11 +852,28 @@ def training_complexes(spark, d):
 WEIGHTS = {"charge": 2.0, "n": 0.5, "carbon": -0.25}
 
 
-@query(f"SELECT complex_id, round(avg(s), 6) AS score FROM (SELECT complex_id, rotation, sum(charge) * 2.0 + sum(n) * 0.5 - sum(carbon) * 0.25 AS s FROM ({VOXELS}) GROUP BY 1, 2) GROUP BY 1")
+SCORED = f"SELECT complex_id, round(avg(s), 6) AS score FROM (SELECT complex_id, rotation, sum(charge) * 2.0 + sum(n) * 0.5 - sum(carbon) * 0.25 AS s FROM ({VOXELS}) GROUP BY 1, 2) GROUP BY 1"
+
+
+@query(SCORED)
 def score_poses(spark, d):
     return A.score_poses(A.voxelize(view(spark, d, "fx_atoms"), _features()), WEIGHTS).withColumn("score", F.round("score", 6))
 
 
+@query(SCORED)
+def score_poses_in_batches(spark, d):
+    """The same scores by a scorer that gets dense grids, 64 complexes and rotations a call."""
+
+    def load():
+        import numpy as np
+
+        weights = np.array(list(WEIGHTS.values()))
+        return lambda grids: np.tensordot(grids.sum(axis=(1, 2, 3)), weights, axes=1)
+
+    grid = A.voxelize(view(spark, d, "fx_atoms"), _features())
+    return A.score_batches(grid, list(WEIGHTS), load, 64, dtype="float64", dealt=True).withColumn("score", F.round("score", 6))
+
+
 @query("""SELECT p.tthresh, p.cthresh, count(*) AS n, count(r.num) AS n_known, round(avg(((r0 + r1) / 2 - expt) ** 2), 6) AS mse FROM {fx_preds} p LEFT JOIN (SELECT gene AS id, count(DISTINCT compound) AS num FROM {fx_pairs} GROUP BY 1) r USING (id) GROUP BY 1, 2""")
 def evaluation(spark, d):
     ref = T.grouped(view(spark, d, "fx_pairs"), "gene", "compound", "c").select(F.col("gene").alias("id"), "num")

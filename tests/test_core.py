@@ -83,6 +83,38 @@ def test_custom_scorer_sees_each_complex(spark):
     assert {r.complex_id: r.score for r in A.score_with(grid, lambda: lambda pdf: pdf["n"]).collect()} == {1: 1.0, 2: 2.0}
 
 
+@pytest.mark.parametrize(("batch", "arrow"), [(1, 10_000), (5, 7), (500, 10_000)])
+def test_batches_of_dense_grids(spark, batch, arrow):
+    """Batches smaller and larger than the Arrow runs; complexes that end and begin within either; a scorer that sees the cells."""
+    rng = random.Random(7)
+    rows = [(i, rng.uniform(-10, 10), rng.uniform(-10, 10), rng.uniform(-10, 10)) for i in range(13) for _ in range(rng.randrange(1, 9))] + [(None, 0.0, 0.0, 0.0), (99, 80.0, 0.0, 0.0)]
+    atoms = spark.createDataFrame(rows, "complex_id long, x double, y double, z double").repartition(3)
+    grid = A.voxelize(atoms, {"n": F.lit(1.0), "w": F.col("rx")}, n=4).cache()
+
+    def load():
+        def scorer(cells):
+            assert cells.ndim == 5 and 1 <= len(cells) <= batch and cells.shape[1:] == (21, 21, 21, 2)
+            return [(c[..., 1] * c[..., 0]).sum() + c[3].sum() for c in cells]
+
+        return scorer
+
+    want = {}
+    for r in grid.collect():
+        want.setdefault((r.complex_id, r.rotation), 0.0)
+        want[r.complex_id, r.rotation] += r.n * r.w + (r.n + r.w if r.ix == 3 else 0.0)
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", arrow)
+    try:
+        got = {r.complex_id: r.score for r in A.score_batches(grid, ["n", "w"], load, batch, dtype="float64").collect()}
+        empty = A.score_batches(grid.limit(0), ["n", "w"], load, batch).collect()
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
+    for i in range(13):
+        own = [s for (c, _), s in want.items() if c == i]
+        assert got[i] == pytest.approx(sum(own) / len(own))
+    assert set(got) == {c for c, _ in want if c is not None} and empty == []
+
+
 def test_components_of_random_graphs(spark):
     rng = random.Random(2)
     edges = [(rng.randrange(60), rng.randrange(60)) for _ in range(45)] + [(100 + i, 101 + i) for i in range(40)] + [(200, 201 + i) for i in range(30)] + [(7, 7), (None, 3)]
