@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from skein.functions import band, energy_to_kd, heavy, sample_key
+from skein.operators.tables import rejects
 
 PAIR, POSE = ["gene", "compound"], ["model_name", "pose_id"]
 
@@ -67,6 +68,12 @@ def pick_negative(wishes: DataFrame, distances: DataFrame, seed: object = 0) ->
     return out.select(*PAIR, F.when(F.col("dataset") == "KD", "NEG1").otherwise("NEG2").alias("dataset"), bin_.alias("dist_bin"), F.when(bin_ == "medium", 2.7).otherwise(3.2).alias("expt"), *POSE, "distance")
 
 
+def negative_rejects(wishes: DataFrame) -> DataFrame:
+    """The wishes that ``pick_negative`` can't serve, with the reason: a band that there isn't, or a dataset without a negative label; no band at all is no wish."""
+    known = {"unknown band": ~F.col("dist_bin").isin("medium", "high"), "unknown dataset": ~F.coalesce(F.col("dataset").isin("KD", "KI"), F.lit(False))}
+    return rejects(wishes.where("dist_bin IS NOT NULL"), known).where("reject_reason IS NOT NULL")
+
+
 SETS = ["training", "validation", "test"]
 
 

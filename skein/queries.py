@@ -520,6 +520,15 @@ def pick_negative(spark, d):
     return _negatives(spark, d)
 
 
+@query("""SELECT gene, compound, dataset, dist_bin, CASE WHEN dist_bin = 'low' THEN 'unknown band' ELSE 'unknown dataset' END AS reject_reason FROM
+(SELECT gene, compound, dataset, CASE WHEN CAST(compound AS INT) % 5 = 0 THEN NULL WHEN CAST(compound AS INT) % 7 = 0 THEN 'low' ELSE 'high' END AS dist_bin FROM {fx_pairs} GROUP BY ALL) WHERE dist_bin = 'low' OR (dist_bin = 'high' AND dataset NOT IN ('KD', 'KI'))""")
+def negative_rejects(spark, d):
+    """Wishes for negatives of a band or dataset that there isn't."""
+    c = F.col("compound").cast("int")
+    wishes = view(spark, d, "fx_pairs").select("gene", "compound", "dataset").distinct().withColumn("dist_bin", F.when(c % 5 == 0, None).when(c % 7 == 0, "low").otherwise("high"))
+    return P.negative_rejects(wishes)
+
+
 @query("SELECT domain, model_name FROM (SELECT *, row_number() OVER (PARTITION BY domain ORDER BY md5(concat_ws('|', '7', domain, model_name)), model_name) AS n FROM {fx_models}) WHERE n <= 10")
 def sample_models(spark, d):
     return T.sample_rows(view(spark, d, "fx_models"), ["domain"], ["model_name"], 10, 7).select("domain", "model_name")

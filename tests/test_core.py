@@ -47,6 +47,11 @@ def test_pick_negative_switches_bands(spark):
     assert out == {"a": ("NEG1", "high", 3.2, "1"), "b": ("NEG2", "high", 3.2, "1"), "c": ("NEG2", "high", 3.2, None)}
 
 
+def test_wishes_that_cant_be_served_are_listed(spark):
+    wishes = spark.createDataFrame([("g", "a", "KD", "medium"), ("g", "b", "KI", None), ("g", "c", "KI", "low"), ("g", "d", "X", "high"), ("g", "e", None, "medium"), ("g", "f", "X", "low")], "gene string, compound string, dataset string, dist_bin string")
+    assert {r.compound: r.reject_reason for r in P.negative_rejects(wishes).collect()} == {"c": "unknown band", "d": "unknown dataset", "e": "unknown dataset", "f": "unknown band"}
+
+
 @pytest.mark.parametrize(("n", "total"), [(1, 5), (3, 5), (5, 5), (8, 5)])
 def test_run_allocation_spends_the_budget(spark, n, total):
     models = spark.createDataFrame([("d", f"m{i}") for i in range(n)], "domain string, model_name string")
