@@ -145,14 +145,14 @@ def archive_catalog(spark, d):
 def model_identities(spark, d):
     """Model lists and identity maps written as text, read and joined; models without an identity have null."""
     part = table(spark, d, "part").select("p_size", F.col("p_brand").alias("domain"), F.concat_ws("_", "p_brand", "p_partkey").alias("model_name"))
-    line = lambda p, c: p.groupBy("domain").agg(F.array_join(F.collect_list(c), "\n").alias("value"))
     folder = _folder(spark)
-    line(part, F.col("model_name")).write.partitionBy("domain").text(f"{folder}/models")
-    line(part.where("p_size % 7 <> 0"), F.concat_ws(" ", "model_name", F.col("p_size") * 2.0)).write.partitionBy("domain").text(f"{folder}/identities")
-    value, domain = F.col("value"), F.regexp_extract("_metadata.file_path", "/domain=([^/]+)/", 1)
-    of = F.url_decode(F.url_decode(domain))
-    models = spark.read.text(f"{folder}/models").select(of.alias("domain"), F.trim(value).alias("model_name"))
-    identities = spark.read.text(f"{folder}/identities").select(of.alias("domain"), F.split(value, " ")[0].alias("model_name"), F.split(value, " ")[1].cast("double").alias("identity"))
+
+    def put(rows, name, mark, value):
+        rows.select(value.alias("value"), F.concat("domain", F.lit(mark)).alias("set")).repartition("set").write.partitionBy("set").text(f"{folder}/{name}")
+
+    put(part, "models", "_0.1_unique-models", F.col("model_name"))
+    put(part.where("p_size % 7 <> 0"), "identities", "_sequence-identities", F.concat_ws(" ", "model_name", F.col("p_size") * 2.0))
+    models, identities = files.read_models(spark, f"{folder}/models"), files.read_identities(spark, f"{folder}/identities")
     found, none = P.with_identity(models, identities)
     return found.select("domain", "model_name", "identity").union(none.select("domain", "model_name", F.lit(None).cast("double")))
 

@@ -70,17 +70,23 @@ def read_targets(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.text(path).where(F.col("value").startswith(">")).select(F.expr("substring(value, 2)").alias("target"))
 
 
+def _domain(mark: str) -> Column:
+    """What stands before ``mark`` in a file's name, or in that of its folder ``<column>=<value>``, whose value Spark has escaped once more."""
+    plain = lambda c: F.url_decode(F.replace(c, F.lit("+"), F.lit("%2B")))
+    path = F.col("_metadata.file_path")
+    own, dealt = F.regexp_extract(path, f"/([^/=]+){mark}", 1), F.regexp_extract(path, f"/[^/=]+=([^/]+){mark}", 1)
+    return F.when(dealt != "", plain(plain(dealt))).otherwise(plain(own)).alias("domain")
+
+
 def read_identities(spark: SparkSession, path: str) -> DataFrame:
-    """``domain, model_name, identity`` of files ``<domain>_sequence-identities.txt`` with a model and its identity a line."""
-    domain = F.regexp_extract("_metadata.file_name", r"^(.*)_sequence-identities", 1)
-    lines = spark.read.text(path).select(domain.alias("domain"), "value").where(F.trim("value") != "")
+    """``domain, model_name, identity`` of files or folders ``<domain>_sequence-identities`` with a model and its identity a line."""
+    lines = spark.read.text(path).select(_domain("_sequence-identities"), "value").where(F.trim("value") != "")
     return lines.select("domain", _token(0).alias("model_name"), _token(1).try_cast("double").alias("identity"))
 
 
 def read_models(spark: SparkSession, path: str) -> DataFrame:
-    """``domain, model_name`` of files ``<domain>_<cut-off>_unique-models.txt`` with a model a line."""
-    domain = F.regexp_extract("_metadata.file_name", r"^(.*)_[^_]*_unique-models", 1)
-    return spark.read.text(path).select(domain.alias("domain"), F.trim("value").alias("model_name")).where("model_name <> ''")
+    """``domain, model_name`` of files or folders ``<domain>_<cut-off>_unique-models`` with a model a line."""
+    return spark.read.text(path).select(_domain("_[^_/]*_unique-models"), F.trim("value").alias("model_name")).where("model_name <> ''")
 
 
 def read_archive(spark: SparkSession, path: str) -> DataFrame:
