@@ -44,3 +44,23 @@ def voxel(c: Column, reach: float = 10.0, spacing: float = 1.0) -> Column:
 def substring_number(line: Column, start: int, width: int) -> Column:
     """A number in fixed columns, null if there is none."""
     return F.trim(F.substring(line, start, width)).try_cast("double")
+
+
+def parse_name(name: Column) -> Column:
+    """``gene, compound, dataset`` of a name ``gene|compound_dataset``; null where a part is missing, further parts are left out."""
+    head = F.split_part(name, F.lit("_"), F.lit(1))
+    part = lambda c, mark, i: F.nullif(F.split_part(c, F.lit(mark), F.lit(i)), F.lit(""))
+    return F.struct(part(head, "|", 1).alias("gene"), part(head, "|", 2).alias("compound"), part(name, "_", 2).alias("dataset"))
+
+
+def parse_target(target: Column) -> Column:
+    """``protein, domain`` of a target's name: ``AB_HUMAN_D0`` is domain 0 of ``AB_HUMAN``, ``AB_HUMAN_2`` its second entry, domain 1; plain names have a null domain."""
+    counted, second = r"^(.+)_D(\d+)$", r"^(.+_HUMAN)_(\d+)$"
+    number = F.when(target.rlike(counted), F.regexp_extract(target, counted, 2).cast("int")).when(target.rlike(second), F.regexp_extract(target, second, 2).cast("int") - 1)
+    protein = F.when(target.rlike(counted), F.regexp_extract(target, counted, 1)).when(target.rlike(second), F.regexp_extract(target, second, 1)).otherwise(target)
+    return F.struct(protein.alias("protein"), number.alias("domain"))
+
+
+def archive_stem(file: Column) -> Column:
+    """A file's name without its folder and a last ``.zip``."""
+    return F.regexp_replace(F.regexp_extract(file, r"([^/]*)$", 1), r"\.zip$", "")

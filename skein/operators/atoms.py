@@ -32,6 +32,45 @@ def parse_energy(lines: DataFrame) -> DataFrame:
     return lines.groupBy("file").agg(said.alias("value")).select("file", F.get(F.split("value", r"\s+"), F.lit(1)).try_cast("double").alias("energy"))
 
 
+#: What a scorer's line of its result holds.
+SAID = "Affinity"
+
+
+def score_text(spliced: DataFrame, attempts: list[Callable[[], Callable[[list[str]], list[str | None]]]], batch: int = 256) -> DataFrame:
+    """``file, attempt, energy, reject_reason``: a caller's scorer over the text of whole poses, its output parsed.
+
+    A pose is the lines of one ``file`` of ``splice_pose_lines``, joined in order. Each of
+    ``attempts`` is run once a task and gives a function from up to ``batch`` texts to as many
+    outputs (null: none); a pose whose output has no line with ``Affinity`` goes to the next
+    attempt. ``attempt`` counts from 1 and is the last one made. Rejects by cause: ``pose_error``
+    (atoms ran out; not scored), ``no output``, ``no energy``. A null line is an empty one.
+    """
+    kind = dict(spliced.dtypes)["file"]
+    lines = F.array_sort(F.collect_list(F.struct("ord", F.coalesce("value", F.lit("")).alias("value"))))
+    poses = spliced.groupBy("file").agg(F.array_join(F.transform(lines, lambda x: x["value"]), "\n").alias("text"), F.max("short").alias("short"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        scorers = [load() for load in attempts]
+        for whole in batches:
+            for at in range(0, whole.num_rows, batch):
+                b = whole.slice(at, batch)
+                texts = b["text"].to_pylist()
+                output, tried = [None] * len(texts), [None] * len(texts)
+                left = [i for i, short in enumerate(b["short"].to_pylist()) if not short]
+                for nth, score in enumerate(scorers, 1):
+                    if left:
+                        for i, said in zip(left, score([texts[i] for i in left]), strict=True):
+                            output[i], tried[i] = said, nth
+                        left = [i for i in left if SAID not in (output[i] or "")]
+                yield pa.record_batch({"file": b["file"], "short": b["short"], "attempt": pa.array(tried, pa.int32()), "output": pa.array(output, pa.string())})
+
+    out = poses.mapInArrow(run, f"file {kind}, short boolean, attempt int, output string")
+    line = F.get(F.filter(F.split("output", "\n"), lambda x: x.contains(SAID)), F.lit(0))
+    out = out.withColumn("energy", F.get(F.split(F.trim(line), r"\s+"), F.lit(1)).try_cast("double"))
+    reason = F.when(F.col("short"), "pose_error").when(F.col("output").isNull(), "no output").when(F.col("energy").isNull(), "no energy")
+    return out.select("file", "attempt", "energy", reason.alias("reject_reason"))
+
+
 def markers(atoms: list[tuple[int, str, str, str]]) -> Column:
     """Number of the marker that a parsed atom is, by serial, name, residue and chain; null for others."""
     out = F.lit(None).cast("int")

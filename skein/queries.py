@@ -9,7 +9,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from skein.functions import affinity_class, band, energy_to_kd, heavy
+from skein.functions import affinity_class, archive_stem, band, energy_to_kd, heavy, parse_name, parse_target
 from skein.operators import atoms as A
 from skein.operators import evaluate as E
 from skein.operators import poses as P
@@ -18,7 +18,7 @@ from skein.plans import similarity as S
 from skein.plans import split as V
 from skein.plans.graph import components, spanning_forest
 from skein.sources.fixtures import fingerprints, sql_of, view
-from skein.sources import files
+from skein.sources import files, matrices
 from skein.sources.scratch import materialize, scratch_dir, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -127,6 +127,22 @@ def split_matrix(spark, d):
     return files.split_matrix(rows)
 
 
+@query("""SELECT concat(complex_id, '|', model_name, '_KD') AS name, CAST(count(*) AS INT) AS n_rows, 2 AS n_features, round(sum(x), 4) + 0.0 AS x, round(sum(charge), 4) + 0.0 AS charge, CAST(sum(molcode) AS DOUBLE) AS molcode, CASE WHEN complex_id % 5 <> 0 THEN complex_id / 8.0::DOUBLE END AS affinity
+FROM {fx_atoms} GROUP BY complex_id, model_name""")
+def matrix_archives(spark, d):
+    """Complexes as matrices of coordinates and features, written as archives in two appends, read in ranges and split."""
+    row = F.array(*[F.col(c).cast("double") for c in ("x", "y", "z", "charge", "molcode")])
+    data = F.transform(F.array_sort(F.collect_list(F.struct("ord", row.alias("row")))), lambda r: r["row"]).alias("data")
+    made = view(spark, d, "fx_atoms").groupBy("complex_id", "model_name").agg(data)
+    made = materialize(made.select("complex_id", F.concat(F.col("complex_id").cast("string"), F.lit("|"), "model_name", F.lit("_KD")).alias("name"), "data", F.when(F.col("complex_id") % 5 != 0, F.col("complex_id") / 8).alias("affinity")))
+    path, half = _folder(spark), F.col("complex_id") % 2 == 0
+    matrices.write_matrices(made.where(half), path, split=1 << 22)
+    matrices.write_matrices(made.where(~half), path, split=1 << 22)
+    found = files.split_matrix(matrices.read_matrices(spark, path, 1 << 22))
+    total = lambda c, i: F.round(F.aggregate(c, F.lit(0.0), lambda t, r: t + r[i].cast("double")), 4)
+    return found.select("name", F.size("xyz").alias("n_rows"), F.size(F.col("features")[0]).alias("n_features"), total("xyz", 0).alias("x"), total("features", 0).alias("charge"), total("features", 1).alias("molcode"), "affinity")
+
+
 @query("""WITH p AS (SELECT CAST(s_nationkey AS STRING) AS gene, CASE WHEN s_acctbal < 0 THEN 'protein' ELSE 'compound' END AS kind FROM supplier),
 c AS (SELECT gene, count(*) AS n FROM p WHERE kind = 'compound' GROUP BY gene), q AS (SELECT gene, count(*) AS n FROM p WHERE kind = 'protein' GROUP BY gene)
 SELECT coalesce(c.gene, q.gene) AS gene, coalesce(c.n, 0) AS n_compound, coalesce(q.n, 0) AS n_protein, CASE WHEN c.gene IS NULL THEN 'no compound' WHEN q.gene IS NULL THEN 'no protein' ELSE 'both' END AS state FROM c FULL JOIN q ON c.gene = q.gene""")
@@ -362,6 +378,18 @@ def kinase_distance(spark, d):
     return S.complete(genes, S.with_aliases(view(spark, d, "fx_gene_dist"), alias)).withColumn("dist", F.round("dist", 6))
 
 
+@query("""WITH x AS (SELECT a, b, dist FROM {fx_gene_dist} UNION ALL SELECT alias, b, dist FROM {fx_gene_dist} JOIN {fx_alias} ON gene = a UNION ALL SELECT a, alias, dist FROM {fx_gene_dist} JOIN {fx_alias} ON gene = b),
+e AS (SELECT least(a, b) AS a, greatest(a, b) AS b, min(dist) AS dist FROM x GROUP BY 1, 2),
+p AS (SELECT DISTINCT x.gene AS a, y.gene AS b FROM {fx_pairs} x JOIN {fx_pairs} y ON x.ord1 = y.ord1 AND x.ord2 + 1 = y.ord2)
+SELECT p.a, p.b, round(coalesce(e.dist, CASE WHEN p.a = p.b THEN 0.0 ELSE 100.0 END), 6) AS dist FROM p LEFT JOIN e ON e.a = least(p.a, p.b) AND e.b = greatest(p.a, p.b)""")
+def pair_distance(spark, d):
+    """Distances of the genes that follow each other in an order, looked up in the known ones."""
+    rows = view(spark, d, "fx_pairs")
+    pairs = rows.select("ord1", "ord2", F.col("gene").alias("a")).join(rows.select("ord1", (F.col("ord2") - 1).alias("ord2"), F.col("gene").alias("b")), ["ord1", "ord2"])
+    edges = S.with_aliases(view(spark, d, "fx_gene_dist"), view(spark, d, "fx_alias"))
+    return S.distances_of(pairs.select("a", "b").distinct(), edges).withColumn("dist", F.round("dist", 6))
+
+
 ROT = "(VALUES " + ", ".join(f"({i}, {', '.join(map(str, m))})" for i, m in enumerate(A.rotations())) + ") m(rotation, a, b, c, e, f, g, h, j, k)"
 ROTATED = f"SELECT a.*, CAST(rotation AS INT) AS rotation, x * a + y * e + z * h AS rx, x * b + y * f + z * j AS ry, x * c + y * g + z * k AS rz FROM {{fx_atoms}} a CROSS JOIN {ROT}".replace("x * a +", "x * m.a +")
 
@@ -818,9 +846,16 @@ def scale_charge(spark, d):
 @query("SELECT DISTINCT gene, compound, dataset FROM {fx_pairs}")
 def parse_keys(spark, d):
     name = view(spark, d, "fx_pairs").select(F.concat(F.concat_ws("|", "gene", "compound"), F.lit("_"), "dataset").alias("name")).distinct()
-    part = lambda c, sep, i: F.split_part(c, F.lit(sep), F.lit(i))
-    head = part(F.col("name"), "_", 1)
-    return name.select(part(head, "|", 1).alias("gene"), part(head, "|", 2).alias("compound"), part(F.col("name"), "_", 2).alias("dataset"))
+    return name.select(parse_name(F.col("name")).alias("p")).select("p.*")
+
+
+@query("SELECT p_partkey, p_name || '_HUMAN' AS protein, CASE p_size % 3 WHEN 0 THEN p_size % 10 WHEN 1 THEN 1 END AS domain, p_brand AS compound FROM part")
+def parse_targets(spark, d):
+    """Targets with a domain's number, with that of a second entry, and plain; compounds by the names of their archives."""
+    size = F.col("p_size")
+    mark = F.when(size % 3 == 0, F.concat(F.lit("_D"), (size % 10).cast("string"))).when(size % 3 == 1, "_2").otherwise("")
+    of = table(spark, d, "part").select("p_partkey", parse_target(F.concat("p_name", F.lit("_HUMAN"), mark)).alias("t"), archive_stem(F.concat(F.lit("/12/"), "p_brand", F.lit(".zip"))).alias("compound"))
+    return of.select("p_partkey", "t.*", "compound")
 
 
 @query("SELECT DISTINCT model_name, pose_id FROM {fx_scores}")
@@ -899,3 +934,25 @@ def rescore_table(spark, d):
     found = A.parse_energy(lines).withColumn("kd", energy_to_kd(F.col("energy")))
     marked = T.rejects(found, {"no energy": F.col("energy").isNull()})
     return marked.groupBy("file.gene", "file.compound").agg(F.count("*").alias("n_poses"), F.count("reject_reason").alias("n_rejected"), F.round(F.min("kd"), 6).alias("best_kd"))
+
+
+#: The scorer of the query: energies in tenths from the sum of all coordinates' sizes in quarters.
+RESCORED = f"""WITH s AS ({SPLICED}), p AS (SELECT file, bool_or(short) AS short, CAST(coalesce(sum(CASE WHEN value LIKE '%ATOM%' OR value LIKE '%UNL%' THEN {" + ".join(f"abs(round(TRY_CAST(trim(substr(value, {at}, 8)) AS DOUBLE) * 1000))" for at in (31, 39, 47))} END), 0) AS BIGINT) // 250 AS t FROM s GROUP BY file)
+SELECT file, CAST(CASE WHEN short THEN NULL WHEN t % 11 = 0 THEN 2 ELSE 1 END AS INT) AS attempt, CASE WHEN NOT short AND (t % 11 <> 0 OR t % 2 = 0) THEN round(-(t % 150) / 10.0::DOUBLE * {K} + {LN}, 6) END AS kd,
+  CASE WHEN short THEN 'pose_error' WHEN t % 11 = 0 AND t % 2 = 1 THEN 'no energy' END AS reject_reason FROM p"""
+
+
+@query(RESCORED)
+def rescore_poses(spark, d):
+    """Docked coordinates spliced into the template's lines, the text scored, its output parsed and turned into Kd; a second scorer for outputs without an energy."""
+
+    def scorer(fails):
+        def one(text):
+            atoms = [line for line in text.split("\n") if "ATOM" in line or "UNL" in line]
+            total = sum(round(abs(float(line[at : at + 8])) * 1000) for line in atoms for at in (30, 38, 46)) // 250
+            return "Parse error" if fails(total) else f"Reading input\nAffinity: {-(total % 150) / 10:.1f} (kcal/mol)\n"
+
+        return lambda: lambda texts: [one(t) for t in texts]
+
+    scored = A.score_text(_spliced(spark, d), [scorer(lambda t: t % 11 == 0), scorer(lambda t: t % 2 == 1)])
+    return scored.select("file", "attempt", F.round(energy_to_kd(F.col("energy")), 6).alias("kd"), "reject_reason")

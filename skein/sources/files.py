@@ -3,10 +3,14 @@
 from __future__ import annotations
 
 from collections.abc import Iterable
+from functools import reduce
+from operator import and_
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from skein.sources.scratch import materialize
+
 #: Measured pairs; gene ids are text, whatever they look like.
 PAIRS = "gene string, compound string, smiles string, dataset string, value double, is_kinase boolean, pdb_code string"
 #: Score tables, one row a pose.
@@ -105,16 +109,25 @@ def split_matrix(complexes: DataFrame, data: str = "data") -> DataFrame:
     return complexes.withColumns({"xyz": part(1, 3), "features": part(4, 1 << 20)}).drop(data)
 
 
-def write_keyed(df: DataFrame, path: str, keys: Iterable[str], by: Iterable[str], mode: str = "errorifexists") -> None:
-    """Parquet in a folder for each value of ``by``; raises, and writes nothing, if a key occurs twice, here or (mode ``append``) in what is there."""
+def write_keyed(df: DataFrame, path: str, keys: Iterable[str], by: Iterable[str], mode: str = "errorifexists", rows: int = 1_000_000) -> None:
+    """Parquet in a folder for each value of ``by``, at most ``rows`` a file; raises, and writes nothing, if a key occurs twice, here or (mode ``append``) in what is there.
+
+    ``df`` is computed once, to a scratch table. Rows are dealt by ``by`` and large values of it
+    split over tasks by size. What is there is not grouped again: its keys, unique already, are
+    only met with the new ones. Null keys are keys. Two appends at once don't see each other.
+    """
     keys, by = list(keys), list(by)
-    every = df.select(*keys, *by)
-    if mode == "append":
-        every = every.unionByName(df.sparkSession.read.parquet(path).select(*keys, *[F.col(c).cast(t).alias(c) for c, t in df.select(*by).dtypes]))
-    twice = every.groupBy(*keys, *by).agg(F.count("*").alias("n")).where("n > 1").first()
+    on, made = [*keys, *by], materialize(df)
+    new = made.select(*on)
+    twice = new.groupBy(*on).agg(F.count("*").alias("n")).where("n > 1").first()
+    if not twice and mode == "append":
+        there = df.sparkSession.read.schema(df.schema).parquet(path).select(*on).alias("there")
+        same = reduce(and_, [F.col(f"there.{c}").eqNullSafe(F.col(f"new.{c}")) for c in on])
+        twice = there.join(new.alias("new"), same, "left_semi").withColumn("n", F.lit(2)).first()
     if twice:
         raise ValueError(f"key {tuple(twice)[:-1]} occurs {twice['n']} times")
-    df.repartition(*by).write.mode(mode).partitionBy(*by).parquet(path)
+    dealt = made.hint("rebalance", *[F.col(c) for c in by])
+    dealt.write.option("maxRecordsPerFile", rows).mode(mode).partitionBy(*by).parquet(path)
 
 
 def write_pose_text(spliced: DataFrame, path: str) -> None:

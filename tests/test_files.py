@@ -3,13 +3,16 @@
 import math
 import random
 
+import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from skein.operators import atoms as A
 from skein.operators import poses as P
 from skein.operators import tables as T
 from skein.plans import similarity as S
-from skein.sources import files
+from skein.functions import archive_stem, parse_name, parse_target
+from skein.sources import files, matrices
 
 
 def test_csv_keeps_ids_as_text(spark, tmp_path):
@@ -63,6 +66,89 @@ def test_keyed_tables_refuse_a_second_key(spark, tmp_path):
     assert not (tmp_path / "none").exists()
 
 
+def test_keyed_files_have_a_limit_and_null_keys_are_keys(spark, tmp_path):
+    """A value with nine tenths of all rows goes to many files; an append meets a null key and a null folder."""
+    rows = spark.range(1000).select(F.col("id").cast("string").alias("name"), F.when(F.col("id") % 10 == 0, 2).otherwise(1).alias("cv"))
+    files.write_keyed(rows, path := str(tmp_path / "out"), ["name"], ["cv"], rows=50)
+    sizes = [r["count"] for r in spark.read.parquet(path).groupBy(F.input_file_name()).count().collect()]
+    assert sum(sizes) == 1000 and max(sizes) <= 50
+    kind = "name string, cv int"
+    odd = spark.createDataFrame([(None, 1), ("x", None)], kind)
+    files.write_keyed(odd, path, ["name"], ["cv"], "append")
+    for row in odd.collect():
+        with pytest.raises(ValueError, match="occurs 2 times"):
+            files.write_keyed(spark.createDataFrame([row, ("y", 3)], kind), path, ["name"], ["cv"], "append")
+    files.write_keyed(rows.where("false"), path, ["name"], ["cv"], "append")
+    assert spark.read.parquet(path).count() == 1002
+
+
+@pytest.mark.parametrize("split", [3000, 1 << 20])
+def test_matrix_archives_round_trip(spark, tmp_path, split):
+    """Archives of any size read in ranges of bytes; names with separators, missing affinities, matrices without rows."""
+    rng = random.Random(split)
+    want = {f"{i}|K/{i % 3}_KD": ([[rng.random() for _ in range(5)] for _ in range(i % 4)], None if i % 7 == 0 else i / 2) for i in range(60)}
+    df = spark.createDataFrame([(k, *v) for k, v in want.items()], "name string, data array<array<double>>, affinity double").repartition(3)
+    path = str(tmp_path / "m")
+    first = F.xxhash64("name") % 2 == 0
+    matrices.write_matrices(df.where(first), path, split=split)
+    matrices.write_matrices(df.where(~first), path, split=split)
+    (tmp_path / "m" / "_left.npz").write_bytes(b"half")
+    got = {r.name: (r.data, r.affinity) for r in matrices.read_matrices(spark, path, split).collect()}
+    assert got.keys() == want.keys() and all(got[k][1] == want[k][1] and len(got[k][0]) == len(want[k][0]) and np.allclose(got[k][0] or [], want[k][0] or []) for k in want)
+    one = next(f for f in sorted((tmp_path / "m").glob("*.npz")) if f.name[0] != "_")
+    with np.load(one) as archive:
+        assert all(np.allclose(archive[n], want[n[:-5]][0] or np.zeros((0, 0))) for n in archive.files if n.endswith("/data"))
+    assert matrices.read_matrices(spark, str(one)).count() <= 60
+    before = sorted((tmp_path / "m").iterdir())
+    with pytest.raises(ValueError, match="occurs 2 times"):
+        matrices.write_matrices(df.limit(1), path)
+    for bad in ([(None, [[1.0]], 1.0)], [("n", None, 1.0)], [("n", [[1.0], [1.0, 2.0]], 1.0)]):
+        with pytest.raises(Exception, match="a matrix"):
+            matrices.write_matrices(spark.createDataFrame(bad, df.schema), path)
+    assert [f for f in sorted((tmp_path / "m").iterdir()) if f.name[0] != "_"] == [f for f in before if f.name[0] != "_"]
+    matrices.write_matrices(df.where("false"), str(tmp_path / "none"))
+    assert matrices.read_matrices(spark, str(tmp_path / "none")).count() == 0
+    matrices.write_matrices(df.limit(5), path, "overwrite")
+    assert matrices.read_matrices(spark, path).count() == 5
+
+
+def test_text_of_poses_is_scored_and_scored_again(spark):
+    """Whole texts in the order of their lines reach the scorer; a second one gets what the first gave no energy for."""
+    atom = "ATOM      1  C   UNL     1      00.000  00.000  00.000  1.00"
+    lines = [(f, o, v) for f in ("a", "b", "c", "d", "e", None) for o, v in ((3, "END"), (1, f"REMARK {f}"), (2, None if f == "e" else atom))]
+    atoms = [(f, 1, 1.5, -22.25, 333.125) for f in "abd"]
+    spliced = A.splice_pose_lines(spark.createDataFrame(lines, "file string, ord int, value string"), spark.createDataFrame(atoms, "file string, ord int, x double, y double, z double"))
+
+    def first():
+        def run(texts):
+            assert len(texts) <= 2 and all(t.split("\n")[0].startswith("REMARK") and t.endswith("END") for t in texts)
+            return [f"x\n Affinity: {float(t.split(chr(10))[1][38:46])} (kcal/mol)" if "REMARK a" in t else None if "REMARK b" in t else "no" for t in texts]
+
+        return run
+
+    again = lambda: lambda texts: ["Affinity: none" if "REMARK b" in t else "Affinity: -3.5\nAffinity: 7" if "REMARK d" in t else None for t in texts]
+    got = {r.file: (r.attempt, r.energy, r.reject_reason) for r in A.score_text(spliced, [first, again], 2).collect()}
+    assert got == {"a": (1, -22.25, None), "b": (2, None, "no energy"), "c": (None, None, "pose_error"), "d": (2, -3.5, None), "e": (2, None, "no output"), None: (None, None, "pose_error")}
+    assert A.score_text(spliced.where("false"), [first], 2).count() == 0
+
+
+def test_distances_are_looked_up(spark):
+    edges = spark.createDataFrame([("b", "a", 3.0), ("a", "b", 2.0), ("a", "a", 5.0)], "a string, b string, dist double")
+    pairs = spark.createDataFrame([("a", "b", 1), ("b", "a", 2), ("b", "b", 3), ("a", "z", 4), (None, "a", 5), ("a", "a", 6)], "a string, b string, n int")
+    assert {r.n: r.dist for r in S.distances_of(pairs, edges).collect()} == {1: 2.0, 2: 2.0, 3: 0.0, 4: 100.0, 5: 100.0, 6: 5.0}
+    whole = {(r.a, r.b): r.dist for r in S.complete(spark.createDataFrame([("a",), ("b",), ("c",)], "g string"), edges).collect()}
+    assert len(whole) == 9 and whole["b", "a"] == 2.0 and whole["c", "c"] == 0.0 and whole["a", "c"] == 100.0
+
+
+def test_names_and_targets_come_apart(spark):
+    names = spark.createDataFrame([("12|ABC-N_KD",), ("007|X_KI_2",), ("12",), ("",), (None,)], "n string").select(parse_name(F.col("n")).alias("p"))
+    assert [tuple(r.p) for r in names.collect()] == [("12", "ABC-N", "KD"), ("007", "X", "KI"), ("12", None, None), (None, None, None), (None, None, None)]
+    targets = spark.createDataFrame([("AB_HUMAN_D0",), ("AB_HUMAN_2",), ("AB_HUMAN",), ("A_D1_HUMAN_D12",), (None,)], "t string").select(parse_target(F.col("t")).alias("p"))
+    assert [tuple(r.p) for r in targets.collect()] == [("AB_HUMAN", 0), ("AB_HUMAN", 1), ("AB_HUMAN", None), ("A_D1_HUMAN", 12), (None, None)]
+    stems = spark.createDataFrame([("/12/ABC-N.zip",), ("ABC.zip",), ("a.zip.b",), ("",)], "f string").select(archive_stem(F.col("f")).alias("s"))
+    assert [r.s for r in stems.collect()] == ["ABC-N", "ABC", "a.zip.b", ""]
+
+
 def test_pose_text_round_trip(spark, tmp_path):
     lines = spark.createDataFrame([("p", 1, "REMARK"), ("p", 2, "ATOM      1  C   UNL     1      00.000  00.000  00.000  1.00"), ("p", 3, ""), ("q", 1, "ATOM " + " " * 60)], "file string, ord int, value string")
     atoms = spark.createDataFrame([("p", 1, 1.5, -22.25, 333.125), ("q", 1, 0.0, 0.0, 0.0)], "file string, ord int, x double, y double, z double")
