@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from skein.functions import band, energy_to_kd, heavy, sample_key
@@ -77,16 +77,20 @@ def negative_rejects(wishes: DataFrame) -> DataFrame:
 SETS = ["training", "validation", "test"]
 
 
-def training_picks(positive: DataFrame, negative: DataFrame, folds: DataFrame) -> DataFrame:
+def training_picks(positive: DataFrame, negative: DataFrame, folds: DataFrame | dict[int, Column]) -> DataFrame:
     """Positive and negative picks in one table, with model, pose and set of each fold in columns of its own.
 
-    ``folds(gene, compound, dataset, cv, cvset)`` says which folds use a pick for what; the fold's
-    columns are null where none is named.
+    ``folds`` says which folds use a pick for what: a table ``(gene, compound, dataset, cv,
+    cvset)``, or each fold's set as a column of the picks, which needs no join. A fold's columns
+    are null where none is named.
     """
     both = positive.unionByName(negative, allowMissingColumns=True)
-    cvs = sorted(r[0] for r in folds.select("cv").distinct().collect())
-    of = [F.max(F.when(F.col("cv") == k, F.col("cvset"))).alias(f"cv{k}_cvset") for k in cvs]
-    out = both.join(folds.groupBy(*PAIR, "dataset").agg(*of), [*PAIR, "dataset"], "left")
+    if isinstance(folds, dict):
+        cvs, out = sorted(folds), both.withColumns({f"cv{k}_cvset": c for k, c in sorted(folds.items())})
+    else:
+        cvs = sorted(r[0] for r in folds.select("cv").distinct().collect())
+        of = [F.max(F.when(F.col("cv") == k, F.col("cvset"))).alias(f"cv{k}_cvset") for k in cvs]
+        out = both.join(folds.groupBy(*PAIR, "dataset").agg(*of), [*PAIR, "dataset"], "left")
     used = lambda k, c: F.when(F.col(f"cv{k}_cvset").isNotNull(), F.col(c))
     return out.withColumns({f"cv{k}_{c}": used(k, c) for k in cvs for c in POSE})
 
@@ -104,7 +108,7 @@ def training_complexes(fan: DataFrame, atoms: DataFrame, receptors: DataFrame) -
     """The complex of each row of ``fan``: the pose's heavy atoms and its receptor's, centred on the ligand.
 
     ``atoms(model_name, pose_id, ord, atom_type, x, y, z)`` are looked up by model and pose; a pair's
-    KD and KI rows stay apart, since ``dataset`` is part of the name. A complex is made once for a
+    KD and KI rows stay apart, since ``dataset`` is part of the name. A ligand is gathered once for a
     pose, however many folds and rows use it. ``reject_reason`` says what a complex lacks.
     """
     wanted = fan.select(*POSE).distinct()
@@ -112,11 +116,12 @@ def training_complexes(fan: DataFrame, atoms: DataFrame, receptors: DataFrame) -
     atom = lambda: F.struct("ord", "atom_type", "x", "y", "z")
     ligand = own.groupBy(*POSE).agg(F.array_sort(F.collect_list(atom())).alias("ligand"), *[F.avg(c).alias(f"c{c}") for c in "xyz"])
     protein = receptors.groupBy("model_name").agg(F.array_sort(F.collect_list(atom())).alias("receptor"))
-    made = ligand.join(protein, "model_name", "left")
-    moved = lambda c: F.transform(c, lambda a: F.struct(a["ord"].alias("ord"), a["atom_type"].alias("atom_type"), *[(a[x] - F.col(f"c{x}")).alias(x) for x in "xyz"]))
-    made = made.select(*POSE, moved("ligand").alias("ligand"), moved("receptor").alias("receptor"))
-    out = fan.join(made, POSE, "left").withColumn("name", F.concat(F.concat_ws("|", *PAIR), F.lit("_"), "dataset"))
-    return out.withColumn("reject_reason", F.when(F.col("ligand").isNull(), "no pose").when(F.col("receptor").isNull(), "no receptor"))
+    moved = lambda c: F.transform(c, lambda a: F.struct(a["ord"].alias("ord"), a["atom_type"].alias("atom_type"), *[(a[x] - F.col(f"c{x}")).alias(x) for x in "xyz"])).alias(c)
+    # Receptors come last: rows are dealt without them, and meet the receptor of their model.
+    met = fan.join(ligand, POSE, "left").join(protein, "model_name", "left")
+    name = F.concat(F.concat_ws("|", *PAIR), F.lit("_"), "dataset").alias("name")
+    reason = F.when(F.col("ligand").isNull(), "no pose").when(F.col("receptor").isNull(), "no receptor").alias("reject_reason")
+    return met.select(*fan.columns, moved("ligand"), F.when(F.col("ligand").isNotNull(), moved("receptor")).alias("receptor"), name, reason)
 
 
 def run_allocation(models: DataFrame, budget: int, seed: object = 0) -> DataFrame:

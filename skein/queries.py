@@ -601,25 +601,21 @@ def concat_sets(spark, d):
 FOLD = "CASE ('0x' || substr(md5(concat_ws('|', '{k}', gene, compound, dataset)), 1, 8))::BIGINT % 10 WHEN 0 THEN 'validation' WHEN 1 THEN 'test' WHEN 8 THEN 'holdout' WHEN 9 THEN NULL ELSE 'training' END"
 
 
-def _folds(picks):
-    """A row a pick and fold, from one pass over the picks."""
+def _folds() -> dict:
+    """The set of a pick in each fold, as columns of the pick."""
 
     def fold(k):
         n = F.pmod(F.conv(F.substring(F.md5(F.concat_ws("|", F.lit(str(k)), "gene", "compound", "dataset")), 1, 8), 16, 10).cast("long"), F.lit(10))
-        cvset = F.when(n == 0, "validation").when(n == 1, "test").when(n == 8, "holdout").when(n == 9, F.lit(None)).otherwise("training")
-        return F.struct(F.lit(k).alias("cv"), cvset.alias("cvset"))
+        return F.when(n == 0, "validation").when(n == 1, "test").when(n == 8, "holdout").when(n == 9, F.lit(None)).otherwise("training")
 
-    each = F.explode(F.array(*[fold(k) for k in range(1, 6)])).alias("f")
-    return materialize(picks.select("gene", "compound", "dataset", each).select("gene", "compound", "dataset", "f.*").where("cvset IS NOT NULL"))
+    return {k: fold(k) for k in range(1, 6)}
 
 
 def _picks(spark, d):
     # A pose is picked once a pair and joined to all its measurements.
     measured = T.first_rows(view(spark, d, "fx_pairs"), ["gene", "compound", "dataset"], ["ord1", "ord2", "ord3"])
     positive = P.pick_pose(scored(spark, d)).join(measured.select("gene", "compound", "dataset", F.col("value").alias("expt")), ["gene", "compound"])
-    positive, negative = materialize(positive.select(*THREE, "dataset", "expt", "distance")), materialize(_negatives(spark, d).drop("dist_bin"))
-    names = positive.select("gene", "compound", "dataset").union(negative.select("gene", "compound", "dataset")).distinct()
-    return P.training_picks(positive, negative, _folds(names))
+    return P.training_picks(positive.select(*THREE, "dataset", "expt", "distance"), _negatives(spark, d).drop("dist_bin"), _folds())
 
 
 PICKED = f"SELECT gene, compound, model_name, pose_id, dataset, value AS expt, distance FROM ({PICK}) JOIN (SELECT gene, compound, dataset, value FROM ({MEASURED})) USING (gene, compound) WHERE nth = 1 UNION ALL SELECT gene, compound, model_name, pose_id, dataset, expt, distance FROM ({NEGATIVE})"

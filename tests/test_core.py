@@ -340,3 +340,21 @@ def test_prefix_sums_of_ordered_rows(spark, parts):
     assert sorted(tuple(r) for r in got) == want and none == []
     assert [r.start for r in ranges] == [0, *(r.end for r in ranges[:-1])] and ranges[-1].end == 700
     assert [r.n_pending for r in ranges[:-1]] == [40] * (len(ranges) - 1)
+
+
+def test_folds_as_a_table_and_as_columns_are_the_same(spark):
+    rows = [(str(i % 5), str(i), "M1", f"1-{i}", "KD" if i % 2 else "KI", float(i)) for i in range(40)]
+    picks = spark.createDataFrame(rows, "gene string, compound string, model_name string, pose_id string, dataset string, expt double")
+    of = {k: F.when(F.col("expt") % (k + 2) == 0, "test").when(F.col("expt") % 5 != k, "training") for k in (1, 2)}
+    table = picks.select("gene", "compound", "dataset", F.explode(F.array(*[F.struct(F.lit(k).alias("cv"), c.alias("cvset")) for k, c in of.items()])).alias("f")).select("gene", "compound", "dataset", "f.*").where("cvset IS NOT NULL")
+    parts = picks.where("expt < 20"), picks.where("expt >= 20").drop("expt").withColumn("expt", F.col("compound").cast("double"))
+    one, other = (P.training_picks(*parts, f) for f in (table, of))
+    assert sorted(map(repr, one.select(sorted(one.columns)).collect())) == sorted(map(repr, other.select(sorted(one.columns)).collect()))
+    used, _ = P.cv_fanout(other)
+    assert used.count() == table.count()
+    atoms = spark.createDataFrame([("M1", f"1-{i}", o, "C.3", float(i), 0.0, float(o)) for i in range(40) if i != 2 for o in (2, 1)], "model_name string, pose_id string, ord int, atom_type string, x double, y double, z double")
+    receptors = spark.createDataFrame([("M1", 1, "C.3", 1.0, 2.0, 3.0)], "model_name string, ord int, atom_type string, x double, y double, z double")
+    made = {(r.name, r.cv): r for r in P.training_complexes(used, atoms, receptors).collect()}
+    assert len(made) == used.count() and {r.reject_reason for (n, _), r in made.items() if n == "2|2_KI"} == {"no pose"}
+    a = made["3|3_KD", 1]
+    assert [(x.ord, x.x, x.z) for x in a.ligand] == [(1, 0.0, -0.5), (2, 0.0, 0.5)] and [(x.x, x.y, x.z) for x in a.receptor] == [(-2.0, 2.0, 1.5)] and a.reject_reason is None
