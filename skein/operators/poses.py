@@ -117,11 +117,15 @@ def training_complexes(fan: DataFrame, atoms: DataFrame, receptors: DataFrame) -
     ligand = own.groupBy(*POSE).agg(F.array_sort(F.collect_list(atom())).alias("ligand"), *[F.avg(c).alias(f"c{c}") for c in "xyz"])
     protein = receptors.groupBy("model_name").agg(F.array_sort(F.collect_list(atom())).alias("receptor"))
     moved = lambda c: F.transform(c, lambda a: F.struct(a["ord"].alias("ord"), a["atom_type"].alias("atom_type"), *[(a[x] - F.col(f"c{x}")).alias(x) for x in "xyz"])).alias(c)
-    # Receptors come last: rows are dealt without them, and meet the receptor of their model.
-    met = fan.join(ligand, POSE, "left").join(protein, "model_name", "left")
+    # Receptors come last, once for all rows of a pose, and are never dealt with them.
+    rest = [c for c in fan.columns if c not in (*PAIR, *POSE)]
+    rows = fan.groupBy(*PAIR, *POSE).agg(F.collect_list(F.struct(*rest)).alias("rows"))
+    met = rows.join(ligand, POSE, "left").join(protein, "model_name", "left")
     name = F.concat(F.concat_ws("|", *PAIR), F.lit("_"), "dataset").alias("name")
+    made = met.select(*PAIR, *POSE, "rows", moved("ligand"), F.when(F.col("ligand").isNotNull(), moved("receptor")).alias("receptor"))
+    out = made.select("*", F.explode("rows").alias("row")).select(*PAIR, *POSE, "row.*", "ligand", "receptor")
     reason = F.when(F.col("ligand").isNull(), "no pose").when(F.col("receptor").isNull(), "no receptor").alias("reject_reason")
-    return met.select(*fan.columns, moved("ligand"), F.when(F.col("ligand").isNotNull(), moved("receptor")).alias("receptor"), name, reason)
+    return out.select(*fan.columns, "ligand", "receptor", name, reason)
 
 
 def run_allocation(models: DataFrame, budget: int, seed: object = 0) -> DataFrame:
