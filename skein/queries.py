@@ -390,7 +390,14 @@ def pair_distance(spark, d):
     return S.distances_of(pairs.select("a", "b").distinct(), edges).withColumn("dist", F.round("dist", 6))
 
 
-ROT = "(VALUES " + ", ".join(f"({i}, {', '.join(map(str, m))})" for i, m in enumerate(A.rotations())) + ") m(rotation, a, b, c, e, f, g, h, j, k)"
+# Rodrigues' formula over axes and angles; row vectors are turned, so that the matrix is the transpose of the usual one.
+TURNS = """(0, 1, 0, 0, 0), (1, 1, 0, 0, 90), (2, 1, 0, 0, 180), (3, 1, 0, 0, 270), (4, 0, 1, 0, 90), (5, 0, 1, 0, 180), (6, 0, 1, 0, 270), (7, 0, 0, 1, 90), (8, 0, 0, 1, 180), (9, 0, 0, 1, 270),
+(10, 1, 1, 0, 180), (11, 1, -1, 0, 180), (12, 1, 0, 1, 180), (13, 1, 0, -1, 180), (14, 0, 1, 1, 180), (15, 0, 1, -1, 180),
+(16, 1, 1, 1, 120), (17, -1, 1, 1, 120), (18, 1, -1, 1, 120), (19, 1, 1, -1, 120), (20, 1, 1, 1, 240), (21, -1, 1, 1, 240), (22, 1, -1, 1, 240), (23, 1, 1, -1, 240)"""
+ROT = f"""(SELECT rotation, CAST(round(p * p * t + co) AS INT) AS a, CAST(round(p * q * t + r * si) AS INT) AS b, CAST(round(p * r * t - q * si) AS INT) AS c,
+CAST(round(p * q * t - r * si) AS INT) AS e, CAST(round(q * q * t + co) AS INT) AS f, CAST(round(q * r * t + p * si) AS INT) AS g,
+CAST(round(p * r * t + q * si) AS INT) AS h, CAST(round(q * r * t - p * si) AS INT) AS j, CAST(round(r * r * t + co) AS INT) AS k
+FROM (SELECT rotation, u / sqrt(u * u + v * v + w * w) AS p, v / sqrt(u * u + v * v + w * w) AS q, w / sqrt(u * u + v * v + w * w) AS r, cos(radians(angle)) AS co, sin(radians(angle)) AS si, 1 - cos(radians(angle)) AS t FROM (VALUES {TURNS}) turns(rotation, u, v, w, angle))) m"""
 ROTATED = f"SELECT a.*, CAST(rotation AS INT) AS rotation, x * a + y * e + z * h AS rx, x * b + y * f + z * j AS ry, x * c + y * g + z * k AS rz FROM {{fx_atoms}} a CROSS JOIN {ROT}".replace("x * a +", "x * m.a +")
 
 

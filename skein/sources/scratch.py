@@ -8,12 +8,18 @@ then costs a re-read, never a recomputation of the whole chain.
 from __future__ import annotations
 
 import tempfile
+import threading
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
 #: Spark's setting that removes an execution's shuffle files at its end.
 SHUFFLE_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+#: By session: how many tables are being written, and the setting before the first of them.
+_writing: dict[str, tuple[int, str | None]] = {}
+_lock = threading.Lock()
 
 
 def scratch_dir(spark: SparkSession) -> str:
@@ -28,6 +34,27 @@ def scratch_dir(spark: SparkSession) -> str:
     return spark.sparkContext.getCheckpointDir()
 
 
+@contextmanager
+def shuffle_cleanup(spark: SparkSession) -> Iterator[None]:
+    """``SHUFFLE_CLEANUP`` on for the session until the last of those within, in any thread, has left."""
+    own = spark._jsparkSession.sessionUUID()
+    with _lock:
+        n, before = _writing.get(own) or (0, spark.conf.get(SHUFFLE_CLEANUP, None))
+        _writing[own] = n + 1, before
+        spark.conf.set(SHUFFLE_CLEANUP, "true")
+    try:
+        yield
+    finally:
+        with _lock:
+            n, before = _writing.pop(own)
+            if n > 1:
+                _writing[own] = n - 1, before
+            elif before is None:
+                spark.conf.unset(SHUFFLE_CLEANUP)
+            else:
+                spark.conf.set(SHUFFLE_CLEANUP, before)
+
+
 def materialize(df: DataFrame, partition_by: str | None = None) -> DataFrame:
     """Write ``df`` to a fresh scratch table and return the table.
 
@@ -37,12 +64,8 @@ def materialize(df: DataFrame, partition_by: str | None = None) -> DataFrame:
     spark = df.sparkSession
     path = f"{scratch_dir(spark)}/skein-{uuid.uuid4().hex}"
     writer = df.write.option("compression", "zstd")
-    before = spark.conf.get(SHUFFLE_CLEANUP, None)
-    spark.conf.set(SHUFFLE_CLEANUP, "true")
-    try:
+    with shuffle_cleanup(spark):
         (writer.partitionBy(partition_by) if partition_by else writer).parquet(path)
-    finally:
-        spark.conf.unset(SHUFFLE_CLEANUP) if before is None else spark.conf.set(SHUFFLE_CLEANUP, before)
     return spark.read.schema(df.schema).parquet(path)
 
 

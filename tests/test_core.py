@@ -194,12 +194,16 @@ def test_a_compound_is_drawn_before_its_gene(spark):
     assert len(drawn) >= 6 and 0.2 <= drawn.count("A") / len(drawn) <= 0.8
 
 
+@pytest.mark.parametrize("postings", [2048, 3])
 @pytest.mark.parametrize("limit", [0.0, 0.2, 0.5, 0.8])
-def test_jaccard_join_loses_no_pair(spark, limit):
+def test_jaccard_join_loses_no_pair(spark, limit, postings, monkeypatch):
+    monkeypatch.setattr(S, "POSTINGS", postings)
     rng = random.Random(4)
     sets = [(f"c{i}", sorted(rng.sample(range(200), rng.randrange(0, 9)))) for i in range(120)]
     sets += [(f"d{i}", s) for i, (_, s) in enumerate(sets[:10])]
-    got = {(r.a, r.b) for r in S.jaccard_pairs(spark.createDataFrame(sets, "compound string, bits array<int>"), limit).collect()}
+    rows = S.jaccard_pairs(spark.createDataFrame(sets, "compound string, bits array<int>"), limit).collect()
+    got = {(r.a, r.b) for r in rows}
+    assert len(got) == len(rows)
     want = set()
     for a, x in sets:
         for b, y in sets:

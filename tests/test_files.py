@@ -12,7 +12,7 @@ from skein.operators import poses as P
 from skein.operators import tables as T
 from skein.plans import similarity as S
 from skein.functions import archive_stem, parse_name, parse_target
-from skein.sources import files, matrices
+from skein.sources import files, matrices, scratch
 
 
 def test_csv_keeps_ids_as_text(spark, tmp_path):
@@ -213,3 +213,18 @@ def test_lines_of_files_over_several_splits_keep_their_order(spark, tmp_path):
         got = sorted((r.ord, r.value) for r in rows if r.file.endswith(f"/{name}.txt"))
         assert got == list(enumerate(own, 1))
     assert len(rows) == 6000
+
+
+def test_tables_written_at_once_restore_the_setting(spark):
+    """Two threads' writes overlap: the session's own setting comes back with the last, whatever it was."""
+    for own in (None, "false"):
+        spark.conf.unset(scratch.SHUFFLE_CLEANUP) if own is None else spark.conf.set(scratch.SHUFFLE_CLEANUP, own)
+        before = spark.conf.get(scratch.SHUFFLE_CLEANUP, None)
+        first, second = scratch.shuffle_cleanup(spark), scratch.shuffle_cleanup(spark)
+        first.__enter__()
+        second.__enter__()
+        first.__exit__(None, None, None)
+        assert spark.conf.get(scratch.SHUFFLE_CLEANUP) == "true"
+        second.__exit__(None, None, None)
+        assert spark.conf.get(scratch.SHUFFLE_CLEANUP, None) == before
+    spark.conf.unset(scratch.SHUFFLE_CLEANUP)
