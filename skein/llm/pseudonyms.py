@@ -4,8 +4,9 @@ Values are found by pattern, validated, and permuted by a keyed Feistel network
 set of valid values of their format: a card number stays one of its network with a right
 check digit, a date a date, an address an address. The permutation depends on the key and the
 value alone, so equal values stay equal over all documents and runs, and different ones
-different. What looks like a value but isn't a valid one (a long number without a card's
-prefix and check digit, an impossible date or social security number) is left alone. An
+different. Telephone numbers keep their country code, dates their width. What looks like a value but isn't a valid one (a long number without a card's
+prefix and check digit, an impossible date or social security number, a code of no country, four
+numbers of a version) is left alone. An
 email keeps its domain, which is part of its format.
 """
 
@@ -37,7 +38,7 @@ PATTERNS = {
     "date": r"(?<![\d./-])(?:\d{4}-\d{2}-\d{2}|\d{1,2}[./]\d{1,2}[./]\d{4})(?![\d/-])",
     "ip": r"(?<![\d.])\d{1,3}\.\d{1,3}\.\d{1,3}\.\d{1,3}(?![\d]|\.\d)",
     "ssn": r"(?<![\d-])\d{3}-\d{2}-\d{4}(?![\d-])",
-    "phone": r"(?<![\d+])(?:\+\d{1,3}[ .-]?)?(?:\(\d{3}\)[ .-]?|(?<!\d)\d{3}[ .-])\d{3}[ .-]\d{4}(?!\d)|(?<!\w)\+\d{8,15}(?!\d)",
+    "phone": r"(?<![\d+])(?:\+1[ .-]?)?(?:\(\d{3}\)[ .-]?|(?<!\d)\d{3}[ .-])\d{3}[ .-]\d{4}(?!\d)|(?<![\w+])\+[1-9]\d{0,2}(?:[ .-]?\(\d{1,5}\))?(?:[ .-]?\d){4,14}(?!\d)",
     "card": r"(?<![\w.])(?:\d{13,19}|\d{4}(?P<four>[ -])\d{4}(?P=four)\d{4}(?P=four)\d{1,7}|\d{4}(?P<six>[ -])\d{6}(?P=six)\d{4,5})(?!\w|\.\d)",
 }
 #: Card networks with the ranges of their numbers' first digits, and the lengths that they have.
@@ -51,6 +52,14 @@ NETWORKS = [
     ("unionpay", [("62", "62")], (16, 17, 18, 19)),
 ]
 FINDER = re.compile("|".join(f"(?P<{k}>{PATTERNS[k]})" for k in KINDS))
+#: Country codes of telephone numbers, but for 1, in the numbering plan of each world zone. The others of a zone have three digits.
+COUNTRIES = {"7"} | set("20 27 30 31 32 33 34 36 39 40 41 43 44 45 46 47 48 49 51 52 53 54 55 56 57 58 60 61 62 63 64 65 66 81 82 84 86 90 91 92 93 94 95 98".split())
+#: First two digits of the country codes of three.
+COUNTRIES_3 = set("21 22 23 24 25 26 29 35 37 38 42 50 59 67 68 69 80 85 87 88 96 97 99".split())
+#: Codes of three digits that no country has.
+FREE = set("210 214 215 217 219 259 292 293 294 295 296 384 693 694 695 696 697 698 699 801 802 803 804 805 806 807 809 851 854 857 858 859 871 872 873 874 875 876 877 879 884 885 887 889 969 978 990 999".split())
+#: What stands before four numbers of a version, not of an address.
+VERSION = re.compile(r"(?:\bv|version|release|build|section|chapter)[ :=.]*$", re.IGNORECASE)
 #: First letters of access keys, which may have no digit.
 ACCESS_KEYS = ("AKIA", "ASIA")
 #: Every pattern has an @, a digit or such first letters.
@@ -164,7 +173,10 @@ def _date(s, key):
         new = DAY_0 + timedelta(_walk(at, DAYS, key, b"date", both))
         values = {order[0]: new.year, order[1]: new.month, order[2]: new.day}
         seps = re.findall(r"\D", s)
-        texts_ = [_digits(values[i], 4 if i == order[0] else 2) for i in range(3)]
+        # Dates written without leading zeros stay so; the value, and so its link, is the same in either format.
+        written = re.split(r"\D", s)
+        wide = 1 if any(len(x) == 1 for x in written) else 2
+        texts_ = [_digits(values[i], 4 if i == order[0] else 2 if written[i][0] == "0" else wide) for i in range(3)]
         return texts_[0] + seps[0] + texts_[1] + seps[1] + texts_[2]
     return None
 
@@ -185,14 +197,39 @@ def _ssn(s, key):
     return _refill(s, _digits(_walk(int(plain), 10**9, key, b"ssn", ok), 9))
 
 
+def country(digits: str) -> str | None:
+    """The country code that an international number starts with, if there is one of its digits."""
+    if digits[:1] == "1" or digits[:1] in COUNTRIES:
+        return digits[0]
+    if digits[:2] in COUNTRIES:
+        return digits[:2]
+    return digits[:3] if digits[:2] in COUNTRIES_3 and digits[:3] not in FREE else None
+
+
 def _phone(s, key):
+    if s[0] == "+" and "(0)" in s:
+        # The trunk prefix is no part of the number.
+        out = _phone(s.replace("(0)", "()", 1), key)
+        return out and out.replace("()", "(0)", 1)
     plain = re.sub(r"\D", "", s)
-    if s[0] == "+" and plain[0] == "0" or s[0] != "+" and not (plain[0] > "1" and plain[3] > "1"):
-        return None  # without a country code it must be one that can be dialled
-    k = min(10, len(plain) - 1) if s[0] == "+" else len(plain)
-    head, own = plain[: len(plain) - k], plain[len(plain) - k :]
-    dials = lambda n: (d := _digits(n, k))[0] > "1" and d[3] > "1"
-    return _refill(s, head + _digits(_walk(int(own), 10**k, key, b"phone" + head.encode(), dials), k))
+    head = country(plain) if s[0] == "+" else ""
+    if head is None:
+        return None
+    own = plain[len(head) :]
+    k = len(own)
+    # Ten digits with 1 or no code: with neither area nor exchange from 0 or 1 they can be dialled. Others need
+    # the code to be taken for a number, and must not have zeros alone there. Elsewhere it is 8 to 15 digits with
+    # the code; a first zero is the trunk prefix or none, and stays.
+    dials = lambda d: d[0] > "1" and d[3] > "1"
+    if not head:
+        ok = lambda d: len(d) == 10 and dials(d)
+    elif head == "1":
+        ok = lambda d: len(d) == 10 and dials(d) == dials(own) and d[:3] != "000" != d[3:6]
+    else:
+        ok = lambda d: 8 <= len(head) + k <= 15 and (d[0] == "0") == (own[0] == "0")
+    if not ok(own):
+        return None
+    return _refill(s, head + _digits(_walk(int(own), 10**k, key, b"phone" + head.encode(), lambda n: ok(_digits(n, k))), k))
 
 
 def _card(s, key):
@@ -219,6 +256,8 @@ def rewrite(text: str, key: bytes) -> tuple[str, list[int]]:
     counts = [0] * len(KINDS)
 
     def put(m: re.Match) -> str:
+        if m.lastgroup == "ip" and VERSION.search(text, max(0, m.start() - 16), m.start()):
+            return m.group()
         new = pseudonym(m.lastgroup, m.group(), key)
         if new is None:
             return m.group()
