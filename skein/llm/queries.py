@@ -3,7 +3,8 @@
 from __future__ import annotations
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
 
 from skein.llm import bpe, collocations, decontaminate, kneser_ney, projections, pseudonyms, repeats, rules, sharding, simhash, token_counts, urls, variants
 from skein.sources.scratch import table
@@ -43,6 +44,21 @@ def op7_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urls.judge(table(spark, sf_dir, "pages"))
 
 
+def url_aliases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``pages`` with canonical links, judged as op7 does: the given pages have none, so each names the next one of its number as canonical.
+
+    The pages of a number are chained in the order of their urls' hashes, so that a class is as
+    many links long as it has pages.
+    """
+    pages = table(spark, sf_dir, "pages").select("page_id", "url", "html")
+    number = F.regexp_extract(urls.host_path(F.col("url"))[1], "([0-9]+)", 1)
+    following = F.when(number != "", F.lead("url").over(Window.partitionBy(number).orderBy(F.xxhash64("url"), "url")))
+    for character, reference in (("&", "&amp;"), ('"', "&quot;"), ("<", "&lt;"), (">", "&gt;")):
+        following = F.replace(following, F.lit(character), F.lit(reference))
+    link = F.concat(F.lit('<link rel="canonical" href="'), following, F.lit('">'))
+    return urls.judge(pages.withColumn("html", F.concat(F.coalesce("html", F.lit("")), F.coalesce(link, F.lit("")))))
+
+
 def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -67,5 +83,5 @@ def op13_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return collocations.collocations(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_repeats, op2_kneser_ney, op3_simhash, op4_extendible_sharding, op5_host_rules, op6_pseudonyms, op7_url_filter, op8_decontamination, op9_byte_bpe, op10_token_counts, op11_spelling_variants, op12_nearest_neighbours, op13_collocations)}
-ORACLES = {"op4_extendible_sharding": sharding.oracle(SHARD_BYTES), "op5_host_rules": rules.oracle(HOST_RATE), "op7_url_filter": urls.oracle()}
+QUERIES = {f.__name__: f for f in (op1_repeats, op2_kneser_ney, op3_simhash, op4_extendible_sharding, op5_host_rules, op6_pseudonyms, op7_url_filter, url_aliases, op8_decontamination, op9_byte_bpe, op10_token_counts, op11_spelling_variants, op12_nearest_neighbours, op13_collocations)}
+ORACLES = {"op4_extendible_sharding": sharding.oracle(SHARD_BYTES), "op5_host_rules": rules.oracle(HOST_RATE), "op7_url_filter": urls.oracle(), "url_aliases": urls.aliases_oracle()}

@@ -145,3 +145,19 @@ c AS (SELECT reach.a AS url, min(reach.b) AS alias_of, bool_or(o.v = 'allow') AS
 SELECT p.page_id, coalesce(o.host, '') AS host, coalesce(o.path, '') AS path, o.rule,
   coalesce(o.v, CASE WHEN c.bad AND NOT coalesce(c.ok, false) THEN 'block' ELSE 'allow' END) AS verdict, coalesce(c.alias_of, p.url) AS alias_of
 FROM pages p LEFT JOIN o ON o.url = p.url LEFT JOIN c ON c.url = p.url"""
+
+
+def aliases_oracle() -> str:
+    """Verdicts where the pages whose paths share their first number are a class, by grouping instead of links."""
+    values = ", ".join(f"('{h}', '{p}', '{v}')" for h, p, v in RULES)
+    return rf"""
+WITH r(rh, rp, v) AS (VALUES {values}),
+s AS (SELECT page_id, url, CASE WHEN instr(url, '://') > 0 THEN substr(url, instr(url, '://') + 3) ELSE '' END AS rest FROM pages),
+hp AS (SELECT page_id, url, lower(regexp_extract(rest, '^([^/?#]*)', 1)) AS host, regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path FROM s),
+m AS (SELECT page_id, url, host, path, rh || rp AS rule, v, row_number() OVER (PARTITION BY page_id ORDER BY length(rh || rp) DESC NULLS LAST) AS rn
+  FROM hp LEFT JOIN r ON (host = rh OR host LIKE '%.' || rh) AND starts_with(path, rp)),
+o AS (SELECT *, regexp_extract(path, '([0-9]+)', 1) AS number FROM m WHERE rn = 1),
+c AS (SELECT number, min(url) AS alias_of, bool_or(v = 'allow') AS ok, bool_or(v = 'block') AS bad FROM o WHERE number <> '' GROUP BY 1)
+SELECT page_id, coalesce(host, '') AS host, coalesce(path, '') AS path, rule,
+  coalesce(v, CASE WHEN c.bad AND NOT coalesce(c.ok, false) THEN 'block' ELSE 'allow' END) AS verdict, coalesce(c.alias_of, o.url) AS alias_of
+FROM o LEFT JOIN c USING (number)"""
