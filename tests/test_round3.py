@@ -2,8 +2,10 @@
 
 import math
 
+import numpy as np
 from pyspark.sql import functions as F
 
+from skein.functions import rounded
 from skein.operators import evaluate as E
 
 
@@ -17,3 +19,14 @@ def test_histogram_bins_are_floors_of_quotients(spark):
         want[b] = want.get(b, 0) + 1
     assert got == want
 
+
+def test_rounding_is_that_of_the_sql(spark):
+    """Ties of the scaled double go away from zero, whatever its decimal text."""
+    import duckdb
+
+    rng = np.random.default_rng(5)
+    values = [float(np.float32(v)) for v in rng.normal(size=3000)] + [(k + 0.5) / 1e6 for k in range(-500, 500)] + [0.0, 1e308, float("inf")]
+    df = spark.createDataFrame([(i, v) for i, v in enumerate(values)], "i long, v double")
+    got = [r.v for r in df.select("i", rounded(F.col("v"), 6).alias("v")).orderBy("i").collect()]
+    want = [duckdb.execute("SELECT list_transform(?::DOUBLE[], lambda v: round(v, 6))", [values]).fetchall()[0][0]][0]
+    assert got == want
