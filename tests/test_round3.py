@@ -6,6 +6,7 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from skein.functions import rounded
+from skein.operators import atoms as A
 from skein.operators import evaluate as E
 
 
@@ -30,3 +31,11 @@ def test_rounding_is_that_of_the_sql(spark):
     got = [r.v for r in df.select("i", rounded(F.col("v"), 6).alias("v")).orderBy("i").collect()]
     want = [duckdb.execute("SELECT list_transform(?::DOUBLE[], lambda v: round(v, 6))", [values]).fetchall()[0][0]][0]
     assert got == want
+
+
+def test_complexes_are_dealt_over_all_tasks(spark):
+    """A few bytes of poses become whole receptors: not one task's work."""
+    poses = spark.createDataFrame([(i, f"M{i % 2}", 1, "C.3", 0.0, 0.0, 0.0) for i in range(64)], "complex_id long, model_name string, ord int, atom_type string, x double, y double, z double").coalesce(1)
+    receptors = spark.createDataFrame([(f"M{i % 2}", i, "C.3", 1.0, 2.0, 3.0) for i in range(10)], "model_name string, ord int, atom_type string, x double, y double, z double")
+    made = A.assemble(poses, receptors).where("part = 0")
+    assert made.count() == 64 * 5 and made.select(F.spark_partition_id().alias("p")).distinct().count() == 4
