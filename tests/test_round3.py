@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from skein.functions import rounded
 from skein.operators import atoms as A
 from skein.operators import evaluate as E
+from skein.sources.fixtures import near_genes, view
 
 
 def test_histogram_bins_are_floors_of_quotients(spark):
@@ -39,3 +40,19 @@ def test_complexes_are_dealt_over_all_tasks(spark):
     receptors = spark.createDataFrame([(f"M{i % 2}", i, "C.3", 1.0, 2.0, 3.0) for i in range(10)], "model_name string, ord int, atom_type string, x double, y double, z double")
     made = A.assemble(poses, receptors).where("part = 0")
     assert made.count() == 64 * 5 and made.select(F.spark_partition_id().alias("p")).distinct().count() == 4
+
+
+def _suppliers(spark, path):
+    """Balances on the bounds of bands, equal ones and one that is null."""
+    rows = [(i, [-50.0, 0.0, 0.01, 100.0, 100.01, 199.99, 250.5, None][i % 8] if i < 40 else 37.25 * i) for i in range(90)]
+    spark.createDataFrame(rows, "s_suppkey long, s_acctbal double").coalesce(1).write.parquet(f"{path}/supplier.parquet")
+    return str(path)
+
+
+def test_near_genes_are_the_view_up_to_a_limit_and_no_one_task_has_them(spark, tmp_path):
+    d = _suppliers(spark, tmp_path)
+    every = lambda df: sorted(map(tuple, df.collect()))
+    for limit in (0.1, 1.0, 3.0):
+        assert every(near_genes(spark, d, limit)) == every(view(spark, d, "fx_gene_dist").where(F.col("dist") <= limit))
+    parts = lambda df: df.select(F.spark_partition_id().alias("p")).distinct().count()
+    assert parts(near_genes(spark, d, 1.0)) > 1 == parts(view(spark, d, "fx_gene_dist").where("dist <= 1"))
