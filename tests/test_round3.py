@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from skein.functions import rounded
 from skein.operators import atoms as A
 from skein.operators import evaluate as E
-from skein.sources.fixtures import near_genes, view
+from skein.sources.fixtures import gene_dist_of, near_genes, view
 
 
 def test_histogram_bins_are_floors_of_quotients(spark):
@@ -56,3 +56,11 @@ def test_near_genes_are_the_view_up_to_a_limit_and_no_one_task_has_them(spark, t
         assert every(near_genes(spark, d, limit)) == every(view(spark, d, "fx_gene_dist").where(F.col("dist") <= limit))
     parts = lambda df: df.select(F.spark_partition_id().alias("p")).distinct().count()
     assert parts(near_genes(spark, d, 1.0)) > 1 == parts(view(spark, d, "fx_gene_dist").where("dist <= 1"))
+
+
+def test_distances_of_pairs_are_those_of_the_view(spark, tmp_path):
+    d = _suppliers(spark, tmp_path)
+    pairs = spark.createDataFrame([(str(i), str((i * 7) % 90)) for i in range(90)] + [("A1", "5"), (None, "3"), ("5", "4"), ("4", "5")], "a string, b string")
+    asked = {frozenset(r) for r in pairs.collect()}
+    want = sorted(tuple(r) for r in view(spark, d, "fx_gene_dist").where("dist IS NOT NULL").collect() if frozenset((r.a, r.b)) in asked)
+    assert sorted(tuple(r) for r in gene_dist_of(spark, d, pairs).where("dist IS NOT NULL").collect()) == want
