@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 from skein.functions import rounded
 from skein.operators import atoms as A
 from skein.operators import evaluate as E
+from skein.operators import poses as P
+from skein.sources import files, matrices
 from skein.sources.fixtures import gene_dist_of, near_genes, view
 
 
@@ -64,3 +66,38 @@ def test_distances_of_pairs_are_those_of_the_view(spark, tmp_path):
     asked = {frozenset(r) for r in pairs.collect()}
     want = sorted(tuple(r) for r in view(spark, d, "fx_gene_dist").where("dist IS NOT NULL").collect() if frozenset((r.a, r.b)) in asked)
     assert sorted(tuple(r) for r in gene_dist_of(spark, d, pairs).where("dist IS NOT NULL").collect()) == want
+
+
+def test_stored_complexes_hold_no_receptor(spark):
+    fan = spark.createDataFrame([("g", str(i), "M1", "1-1", "KD", 1.0, k, "test") for i in range(3) for k in (1, 2)] + [("g", "9", "M2", "1-1", "KD", 1.0, 1, "test")], "gene string, compound string, model_name string, pose_id string, dataset string, expt double, cv int, cvset string")
+    atoms = spark.createDataFrame([(m, "1-1", o, "C.3", float(o), 0.0, 0.0) for m in ("M1", "M2") for o in (1, 3)], "model_name string, pose_id string, ord int, atom_type string, x double, y double, z double")
+    receptors = spark.createDataFrame([("M1", i, "C.3", 1.0 * i, 2.0, 3.0) for i in range(50)], "model_name string, ord int, atom_type string, x double, y double, z double")
+    stored = P.stored_complexes(fan, atoms, receptors)
+    assert "receptor" not in stored.columns and stored.count() == 7
+    assert {(r.model_name, r.center.x, r.reject_reason) for r in stored.collect()} == {("M1", 2.0, None), ("M2", 2.0, "no receptor")}
+    whole = {r.name: r.receptor for r in P.with_receptors(stored, receptors).collect()}
+    assert [a.x for a in whole["g|1_KD"]] == [i - 2.0 for i in range(50)] and whole["g|9_KD"] is None
+
+
+def test_voxels_take_tasks_by_atoms(spark, monkeypatch):
+    monkeypatch.setattr(A, "DEALT", 5)
+    atoms = spark.createDataFrame([(i // 2, float(i % 7), 0.0, 0.0) for i in range(100)], "complex_id long, x double, y double, z double")
+    grid = A.voxelize(atoms, {"n": F.lit(1.0)}, n=2)
+    assert grid.agg(F.sum("n")).first()[0] == 200 and grid.select(F.spark_partition_id().alias("p")).distinct().count() > 4
+
+
+def test_folders_of_lines_are_numbered_as_one_file(spark, tmp_path):
+    rows = [(f, i, f"{f}{i}") for f in "ab" for i in range(500)]
+    df = spark.createDataFrame(rows, "file string, i int, value string").repartition(3)
+    df.repartitionByRange(6, "file", "i").sortWithinPartitions("file", "i").select("value", "file").write.partitionBy("file").text(f"{tmp_path}/t")
+    got = files.read_lines(spark, f"{tmp_path}/t/*/*.txt", folders=True)
+    assert sorted((r.file[-1], r.ord - 1, r.value) for r in got.collect()) == sorted(rows)
+
+
+def test_names_of_archives_are_listed_without_their_matrices(spark, tmp_path):
+    """And archives that NumPy wrote, compressed or not, are read as those of the writer."""
+    for save, name in ((np.savez, "x"), (np.savez_compressed, "y")):
+        save(f"{tmp_path}/{name}.npz", **{f"{name}/data": np.arange(6, dtype=np.float32).reshape(2, 3), f"{name}/affinity": np.float64(2)})
+    listed = spark.read.format("matrices") if spark.dataSource.register(matrices.MatrixSource) is None else None
+    assert sorted((r.name, r.data) for r in listed.option("names", "true").load(str(tmp_path)).collect()) == [("x", None), ("y", None)]
+    assert sorted((r.name, r.data, r.affinity) for r in matrices.read_matrices(spark, str(tmp_path)).collect()) == [(n, [[0, 1, 2], [3, 4, 5]], 2.0) for n in "xy"]
