@@ -101,3 +101,21 @@ def test_names_of_archives_are_listed_without_their_matrices(spark, tmp_path):
     listed = spark.read.format("matrices") if spark.dataSource.register(matrices.MatrixSource) is None else None
     assert sorted((r.name, r.data) for r in listed.option("names", "true").load(str(tmp_path)).collect()) == [("x", None), ("y", None)]
     assert sorted((r.name, r.data, r.affinity) for r in matrices.read_matrices(spark, str(tmp_path)).collect()) == [(n, [[0, 1, 2], [3, 4, 5]], 2.0) for n in "xy"]
+
+
+def test_blocks_of_collocations_bound_a_workers_memory():
+    """Some 8 MB of text in one batch: the numbers of a block, not of the batch, are held at once."""
+    import tracemalloc
+
+    import pyarrow as pa
+
+    from skein.llm import collocations
+
+    words = np.random.default_rng(3).integers(0, 5000, 1_600_000)
+    text = [" ".join(f"w{w}" for w in part) for part in np.array_split(words, 800)]
+    batch = pa.record_batch({"text": pa.array(text), "lang": pa.array(["en"] * len(text))})
+    tracemalloc.start()
+    n = sum(len(w) for w, *_ in collocations._blocks(iter([batch]), collocations.BLOCK_BYTES))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert n == len(words) and peak < 60e6
