@@ -10,7 +10,8 @@ from skein.operators import atoms as A
 from skein.operators import evaluate as E
 from skein.operators import poses as P
 from skein.sources import files, matrices
-from skein.sources.fixtures import gene_dist_of, near_genes, view
+from skein.plans.graph import components
+from skein.sources.fixtures import gene_dist_of, linking_genes, near_genes, view
 
 
 def test_histogram_bins_are_floors_of_quotients(spark):
@@ -119,3 +120,13 @@ def test_blocks_of_collocations_bound_a_workers_memory():
     peak = tracemalloc.get_traced_memory()[1]
     tracemalloc.stop()
     assert n == len(words) and peak < 60e6
+
+
+def test_linking_genes_join_what_near_genes_join_and_grow_with_the_genes(spark, tmp_path):
+    d = _suppliers(spark, tmp_path)
+    parts = lambda edges, limit: sorted(map(tuple, components(edges.where(F.col("dist") <= limit)).collect()))
+    near, linking = near_genes(spark, d, 3.0), linking_genes(spark, d, 3.0)
+    for limit in (0.0, 0.1, 1.0, 3.0):
+        assert parts(linking, limit) == parts(near, limit)
+    assert {tuple(r) for r in linking.collect()} <= {tuple(r) for r in near.collect()}
+    assert linking.count() <= 4 * 90 < near.count()
