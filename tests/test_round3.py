@@ -10,6 +10,7 @@ from skein.operators import atoms as A
 from skein.operators import evaluate as E
 from skein.operators import poses as P
 from skein.sources import files, matrices
+from skein.plans import similarity as S
 from skein.plans.graph import components
 from skein.sources.fixtures import gene_dist_of, linking_genes, near_genes, view
 
@@ -130,3 +131,16 @@ def test_linking_genes_join_what_near_genes_join_and_grow_with_the_genes(spark,
         assert parts(linking, limit) == parts(near, limit)
     assert {tuple(r) for r in linking.collect()} <= {tuple(r) for r in near.collect()}
     assert linking.count() <= 4 * 90 < near.count()
+
+
+def test_a_complete_table_is_made_without_a_shuffle_of_pairs(spark, tmp_path):
+    from skein import queries as Q
+
+    rows = [(i, 37.25 * (i % 11), 7 if i % 5 == 0 else 1) for i in range(40)]
+    spark.createDataFrame(rows, "s_suppkey long, s_acctbal double, s_nationkey int").coalesce(1).write.parquet(f"{tmp_path}/supplier.parquet")
+    found = Q.kinase_distance(spark, str(tmp_path))
+    alias = view(spark, str(tmp_path), "fx_alias")
+    genes = spark.createDataFrame([(str(i),) for i in range(40)], "g string").union(alias.select("alias"))
+    want = S.complete(genes, S.with_aliases(view(spark, str(tmp_path), "fx_gene_dist"), alias)).select("a", "b", F.round("dist", 6).alias("dist"))
+    assert sorted(map(tuple, found.collect())) == sorted(map(tuple, want.collect())) and found.count() == 48 * 48
+    assert "SortMergeJoin" not in found._jdf.queryExecution().executedPlan().toString()
