@@ -144,3 +144,17 @@ def test_a_complete_table_is_made_without_a_shuffle_of_pairs(spark, tmp_path):
     want = S.complete(genes, S.with_aliases(view(spark, str(tmp_path), "fx_gene_dist"), alias)).select("a", "b", F.round("dist", 6).alias("dist"))
     assert sorted(map(tuple, found.collect())) == sorted(map(tuple, want.collect())) and found.count() == 48 * 48
     assert "SortMergeJoin" not in found._jdf.queryExecution().executedPlan().toString()
+
+
+def test_a_forest_of_close_sets_joins_them_as_all_pairs_do(spark, monkeypatch):
+    monkeypatch.setattr(S, "BLOCK", 40)
+    rng = np.random.default_rng(8)
+    sets = {str(i): {int(e) for e in np.flatnonzero(rng.random(40) < 0.55)} for i in range(150)} | {"x": {1}, "y": {2}, "z": set()}
+    df = spark.createDataFrame([(k, sorted(v)) for k, v in sets.items()], "compound string, bits array<int>")
+    want = {(a, b): 1 - len(sets[a] & sets[b]) / len(sets[a] | sets[b]) for a in sets for b in sets if a < b}
+    want = {p: d for p, d in want.items() if d <= 0.6}
+    every = {(r.a, r.b): r.dist for r in S.jaccard_pairs(df, 0.6).collect()}
+    links = {(r.a, r.b): r.dist for r in S.jaccard_pairs(df, 0.6, forest=True).collect()}
+    assert every == want and links.items() <= every.items() and len(links) < len(every) / 2
+    joined = lambda found: sorted(map(tuple, components(spark.createDataFrame(sorted(found), "a string, b string")).collect()))
+    assert joined(links) == joined(every)
