@@ -34,6 +34,8 @@ from skein.sources.scratch import materialize
 
 #: Fixed values of the Golay code: x^11 + x^9 + x^7 + x^6 + x^5 + x + 1.
 GENERATOR, LENGTH, CHECK_BITS = 0b101011100011, 23, 11
+#: Words of a shingle.
+SHINGLE = 3
 #: Fingerprints of one bucket that are compared in one task.
 BUCKET = 8192
 
@@ -80,7 +82,7 @@ def simhash(data: np.ndarray, offsets: np.ndarray, shingle: int) -> np.ndarray:
     return out
 
 
-def fingerprints(docs: DataFrame, shingle: int = 3, chunk_bytes: int = 2 << 20) -> DataFrame:
+def fingerprints(docs: DataFrame, shingle: int = SHINGLE, chunk_bytes: int = 2 << 20) -> DataFrame:
     """``doc_id`` (null: NO_ID) ``, fp long`` of each row."""
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -246,7 +248,7 @@ def _near_words(hot: DataFrame, bits: int) -> DataFrame:
     return listed.select("word", F.col("fp").alias("b")).join(hub, "word").where("a <> b").select("a", "b").distinct()
 
 
-def classes(docs: DataFrame, shingle: int = 3, bits: int = 3, bucket: int = BUCKET) -> DataFrame:
+def classes(docs: DataFrame, shingle: int = SHINGLE, bits: int = 3, bucket: int = BUCKET) -> DataFrame:
     """``doc_id, fingerprint, component_id`` of each row of ``docs``: classes of fingerprints linked at ``bits`` or fewer.
 
     Null text counts as empty; documents without words share fingerprint zero and are linked
