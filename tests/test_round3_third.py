@@ -4,6 +4,8 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from skein.operators import atoms as A
+from skein.plans.split import clusters, recut
+from skein.sources.fixtures import linking_genes, near_genes
 
 
 def test_occupied_cells_score_as_dense_grids_do_without_making_them(spark):
@@ -29,3 +31,21 @@ def test_occupied_cells_score_as_dense_grids_do_without_making_them(spark):
     wide = A.score_occupied(A.placed_atoms(atoms, box=1200, reach=600.0, ordered=True), features, lambda: lambda n, grid, cell, values: np.bincount(grid, values[:, 0], n), 64, 1200)
     assert {r.complex_id: r.score for r in wide.collect()} == dict.fromkeys(range(40), 6.0)
     assert A.score_occupied(A.placed_atoms(atoms.limit(0), ordered=True), features, of(21)).count() == 0
+
+
+def test_genes_that_are_left_are_cut_by_links_made_for_them(spark, tmp_path):
+    """The few links of all genes don't join those that are left once some between them went; the edges of all pairs aren't needed."""
+    rows = [(i, 10.0 * (i * 7 % 60)) for i in range(60)]
+    spark.createDataFrame(rows, "s_suppkey long, s_acctbal double").coalesce(1).write.parquet(f"{tmp_path}/supplier.parquet")
+    d, limit = str(tmp_path), 0.5
+    link = lambda left: linking_genes(spark, d, limit, left)
+    genes = spark.createDataFrame([(str(i),) for i, _ in rows], "gene string")
+    near = near_genes(spark, d, limit)
+    of = clusters(genes, link(genes), limit, "gene")
+    every = lambda df: sorted(map(tuple, df.select("gene", "cluster").collect()))
+    assert every(of) == every(clusters(genes, near, limit, "gene"))
+    for step in (2, 3, 5, 7):
+        left = genes.where(F.col("gene").cast("int") % step != 0)
+        got = recut(of, left, link, limit, "gene")
+        assert every(got) == every(recut(of, left, near, limit, "gene"))
+        assert link(left).count() <= 4 * left.count()
