@@ -4,6 +4,7 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from skein.operators import atoms as A
+from skein.operators import poses as P
 from skein.plans.split import clusters, recut
 from skein.sources.fixtures import linking_genes, near_genes
 
@@ -49,3 +50,17 @@ def test_genes_that_are_left_are_cut_by_links_made_for_them(spark, tmp_path):
         got = recut(of, left, link, limit, "gene")
         assert every(got) == every(recut(of, left, near, limit, "gene"))
         assert link(left).count() <= 4 * left.count()
+
+
+def test_scores_of_one_table_meet_as_in_the_join_after_one_shuffle(spark):
+    rng = np.random.default_rng(2)
+    one = lambda: tuple(None if v == 3 else float(v) for v in rng.integers(0, 4, 3))
+    rows = [("g", str(i % 5), "M1", f"{i % 11}", *one()) for i in range(150)] + [("g", "0", "M1", "z", 0.0, 1.0, 1.0), ("g", "0", "M1", "z", -0.0, 1.0, 1.0), (None, "0", "M1", "1", 1.0, 1.0, 1.0)]
+    table = spark.createDataFrame(rows, "gene string, compound string, model_name string, pose_id string, distance double, energy_kcal double, kdmodel double")
+    on = ["gene", "compound", "model_name", "pose_id"]
+    want = P.score_join(*[table.select(*on, c) for c in ("distance", "energy_kcal", "kdmodel")])
+    got = P.scores_joined(table)
+    every = lambda df: sorted(map(repr, (tuple(0.0 if v == 0 else v for v in r) for r in df.collect())))
+    assert every(got) == every(want) and got.columns == want.columns
+    plan = P.scores_joined(table)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") == 1 and "Join" not in plan
