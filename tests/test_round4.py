@@ -48,6 +48,15 @@ def _bytes_a_row(df, path):
     return sum(f.stat().st_size for f in Path(path).glob("*.parquet")) / df.sparkSession.read.parquet(path).count()
 
 
+def test_a_complete_table_takes_a_fraction_of_a_byte_a_row(spark, tmp_path):
+    """The pairs are all there, in an order in which ids and distances repeat."""
+    rows = [(i * 9 % 700, 37.25 * (i % 25), 7 if i % 70 == 0 else 1) for i in range(700)]
+    spark.createDataFrame(rows, "s_suppkey long, s_acctbal double, s_nationkey int").coalesce(1).write.parquet(f"{tmp_path}/supplier.parquet")
+    found = Q.kinase_distance(spark, str(tmp_path))
+    assert _bytes_a_row(found, f"{tmp_path}/out") < 0.25
+    assert spark.read.parquet(f"{tmp_path}/out").distinct().count() == 710 * 710
+
+
 def test_complexes_take_a_fraction_of_a_byte_a_row(spark, tmp_path, monkeypatch):
     """Each pose becomes a whole receptor; ids of any type, missing ones too, and receptors too many to be sent."""
     poses = [(f"c{i}" if i else None, f"M{i % 3}" if i % 50 else None, 1 + k, "C.3", 0.5, 0.0, 0.0) for i in range(2000) for k in range(2)] + [("c1", "M2", 9, "H", 0.0, 0.0, 0.0), ("c1", "M9", 9, "H", 0.0, 0.0, 0.0)]
