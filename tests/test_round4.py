@@ -8,8 +8,9 @@ import pytest
 
 from skein import queries as Q
 from skein.operators import atoms as A
+from skein.operators import poses as P
 from skein.plans import similarity as S
-from skein.sources import matrices
+from skein.sources import files, matrices
 
 
 @pytest.mark.parametrize("postings", [2048, 3])
@@ -94,3 +95,19 @@ def test_small_matrices_take_few_bytes_in_archives(spark, tmp_path, monkeypatch)
     assert sum(f.stat().st_size for f in files) < 60 * len(want)
     with np.load(files[0]) as a:
         assert len(a["0/names"]) == a["0/shapes"][:, 0].sum() and len(a["0/values"]) == a["0/shapes"][:, 1:].prod(1).sum()
+
+
+def test_stored_rows_are_dealt_once_and_written_as_they_lie(spark, tmp_path):
+    """By pose, with the ligands; neither gathered by pair before nor dealt by fold for the writer."""
+    fan = spark.createDataFrame([(f"g{i % 7}", str(i), f"M{i % 3}", f"{i % 40}-1", "KD", 1.0, k, "test") for i in range(200) for k in (1, 2)], "gene string, compound string, model_name string, pose_id string, dataset string, expt double, cv int, cvset string")
+    atoms = spark.createDataFrame([(f"M{m}", f"{i}-1", o, "C.3", float(o), 0.0, 0.0) for m in range(2) for i in range(40) for o in (1, 3)], "model_name string, pose_id string, ord int, atom_type string, x double, y double, z double")
+    receptors = spark.createDataFrame([("M1", 1, "C.3", 1.0, 2.0, 3.0)], "model_name string, ord int, atom_type string, x double, y double, z double")
+    made = P.stored_complexes(fan, atoms, receptors)
+    plan = made._jdf.queryExecution().executedPlan().toString()
+    assert "collect_list(named_struct(dataset" not in plan and "collect_list(struct(dataset" not in plan
+    rows = made.collect()
+    assert len(rows) == 400 and {(r.model_name, r.ligand is None, r.reject_reason) for r in rows} == {("M0", False, "no receptor"), ("M1", False, None), ("M2", True, "no pose")}
+    files.write_keyed(made, str(tmp_path / "t"), ["name"], ["cv", "cvset"], dealt=True)
+    assert spark.read.parquet(str(tmp_path / "t")).select(*made.columns).exceptAll(made).isEmpty()
+    with pytest.raises(ValueError, match="occurs 2 times"):
+        files.write_keyed(made.union(made.limit(1)), str(tmp_path / "u"), ["name"], ["cv", "cvset"], dealt=True)
